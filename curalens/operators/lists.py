@@ -253,10 +253,15 @@ def latest_reasons(feedback: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def slot_clashes(posts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Wanted times at which another feed post already stands."""
-    taken = posts.filter((F.col("kind") == "feed") & F.col("state").isin("planned", "publishing", "published")).select(
-        F.col("id").alias("_other"), F.col("scheduled_at"))
-    return wanted.join(taken, (wanted.scheduled_at == taken.scheduled_at) & (wanted.id != taken._other), "left_semi")
+    """Wanted posts whose time another feed post already holds.
+
+    Posts are reduced to the lowest and highest id per time first, so a time
+    that many posts share never multiplies rows.
+    """
+    taken = (posts.filter((F.col("kind") == "feed") & F.col("state").isin("planned", "publishing", "published"))
+             .groupBy("scheduled_at").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")))
+    return (wanted.join(taken, "scheduled_at").filter((F.col("_lo") != F.col("id")) | (F.col("_hi") != F.col("id")))
+            .select(*wanted.columns))
 
 
 def occupied_slots(posts: DataFrame, until: str) -> DataFrame:

@@ -267,8 +267,7 @@ SELECT source, trim(string_split(coalesce(delivery_error, 'untried'), ':')[1]) A
     lambda v: op.delivery_errors(v.properties))
 query("image_report", """
 SELECT property_id, reason, count(*) AS n FROM (SELECT property_id, 'kept' AS reason FROM images
-  UNION ALL SELECT property_id, reason FROM image_skips) t GROUP BY 1, 2""".replace(
-    "UNION ALL SELECT property_id, reason FROM image_skips", "UNION ALL (SELECT property_id, reason FROM image_skips)"))(
+  UNION ALL SELECT property_id, reason FROM image_skips) t GROUP BY 1, 2""")(
     lambda v: op.image_report(v.images, v.image_skips))
 query("backfill_cost", """
 SELECT count(*) AS n, CAST(sum(length(content_text)) AS BIGINT) AS chars,
