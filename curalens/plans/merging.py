@@ -8,8 +8,8 @@ from curalens.operators import merging as op
 from curalens.plans.registry import query
 
 
-def _ids(v, where: str):
-    return v.table("orders").filter(where).selectExpr("o_orderkey AS id")
+def _lofts(v):
+    return v.properties.filter("genre = 'loft'").select("id")
 
 
 query("insert_once", """
@@ -39,9 +39,9 @@ SELECT p.id, CASE WHEN a.property_id IS NOT NULL THEN CAST(a.story_score AS DOUB
   coalesce(p.location_country, nullif(a.country, '')) AS location_country,
   coalesce(p.price, nullif(a.price, '')) AS price,
   CASE WHEN a.property_id IS NOT NULL THEN a.one_of_a_kind ELSE p.one_of_a_kind END AS one_of_a_kind
-FROM properties p LEFT JOIN (SELECT * FROM assessments WHERE property_id % 2 = 0) a ON a.property_id = p.id""")(
+FROM properties p LEFT JOIN (SELECT * FROM assessments WHERE story_score > 30) a ON a.property_id = p.id""")(
     lambda v: op.merge_scores(
-        v.properties, v.assessments.filter("property_id % 2 = 0").withColumn("score", F.col("story_score").cast("double"))
+        v.properties, v.assessments.filter("story_score > 30").withColumn("score", F.col("story_score").cast("double"))
         .select("property_id", "score", "genre", "architect", "year_built", "display_name", "city", "country", "price",
                 "style_identified", "one_of_a_kind", "provenance_visible"))
     .select("id", "score", "genre", "location_city", "location_country", "price", "one_of_a_kind"))
@@ -115,13 +115,14 @@ FROM properties""")(
     lambda v: op.retry_delivery(v.properties, v.properties.filter("source = 'src0'").select("id"))
     .select("id", "delivery_attempts", "delivery_error"))
 query("undo_delivery", """
-SELECT id, CASE WHEN status = 'delivered' AND id % 2 = 0 THEN 'approved' ELSE status END AS status,
-  CASE WHEN status = 'delivered' AND id % 2 = 0 THEN 0 ELSE delivery_attempts END AS delivery_attempts
+SELECT id, CASE WHEN status = 'delivered' AND genre = 'loft' THEN 'approved' ELSE status END AS status,
+  CASE WHEN status = 'delivered' AND genre = 'loft' THEN 0 ELSE delivery_attempts END AS delivery_attempts
 FROM properties""")(
-    lambda v: op.undo_delivery(v.properties, v.deliveries, _ids(v, "o_orderkey % 2 = 0"))[0]
+    lambda v: op.undo_delivery(v.properties, v.deliveries, _lofts(v))[0]
     .select("id", "status", "delivery_attempts"))
-query("undo_delivery_rows", "SELECT property_id, folder_name FROM deliveries WHERE property_id % 2 <> 0")(
-    lambda v: op.undo_delivery(v.properties, v.deliveries, _ids(v, "o_orderkey % 2 = 0"))[1]
+query("undo_delivery_rows", """SELECT property_id, folder_name FROM deliveries
+WHERE property_id NOT IN (SELECT id FROM properties WHERE genre = 'loft')""")(
+    lambda v: op.undo_delivery(v.properties, v.deliveries, _lofts(v))[1]
     .select("property_id", "folder_name"))
 query("purge_dropped", """
 SELECT 'p' || id AS media, id AS post_id FROM posts WHERE state NOT IN ('skipped', 'deleted')""")(
@@ -137,10 +138,11 @@ SELECT id, CASE WHEN status <> 'delivered' AND source = 'src0' THEN NULL ELSE sc
     lambda v: op.clear_scores(v.properties, v.properties.filter("source = 'src0'").select("id"))
     .select("id", "score", "scored_at"))
 query("set_series", """
-SELECT p.id, CASE WHEN p.status <> 'delivered' AND p.id % 4 < 2 THEN CASE WHEN p.id % 4 = 0 THEN 'lake' END
-  ELSE p.series END AS series FROM properties p""")(
-    lambda v: op.set_series(v.properties, v.table("orders").filter("o_orderkey % 4 < 2").selectExpr(
-        "o_orderkey AS property_id", "IF(o_orderkey % 4 = 0, 'lake', '') AS series")).select("id", "series"))
+SELECT p.id, CASE WHEN p.status <> 'delivered' AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')
+  THEN CASE WHEN o.o_orderpriority = '2-HIGH' THEN 'lake' END ELSE p.series END AS series
+FROM properties p JOIN orders o ON o.o_orderkey = p.id""")(
+    lambda v: op.set_series(v.properties, v.table("orders").filter("o_orderpriority IN ('1-URGENT', '2-HIGH')").selectExpr(
+        "o_orderkey AS property_id", "IF(o_orderpriority = '2-HIGH', 'lake', '') AS series")).select("id", "series"))
 query("set_listing", """
 WITH c AS (SELECT l_orderkey AS property_id, arg_max({'v': CASE l_returnflag WHEN 'A' THEN 'sold' ELSE 'active' END,
     'm': CASE WHEN l_partkey % 2 = 0 THEN 'M' || l_partkey END, 't': ts}, ts) AS x
@@ -155,8 +157,8 @@ SELECT p.id, CASE WHEN c.x IS NOT NULL THEN c.x.v ELSE p.listing_status END AS l
         "l_shipdate + make_interval(0, 0, 0, 0, 0, 0, l_partkey * 10 + l_linenumber) AS at"))
     .select("id", "listing_status", "listing_status_at", "mls_number"))
 query("set_feedback_tag", """
-SELECT id, coalesce(reason_tag, CASE WHEN property_id % 3 = 0 THEN 'other' END) AS reason_tag FROM feedback""")(
-    lambda v: op.set_feedback_tag(v.feedback, v.feedback.filter("reason_tag IS NULL AND property_id % 3 = 0")
+SELECT id, coalesce(reason_tag, CASE WHEN reason LIKE '%LOW%' THEN 'other' END) AS reason_tag FROM feedback""")(
+    lambda v: op.set_feedback_tag(v.feedback, v.feedback.filter("reason_tag IS NULL AND reason LIKE '%LOW%'")
                                   .selectExpr("id", "'other' AS reason_tag")).select("id", "reason_tag"))
 query("decide_rules", """
 SELECT reason_tag, CASE WHEN hit_count > 30 THEN 'approved' WHEN hit_count > 25 THEN 'dismissed' ELSE state END AS state
@@ -165,11 +167,11 @@ FROM rules""")(
         "reason_tag", "CASE WHEN hit_count > 30 THEN 'approved' WHEN hit_count > 25 THEN 'dismissed' ELSE 'maybe' END "
         "AS decision")).select("reason_tag", "state"))
 query("set_image_page", """
-SELECT id, CASE WHEN status = 'approved' AND id % 5 = 1 THEN 'https://photos.example.com/' || id END AS image_page_url,
-  CASE WHEN status = 'approved' AND id % 5 = 1 THEN 0 ELSE delivery_attempts END AS delivery_attempts,
-  CASE WHEN status = 'approved' AND id % 5 = 1 THEN NULL ELSE delivery_error END AS delivery_error FROM properties""")(
-    lambda v: op.set_image_page(v.properties, v.table("orders").filter("o_orderkey % 5 = 1").selectExpr(
-        "o_orderkey AS property_id", "concat('https://photos.example.com/', o_orderkey) AS url"))
+SELECT id, CASE WHEN status = 'approved' AND genre = 'loft' THEN 'https://photos.example.com/' || id END AS image_page_url,
+  CASE WHEN status = 'approved' AND genre = 'loft' THEN 0 ELSE delivery_attempts END AS delivery_attempts,
+  CASE WHEN status = 'approved' AND genre = 'loft' THEN NULL ELSE delivery_error END AS delivery_error FROM properties""")(
+    lambda v: op.set_image_page(v.properties, _lofts(v).selectExpr(
+        "id AS property_id", "concat('https://photos.example.com/', id) AS url"))
     .select("id", "image_page_url", "delivery_attempts", "delivery_error"))
 query("delete_candidates", "SELECT id, status FROM properties WHERE NOT (source = 'src0' AND status <> 'delivered')")(
     lambda v: op.delete_candidates(v.properties, source="src0").select("id", "status"))

@@ -126,7 +126,7 @@ SELECT 'm' || (event_id - event_id % 5) AS media_id, ts AS read_at, CAST(floor(v
 FROM events""",
     "media_checks": """
 SELECT 'm' || event_id AS media_id, CASE event_id % 6 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS present
-FROM events WHERE event_id % 12 <> 5""",
+FROM events WHERE event_type <> 'signup'""",
     "feedback": f"""
 SELECT o_orderkey * 10 AS id, o_orderkey AS property_id, 'not convincing: ' || o_orderpriority || ' ' || o_custkey
     AS reason,
@@ -192,7 +192,7 @@ SELECT doc_id AS id, list_filter([
 FROM documents""",
     "known_entry_urls": """
 SELECT 'https://www.' || source || '.example.com/' || lang || '/homes/' || (doc_id % 800) AS source_url
-FROM documents WHERE doc_id % 7 = 0""",
+FROM documents WHERE n_chars > 2500""",
     "sources": """
 SELECT 'src' || i AS key, 'Source ' || i AS name, CASE WHEN i % 4 = 0 THEN 'listing' ELSE 'editorial' END AS kind,
   substr('SAB', CAST(i % 3 + 1 AS INT), 1) AS rank, CASE WHEN i % 8 = 0 THEN 'manual_only' ELSE 'crawl' END AS mode,
@@ -222,6 +222,12 @@ FROM supplier""",
 SELECT user_id AS post_id, ts AS at, event_id AS seq,
   ['claim', 'fail', 'finish', 'skip', 'retry', 'fail', 'claim'][event_id % 7 + 1] AS action
 FROM events""",
+    "calendar": """
+SELECT user_id AS id, user_id * 50 AS property_id,
+  CASE user_id % 5 WHEN 3 THEN 'story' WHEN 4 THEN 'reel' ELSE 'feed' END AS kind,
+  ['published', 'planned', 'planned', 'skipped', 'publishing', 'failed', 'skipped'][user_id % 7 + 1] AS state,
+  date_trunc('hour', min(ts)) + to_hours(CAST(user_id * 7 AS INT)) AS scheduled_at
+FROM events GROUP BY user_id""",
     "review_events": """
 SELECT l_orderkey AS property_id, l_shipdate AS at, l_partkey * 100 + l_linenumber AS seq,
   CASE l_returnflag WHEN 'A' THEN 'approve' WHEN 'R' THEN 'reject' ELSE 'reset' END AS action,

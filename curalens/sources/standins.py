@@ -165,10 +165,9 @@ class Views:
 
     @cached_property
     def deliveries(self) -> DataFrame:
-        return (self.table("orders").filter("o_orderstatus = 'F' AND o_orderkey % 3 = 0")
-                .selectExpr("o_orderkey AS property_id", "concat('lot', lpad(o_orderkey, 9, '0')) AS folder_name",
-                            "CAST(o_orderkey % 10 + 1 AS INT) AS image_count",
-                            "o_orderdate + INTERVAL 3 DAYS AS delivered_at"))
+        return self.properties.filter("status = 'delivered'").selectExpr(
+            "id AS property_id", "concat('lot', lpad(id, 9, '0')) AS folder_name",
+            "CAST(id % 10 + 1 AS INT) AS image_count", "collected_at + INTERVAL 3 DAYS AS delivered_at")
 
     @cached_property
     def images(self) -> DataFrame:
@@ -204,14 +203,14 @@ class Views:
 
     @cached_property
     def media_checks(self) -> DataFrame:
-        return self.table("events").filter("event_id % 12 <> 5").selectExpr(
+        return self.table("events").filter("event_type <> 'signup'").selectExpr(
             "concat('m', event_id) AS media_id",
             "CASE event_id % 6 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS present")
 
     @cached_property
     def feedback(self) -> DataFrame:
         tags = ", ".join(f"'{t}'" for t in config.FEEDBACK_TAGS)
-        return self.table("orders").filter("o_orderstatus = 'P' AND o_orderkey % 2 = 0").selectExpr(
+        return self.table("orders").filter(f"{_STATUS} = 'rejected'").selectExpr(
             "o_orderkey * 10 AS id", "o_orderkey AS property_id",
             "concat('not convincing: ', o_orderpriority, ' ', o_custkey) AS reason",
             f"CASE WHEN o_custkey % 10 < 8 THEN element_at(array({tags}), CAST(o_custkey % 10 + 1 AS INT)) END "
@@ -295,8 +294,8 @@ class Views:
 
     @cached_property
     def known_entry_urls(self) -> DataFrame:
-        """URLs collected before: every seventh page id of each source."""
-        return self.table("documents").filter("doc_id % 7 = 0").selectExpr(
+        """URLs collected before: those of the long articles."""
+        return self.table("documents").filter("n_chars > 2500").selectExpr(
             "concat('https://www.', source, '.example.com/', lang, '/homes/', doc_id % 800) AS source_url")
 
     @cached_property
@@ -352,6 +351,17 @@ class Views:
             "element_at(array('claim', 'fail', 'finish', 'skip', 'retry', 'fail', 'claim'), "
             "CAST(event_id % 7 + 1 AS INT)) AS action")
 
+    @cached_property
+    def calendar(self) -> DataFrame:
+        """Posts on the calendar, about three a day: one per user of the event stream."""
+        users = self.table("events").groupBy("user_id").agg(F.min("ts").alias("ts"), F.count("*").alias("n"))
+        return users.selectExpr(
+            "user_id AS id", "user_id * 50 AS property_id",
+            "CASE user_id % 5 WHEN 3 THEN 'story' WHEN 4 THEN 'reel' ELSE 'feed' END AS kind",
+            "element_at(array('published', 'planned', 'planned', 'skipped', 'publishing', 'failed', 'skipped'), "
+            "CAST(user_id % 7 + 1 AS INT)) AS state",
+            "date_trunc('HOUR', ts) + make_interval(0, 0, 0, 0, CAST(user_id * 7 AS INT), 0, 0) AS scheduled_at", "n")
+
     @cached_property
     def review_events(self) -> DataFrame:
         return self.table("lineitem").selectExpr(
