@@ -12,7 +12,7 @@ from curalens.plans.oracle_views import ORACLE_VIEWS
 from curalens.session import tune
 from curalens.sources.standins import Views
 
-PLAN_MODULES = ["lists", "merging", "reviewing", "scoring", "reporting", "slots", "images", "texts", "collecting"]
+PLAN_MODULES = ["lists", "merging", "reviewing", "scoring", "reporting", "slots", "images", "texts", "collecting", "streams"]
 _PLANS: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
