@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 _EMPTY = "array<struct<start:int,stop:int,found:string>>"
 
 
+def no_spans() -> Column:
+    return F.array().cast(_EMPTY)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Every match as ``struct(start, stop, found)``, offsets from 0.
 
@@ -15,17 +19,18 @@ def match_spans(text: Column, pattern: str) -> Column:
     """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found,
-                        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    # One gap more than matches: the last pair has no match and ends the fold unchanged.
+    zipped = F.zip_with(gaps, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("spans"))
 
     def step(acc, part):
         begin = acc["at"] + part["gap"]
         stop = begin + F.length(part["hit"])
-        return F.struct(
+        longer = F.struct(
             stop.alias("at"),
             F.array_append(acc["spans"], F.struct(begin.alias("start"), stop.alias("stop"),
                                                   part["hit"].alias("found"))).alias("spans"))
+        return F.when(part["hit"].isNull(), acc).otherwise(longer)
 
     return F.aggregate(zipped, start, step, lambda acc: acc["spans"])
 
@@ -34,10 +39,10 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def window_text(text: Column, start: Column, stop: Column, width: int) -> Column:
+def window_text(text: Column, start: Column, stop: Column, width: int, length: Column) -> Column:
     """The text around a span, white space squeezed, dots where it is cut."""
     begin = F.greatest(start - width, F.lit(0))
-    end = F.least(stop + width, F.length(text))
+    end = F.least(stop + width, length)
     body = squeeze(F.substring(text, begin + 1, end - begin))
-    cut = (begin > 0) | (end < F.length(text))
+    cut = (begin > 0) | (end < length)
     return F.when(cut, F.concat(F.lit("…"), body, F.lit("…"))).otherwise(body)

@@ -11,14 +11,16 @@ MATCH_MIN = 2
 LONG_WORD = 6
 
 
-def url_domain_join(urls: DataFrame, domains: DataFrame, url: str, ident: str, keep: bool = True) -> DataFrame:
+def url_domain_join(urls: DataFrame, domains: DataFrame, url: str, keep: bool = True) -> DataFrame:
     """Rows whose host is a listed domain or below one (or the rows that are not).
 
-    Sub-domain matching is an equality join on host suffixes.
+    Sub-domain matching is an equality join on host suffixes, made for distinct
+    hosts only: however many rows a host has, it is looked up once.
     """
-    parts = urls.select(ident, F.explode(host_suffixes(host_of(F.col(url)))).alias("domain"))
-    hit = parts.join(domains.select("domain"), "domain", "left_semi").select(ident).distinct()
-    return urls.join(hit, ident, "left_semi" if keep else "left_anti")
+    rows = urls.withColumn("_host", host_of(F.col(url)))
+    parts = rows.select("_host").distinct().select("_host", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
+    hit = parts.join(domains.select("domain"), "domain", "left_semi").select("_host").distinct()
+    return rows.join(hit, "_host", "left_semi" if keep else "left_anti").drop("_host")
 
 
 def blocked_domains(configured: DataFrame, sources: DataFrame) -> DataFrame:
@@ -51,8 +53,7 @@ def status_urls(props: DataFrame, blocked: DataFrame) -> DataFrame:
     both = props.select("id", F.explode(F.array(F.struct(F.lit(0).alias("pref"), F.col("listing_url").alias("url")),
                                                 F.struct(F.lit(1).alias("pref"), F.col("source_url").alias("url"))))
                         .alias("c")).select("id", "c.*").filter(F.col("url").startswith("http"))
-    both = both.withColumn("key", F.struct("id", "pref"))
-    free = url_domain_join(both, blocked, "url", "key", keep=False)
+    free = url_domain_join(both, blocked, "url", keep=False)
     best = free.groupBy("id").agg(F.min_by("url", "pref").alias("check_url"))
     return props.join(best, "id", "left")
 
@@ -79,13 +80,13 @@ def page_match(props: DataFrame, hits: DataFrame) -> DataFrame:
     arrays to compare; no word table is built.
     """
     own = identity_terms(props).select(F.col("id").alias("property_id"), "street_number", "terms")
-    found = F.array_union(words(F.col("url")), words(F.col("title")))
+    # Words are cut before the join, once per hit; above it only the two arrays are compared.
+    cut = hits.withColumn("_found", F.array_union(words(F.col("url")), words(F.col("title"))))
     shared = F.array_intersect("terms", "_found")
     points = F.aggregate(shared, F.lit(0), lambda acc, w: acc + F.when(F.length(w) >= LONG_WORD, 2).otherwise(1))
     number = F.when(F.coalesce(F.array_contains("_found", F.coalesce("street_number", F.lit("-"))), F.lit(False)), 2)
-    return (hits.join(own, "property_id").withColumn("_found", found)
-            .withColumn("points", points + number.otherwise(0)).filter(F.col("points") >= MATCH_MIN)
-            .drop("_found", "street_number", "terms"))
+    return (cut.join(own, "property_id").withColumn("points", points + number.otherwise(0))
+            .filter(F.col("points") >= MATCH_MIN).drop("_found", "street_number", "terms"))
 
 
 def usable_pages(hits: DataFrame, known: DataFrame, blocked: DataFrame, *, per_domain: int = 2,
@@ -99,9 +100,8 @@ def usable_pages(hits: DataFrame, known: DataFrame, blocked: DataFrame, *, per_d
     first = clean.groupBy("property_id", "url").agg(F.min(F.struct("position", "title")).alias("_f")).select(
         "property_id", "url", "_f.*")
     seen = known.filter(F.col("url").isNotNull()).select("property_id", no_fragment(F.col("url")).alias("url"))
-    fresh = first.join(seen, ["property_id", "url"], "left_anti").withColumns(
-        {"host": host_of(F.col("url")), "key": F.struct("property_id", "url")})
-    allowed = url_domain_join(fresh, blocked, "url", "key", keep=False).drop("key")
+    fresh = first.join(seen, ["property_id", "url"], "left_anti").withColumn("host", host_of(F.col("url")))
+    allowed = url_domain_join(fresh, blocked, "url", keep=False)
     by_site = Window.partitionBy("property_id", "host").orderBy("position", "url")
     by_listing = Window.partitionBy("property_id").orderBy("position", "url")
     return (allowed.withColumn("_s", F.row_number().over(by_site)).filter(F.col("_s") <= per_domain).drop("_s")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curalens.config import SignalConfig
-from curalens.functions.spans import match_spans, squeeze, window_text
+from curalens.functions.spans import match_spans, no_spans, squeeze, window_text
+from curalens.functions.stages import settle
 from curalens.functions.urls import authority, on_any_domain, path_of
 
 SNIPPET = 60
@@ -27,12 +28,12 @@ def detect_signals(rows: DataFrame, cfg: SignalConfig = SignalConfig(), text: st
     of comparing spans in pairs, the text around each price, widened by the
     keyword's own length, is searched for the keyword.
     """
-    low = F.lower(F.col(text))
-    out = rows.withColumn("keywords", F.filter(_texts(cfg.keywords), lambda k: F.contains(low, F.lower(k))))
-    spans = F.concat(*[match_spans(F.col(text), f"(?i){p}") for p in cfg.price_patterns])
-    out = out.withColumn("_spans", F.filter(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["stop"].alias("stop"), F.trim(s["found"]).alias("found"))),
-        lambda s: s["found"] != ""))
+    # Lower-casing once: the column also passes through, so it is not inlined into every comparison.
+    out = rows.withColumn("_low", F.lower(F.col(text)))
+    out = out.withColumn("keywords", F.filter(_texts(cfg.keywords), lambda k: F.contains("_low", F.lower(k))))
+    # Most texts lack most patterns: a search that stops early saves cutting them up.
+    spans = F.concat(*[F.when(F.col(text).rlike(f"(?i){p}"), match_spans(F.col(text), f"(?i){p}")).otherwise(no_spans())
+                       for p in cfg.price_patterns])
 
     def near(span: Column) -> Column:
         if cfg.window <= 0:
@@ -41,33 +42,39 @@ def detect_signals(rows: DataFrame, cfg: SignalConfig = SignalConfig(), text: st
         def hit(keyword: Column) -> Column:
             begin = F.greatest(span["start"] - cfg.window - F.length(keyword), F.lit(0))
             end = span["stop"] + cfg.window + F.length(keyword)
-            return F.contains(F.substring(low, begin + 1, end - begin), F.lower(keyword))
+            return F.contains(F.substring("_low", begin + 1, end - begin), F.lower(keyword))
 
         return F.exists("keywords", hit)
 
-    def found(spans: Column) -> Column:
-        return F.array_distinct(F.transform(spans, lambda s: s["found"]))
+    out = out.withColumn("_spans", F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["stop"].alias("stop"), F.trim(s["found"]).alias("found"), near(s).alias("near"))))
 
-    out = out.withColumn("prices", found(F.filter("_spans", near)))
-    out = out.withColumn("ignored_prices", found(F.filter("_spans", lambda s: ~near(s))))
+    def found(is_near: bool) -> Column:
+        kept = F.filter("_spans", lambda s: (s["found"] != "") & (s["near"] if is_near else ~s["near"]))
+        return F.array_distinct(F.transform(kept, lambda s: s["found"]))
+
+    out = out.withColumn("prices", found(True)).withColumn("ignored_prices", found(False))
     out = out.withColumn("listing_links", F.array_distinct(F.filter(
         links, lambda u: on_any_domain(authority(u), cfg.listing_domains))))
 
     def point(column: str, points: int) -> Column:
         return F.when(F.size(column) > 0, points).otherwise(0)
 
-    return out.withColumn("score", point("keywords", cfg.keyword_score) + point("prices", cfg.price_score)
-                          + point("listing_links", cfg.link_score))
+    out = out.withColumn("score", point("keywords", cfg.keyword_score) + point("prices", cfg.price_score)
+                         + point("listing_links", cfg.link_score))
+    return settle(out, ["_low", "keywords", "_spans", "prices", "ignored_prices", "listing_links", "score"])
 
 
 def with_contexts(found: DataFrame, text: str = "text") -> DataFrame:
     """Readable surroundings of the first keyword and the first price, and the evidence line."""
-    body, low = F.col(text), F.lower(F.col(text))
     keyword = F.get("keywords", F.lit(0))
-    at = F.instr(low, F.lower(keyword)) - 1
-    price = F.get("_spans", F.lit(0))
+    # The part before the first occurrence gives its place; the column is used often, so it is kept as one.
+    staged = found.withColumns({
+        "_kw": keyword, "_at": F.length(F.call_function("substring_index", F.col("_low"), F.lower(keyword), F.lit(1))), "_len": F.length(text),
+        "_price": F.get(F.filter("_spans", lambda s: s["found"] != ""), F.lit(0))})
+    body, keyword, at, price = F.col(text), F.col("_kw"), F.col("_at"), F.col("_price")
     begin = F.greatest(at - SNIPPET, F.lit(0))
-    end = F.least(at + F.length(keyword) + SNIPPET, F.length(body))
+    end = F.least(at + F.length(keyword) + SNIPPET, F.col("_len"))
     snippet = squeeze(F.substring(body, begin + 1, end - begin))
     hosts = F.array_distinct(F.transform(F.slice("listing_links", 1, 3), lambda u: F.regexp_extract(
         u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)))
@@ -75,10 +82,10 @@ def with_contexts(found: DataFrame, text: str = "text") -> DataFrame:
     said = F.when(keyword.isNotNull(), F.concat(F.lit('記載: "'), snippet, F.lit('"')))
     priced = F.when(F.size("prices") > 0, F.concat(F.lit("価格表記: "), F.array_join(F.slice("prices", 1, 3), ", ")))
     linked = F.when(F.size("listing_links") > 0, F.concat(F.lit("不動産サイトへのリンク: "), F.array_join(hosts, ", ")))
-    return found.withColumns({
-        "keyword_context": F.when(keyword.isNotNull(), window_text(body, at, at + F.length(keyword), CONTEXT)),
-        "price_context": F.when(price.isNotNull(), window_text(body, price["start"], price["stop"], CONTEXT)),
-        "evidence": F.concat_ws(" / ", said, priced, linked)})
+    return staged.withColumns({
+        "keyword_context": F.when(keyword.isNotNull(), window_text(body, at, at + F.length(keyword), CONTEXT, F.col("_len"))),
+        "price_context": F.when(price.isNotNull(), window_text(body, price["start"], price["stop"], CONTEXT, F.col("_len"))),
+        "evidence": F.concat_ws(" / ", said, priced, linked)}).drop("_kw", "_at", "_len", "_price")
 
 
 def near_miss(found: DataFrame) -> DataFrame:

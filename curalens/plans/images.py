@@ -63,7 +63,7 @@ def _blocked(v):
 query("url_domain_join", f"""WITH {_BLOCKED.strip()}
 SELECT id, listing_url FROM properties WHERE listing_url IS NOT NULL AND {_is_blocked('listing_url')}""")(
     lambda v: match.url_domain_join(v.properties.filter("listing_url IS NOT NULL").select("id", "listing_url"), _blocked(v),
-                                    "listing_url", "id"))
+                                    "listing_url"))
 query("blocked_domains", f"""WITH {_BLOCKED.strip()}
 SELECT p.source, count(*) AS n FROM properties p JOIN sources s ON s.key = p.source
 JOIN bl ON bl.domain = replace(s.base_url, 'https://www.', '') GROUP BY 1""")(
