@@ -15,14 +15,16 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     """First row of every key by ``order``; rows with a NULL key all stay.
 
     An aggregate, not a window: one key that repeats in a third of all rows is
-    reduced inside every map task before anything is shuffled.
+    reduced inside every map task before anything is shuffled. Rows with a
+    NULL key are told apart by ``order``, which must be unique among them.
     """
     has_null = F.lit(False)
     for key in keys:
         has_null = has_null | F.col(key).isNull()
-    picked = (rows.filter(~has_null).groupBy(*keys)
-              .agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*"))
-    return picked.unionByName(rows.filter(has_null))
+    apart = F.when(has_null, F.struct(*order))
+    picked = rows.groupBy(*keys, apart.alias("_apart")).agg(
+        F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return picked.select("_row.*")
 
 
 def insert_once(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

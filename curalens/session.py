@@ -23,15 +23,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A local folder is made
+    The cluster names it in ``spark.checkpoint.dir``. A folder is made here
     only when the setting is absent, which happens in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    made = tempfile.mkdtemp(prefix="curalens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_dirs[app]

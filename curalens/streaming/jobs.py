@@ -54,18 +54,21 @@ def latest_reach(readings: DataFrame) -> DataFrame:
                                             F.max("read_at").alias("read_at"), F.count("*").alias("readings"))
 
 
-def weekly(posts: DataFrame, delay: str = "8 days") -> DataFrame:
-    """Posts and reach per local Monday-to-Monday week."""
+def weekly(posts: DataFrame) -> DataFrame:
+    """Posts and reach per local Monday-to-Monday week.
+
+    No watermark: it would drop late posts unseen, and the state is one row a week.
+    """
     at = F.window("published_at", "7 days", "7 days", WEEK_OFFSET)
-    return posts.withWatermark("published_at", delay).groupBy(at.alias("w")).agg(
+    return posts.groupBy(at.alias("w")).agg(
         F.count("*").alias("posts"), F.count("reach").alias("measured"), F.sum("reach").alias("reach_total")
     ).select(F.col("w.start").alias("week_from"), "posts", "measured", "reach_total")
 
 
-def trend(posts: DataFrame, delay: str = "8 days") -> DataFrame:
-    """Reach per kind over the trailing eight weeks, one window a week."""
+def trend(posts: DataFrame) -> DataFrame:
+    """Reach per kind over the trailing eight weeks, one window a week. No watermark, as above."""
     at = F.window("published_at", "56 days", "7 days", WEEK_OFFSET)
-    return posts.withWatermark("published_at", delay).groupBy(at.alias("w"), "kind").agg(
+    return posts.groupBy(at.alias("w"), "kind").agg(
         F.count("reach").alias("posts"), F.sum("reach").alias("reach_total")
     ).select(F.col("w.start").alias("window_from"), F.col("w.end").alias("window_to"), "kind", "posts", "reach_total")
 
