@@ -37,11 +37,13 @@ def path_of(url: Column) -> Column:
 
 
 def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` gives ``[a.b.c, b.c, c]``: a sub-domain test becomes an equality test."""
-    labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    """``a.b.c`` gives ``[c, b.c, a.b.c]``: a sub-domain test becomes an equality test.
+
+    Built as a fold over the labels, so the host is worked out once.
+    """
+    return F.aggregate(
+        F.reverse(F.split(host, r"\.")), F.array().cast("array<string>"),
+        lambda done, label: F.array_append(done, F.concat_ws(".", label, F.get(done, F.size(done) - 1))))
 
 
 def on_any_domain(host: Column, domains: list[str]) -> Column:

@@ -59,6 +59,20 @@ def entry_filter(entries: DataFrame, sources: DataFrame, known: DataFrame, cutof
     return rows.withColumn("outcome", outcome).drop("_known")
 
 
+def kept_entries(entries: DataFrame, sources: DataFrame, known: DataFrame, cutoff: str) -> DataFrame:
+    """Only the entries that pass every rule of ``entry_filter``.
+
+    The cheap rules run before the join with the stored URLs, so texts that are
+    out anyway are never shuffled.
+    """
+    rows = with_rules(entries.filter(F.coalesce(F.col("link"), F.lit("")) != ""), sources).withColumn(
+        "url", normalize_url(F.col("link")))
+    late = F.coalesce(F.col("published_at") < F.lit(cutoff).cast("timestamp"), F.lit(False))
+    passed = rows.filter(url_allowed(F.col("url"), F.col("url_include"), F.col("url_exclude")) & ~late
+                         & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return passed.join(known.select(F.col("source_url").alias("url")), "url", "left_anti")
+
+
 def build_candidates(kept: DataFrame, links: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
     """Candidate rows: enough signals or a source that lists only things on sale; one per URL."""
     found = with_contexts(detect_signals(kept.join(links, "id"), cfg), "text").filter(is_candidate(cfg))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curalens.config import GENERIC_WORDS
+from curalens.functions.stages import settle
 from curalens.functions.urls import authority, host_of, host_suffixes, no_fragment
 
 MATCH_MIN = 2
@@ -23,6 +24,12 @@ def url_domain_join(urls: DataFrame, domains: DataFrame, url: str, keep: bool =
     return rows.join(hit, "_host", "left_semi" if keep else "left_anti").drop("_host")
 
 
+def on_listed(host: Column, domains: DataFrame) -> Column:
+    """The same test against a short configured list: one scalar subquery, no join and no shuffle."""
+    listed = domains.agg(F.collect_set("domain").alias("d")).select("d").scalar()
+    return F.arrays_overlap(host_suffixes(host), listed)
+
+
 def blocked_domains(configured: DataFrame, sources: DataFrame) -> DataFrame:
     """Domains that are never opened: the configured ones and the manual-only sources."""
     manual = sources.filter((F.col("mode") == "manual_only") & (host_of(F.col("base_url")) != "")).select(
@@ -50,12 +57,11 @@ def lookup_source(props: DataFrame, sources: DataFrame) -> DataFrame:
 
 def status_urls(props: DataFrame, blocked: DataFrame) -> DataFrame:
     """Page to check for the sale status: listing page if allowed, else article, else none."""
-    both = props.select("id", F.explode(F.array(F.struct(F.lit(0).alias("pref"), F.col("listing_url").alias("url")),
-                                                F.struct(F.lit(1).alias("pref"), F.col("source_url").alias("url"))))
-                        .alias("c")).select("id", "c.*").filter(F.col("url").startswith("http"))
-    free = url_domain_join(both, blocked, "url", keep=False)
-    best = free.groupBy("id").agg(F.min_by("url", "pref").alias("check_url"))
-    return props.join(best, "id", "left")
+    def free(name: str) -> Column:
+        url = F.col(name)
+        return F.when(url.startswith("http") & ~on_listed(host_of(url), blocked), url)
+
+    return props.withColumn("check_url", F.coalesce(free("listing_url"), free("source_url")))
 
 
 def words(text: Column) -> Column:
@@ -96,12 +102,11 @@ def usable_pages(hits: DataFrame, known: DataFrame, blocked: DataFrame, *, per_d
     The per-site limit applies before the per-listing limit. Both rank filters
     cut inside each task before rows move.
     """
-    clean = hits.withColumn("url", no_fragment(F.col("url"))).filter(F.col("url").startswith("http"))
-    first = clean.groupBy("property_id", "url").agg(F.min(F.struct("position", "title")).alias("_f")).select(
-        "property_id", "url", "_f.*")
+    clean = hits.filter(F.ltrim("url").startswith("http")).withColumn("url", no_fragment(F.col("url")))
+    first = clean.groupBy("property_id", "url").agg(F.min("position").alias("position"))
     seen = known.filter(F.col("url").isNotNull()).select("property_id", no_fragment(F.col("url")).alias("url"))
     fresh = first.join(seen, ["property_id", "url"], "left_anti").withColumn("host", host_of(F.col("url")))
-    allowed = url_domain_join(fresh, blocked, "url", keep=False)
+    allowed = settle(fresh, ["host"]).filter(~on_listed(F.col("host"), blocked))
     by_site = Window.partitionBy("property_id", "host").orderBy("position", "url")
     by_listing = Window.partitionBy("property_id").orderBy("position", "url")
     return (allowed.withColumn("_s", F.row_number().over(by_site)).filter(F.col("_s") <= per_domain).drop("_s")

@@ -63,7 +63,7 @@ c AS (SELECT ou.id, ou.source, ou.source_rank, ou.url AS source_url, sg.score AS
   row_number() OVER (PARTITION BY ou.url ORDER BY ou.position, ou.id) AS rn FROM ou JOIN sg ON sg.id = ou.id
   LEFT JOIN pk ON pk.id = ou.id WHERE ou.outcome = 'kept' AND (sg.score >= 2 OR ou.assume_for_sale))
 SELECT id, source, source_rank, source_url, signal_score, listing_url FROM c WHERE rn = 1""")(
-    lambda v: op.build_candidates(_fate(v).filter("outcome = 'kept'"), v.article_links).select(
+    lambda v: op.build_candidates(op.kept_entries(v.entries, v.sources, v.known_entry_urls, CUTOFF), v.article_links).select(
         "id", "source", "source_rank", "source_url", "signal_score", "listing_url"))
 query("feed_fallback", """
 SELECT e.id, p.page_id IS NULL AS from_feed_only, CASE WHEN p.page_id IS NULL THEN length(e.text)

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Pages can be large; a batch handed to Python holds few of them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 
