@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curalens.functions.places import display_title
 from curalens.functions.ranks import global_row_number
+from curalens.functions.stages import settle
 from curalens.functions.values import parse_year
 from curalens.schemas import SCORE_DETAIL
 
@@ -26,7 +27,8 @@ def decided(props: DataFrame) -> DataFrame:
 def parse_detail(props: DataFrame) -> DataFrame:
     """Add the parsed score detail; broken JSON gives NULL, never an error."""
     parsed = F.from_json("score_detail", SCORE_DETAIL, {"mode": "PERMISSIVE"})
-    whole = props.withColumn("detail", parsed)
+    # Settled, so that reading several fields does not parse the text several times.
+    whole = settle(props.withColumn("detail", parsed), ["detail"])
     return whole.withColumn("detail", F.when(F.col("detail.axes").isNotNull() | F.col("detail.gate").isNotNull(),
                                              F.col("detail")))
 
