@@ -5,21 +5,28 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from curalens.llm.byte_bpe import encoding_digests
 from curalens.llm.common import table
 from curalens.llm.packing import pack_documents
 from curalens.llm.token_counts import token_counts
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
+BYTE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens, none but the over-long ones cut."""
     return pack_documents(table(spark, sf_dir, "documents"), WORD_FILE)
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), BYTE_FILE, public_tokenizers.PATTERN)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_FILE)
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op6_packing, op7_byte_bpe, op10_token_counts)}
 SQL: dict[str, str] = {}

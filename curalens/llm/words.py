@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from collections.abc import Callable
@@ -114,8 +115,11 @@ _loaded: dict[tuple, object] = {}
 
 
 def once(key: tuple, make: Callable[[], object]):
-    """One object per Python worker; workers are used for many tasks."""
+    """One object per Python worker; workers are used for many tasks.
+
+    Caches hold many small objects without cycles, so the collector of cycles runs seldom."""
     if key not in _loaded:
+        gc.set_threshold(200_000, 20, 100)
         _loaded[key] = make()
     return _loaded[key]
 
