@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from curalens.llm.byte_bpe import encoding_digests
 from curalens.llm.common import table
 from curalens.llm.packing import pack_documents
+from curalens.llm.quality_rules import VERDICT_SQL, quality_verdicts
+from curalens.llm.sharding import shard_documents
 from curalens.llm.token_counts import token_counts
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +17,11 @@ WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of near-equal bytes (law ``bytes``), equal texts together."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens, none but the over-long ones cut."""
     return pack_documents(table(spark, sf_dir, "documents"), WORD_FILE)
@@ -24,9 +31,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), BYTE_FILE, public_tokenizers.PATTERN)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_FILE)
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_byte_bpe, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_packing, op7_byte_bpe, op8_quality_rules, op10_token_counts)}
+SQL: dict[str, str] = {"op8_quality_rules": VERDICT_SQL}
