@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curalens.llm.byte_bpe import encoding_digests
 from curalens.llm.common import table
+from curalens.llm.minhash_dedup import near_duplicates
 from curalens.llm.packing import pack_documents
 from curalens.llm.quality_rules import VERDICT_SQL, quality_verdicts
 from curalens.llm.sharding import shard_documents
@@ -35,9 +36,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_FILE)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_packing, op7_byte_bpe, op8_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_packing, op7_byte_bpe, op8_quality_rules, op9_minhash_dedup,
+                                  op10_token_counts)}
 SQL: dict[str, str] = {"op8_quality_rules": VERDICT_SQL}
