@@ -13,6 +13,7 @@ from curalens.llm.quality_rules import VERDICT_SQL, quality_verdicts
 from curalens.llm.sharding import shard_documents
 from curalens.llm.token_counts import token_counts
 from curalens.llm.toxicity import score_toxicity
+from curalens.llm.vector_dedup import near_vectors
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens, none but the over-long ones cut."""
     return pack_documents(table(spark, sf_dir, "documents"), WORD_FILE)
@@ -49,6 +54,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_FILE)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op6_packing, op7_byte_bpe, op8_quality_rules, op9_minhash_dedup,
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op5_vector_dedup, op6_packing, op7_byte_bpe, op8_quality_rules, op9_minhash_dedup,
                                   op10_token_counts)}
 SQL: dict[str, str] = {"op8_quality_rules": VERDICT_SQL}
