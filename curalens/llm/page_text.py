@@ -368,3 +368,14 @@ def page_text(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
 
     return (pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
             .mapInArrow(extract, "page_id long, url string, text string, n_chars long"))
+
+
+#: What the labeller should find on pages whose article stands in one article element.
+ARTICLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)</article>', 1, 's') AS body FROM pages),
+t AS (SELECT page_id, url, regexp_replace(body, '<[^>]*>', ' ', 'g') AS plain FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)),
+             '&amp;', '&') AS plain FROM t),
+x AS (SELECT page_id, url, trim(regexp_replace(plain, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM x
+"""

@@ -9,6 +9,7 @@ from curalens.llm.byte_bpe import encoding_digests
 from curalens.llm.common import table
 from curalens.llm.minhash_dedup import near_duplicates
 from curalens.llm.packing import pack_documents
+from curalens.llm.page_text import ARTICLE_SQL, page_text
 from curalens.llm.quality_rules import VERDICT_SQL, quality_verdicts
 from curalens.llm.sharding import shard_documents
 from curalens.llm.token_counts import token_counts
@@ -29,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text(table(spark, sf_dir, "pages"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +59,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_FILE)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op5_vector_dedup, op6_packing, op7_byte_bpe, op8_quality_rules, op9_minhash_dedup,
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_page_text, op5_vector_dedup, op6_packing, op7_byte_bpe, op8_quality_rules, op9_minhash_dedup,
                                   op10_token_counts)}
-SQL: dict[str, str] = {"op8_quality_rules": VERDICT_SQL}
+SQL: dict[str, str] = {"op4_page_text": ARTICLE_SQL, "op8_quality_rules": VERDICT_SQL}
