@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curalens.llm.byte_bpe import encoding_digests
 from curalens.llm.common import table
+from curalens.llm.lm_scoring import score_texts
 from curalens.llm.minhash_dedup import near_duplicates
 from curalens.llm.packing import pack_documents
 from curalens.llm.page_text import ARTICLE_SQL, page_text
@@ -21,6 +22,10 @@ WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of near-equal bytes (law ``bytes``), equal texts together."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -59,6 +64,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_FILE)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_page_text, op5_vector_dedup, op6_packing, op7_byte_bpe, op8_quality_rules, op9_minhash_dedup,
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_toxicity, op4_page_text, op5_vector_dedup, op6_packing, op7_byte_bpe, op8_quality_rules, op9_minhash_dedup,
                                   op10_token_counts)}
 SQL: dict[str, str] = {"op4_page_text": ARTICLE_SQL, "op8_quality_rules": VERDICT_SQL}
