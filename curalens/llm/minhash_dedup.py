@@ -303,3 +303,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return (placed.join(least, "group", "left").withColumn("component_id", component)
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of the smallest id of each group, with all their columns as they are.
+
+    Documents linked with nothing stay. Rows without an id stay, as they can't be told apart; rows that share an
+    id stay if one of them does.
+    """
+    groups = near_duplicates(docs, width, percent, text_col, id_col, **settings)
+    gone = landed(groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept")
+                  .select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
