@@ -149,8 +149,8 @@ class Vocabulary:
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-          examples: int = 8192, features: int = 1024, least_z: float = 6.0, least_share: float = 0.02, least_docs: int = 3,
-          k: int = 15, folds: int = 5) -> ToxicityModel:
+          examples: int = 8192, features: int = 1024, least_z: float = 4.0, least_share: float = 0.05, least_docs: int = 3,
+          k: int = 9, folds: int = 5) -> ToxicityModel:
     """Learn from at most ``examples`` labelled documents whose fold isn't 0.
 
     Labelled ids are taken in the order of a hash. Of equal texts, and of texts that share their rarest-hashing
