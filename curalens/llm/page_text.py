@@ -149,7 +149,7 @@ class Features:
         row = 0
         for page in pages:
             for at, block in enumerate(page):
-                parts = {f"{min(len(block.path) - k, 3)}{p}" if p[0] != "." else p for k, group in enumerate(block.path) for p in group}
+                parts = {p for group in block.path for p in group} | {f"1{p}" for group in block.path[-1:] for p in group}
                 path_ids += [_bucket(p, PATHS) for p in parts]
                 path_rows += [row] * len(parts)
                 words = block.text.split(" ")
@@ -296,10 +296,11 @@ SIDE_NAMES = ("ad ads advert advertisement sponsored promo banner sidebar widget
               "consent notice alert popup modal newsletter subscribe signup login search share social related recommended comment comments reply replies "
               "disqus respond pagination pager tags copyright legal").split()
 BODY_NAMES = "content post entry article story main body text page single blog news".split()
-FRAMES = ('<aside class="{n}">{x}</aside>', '<div class="{n}">{x}</div>', '<div id="{n}"><p>{x}</p></div>', '<section class="{n}"><p>{x}</p><p>{x}</p></section>',
-          '<form class="{n}"><label>{x}</label><button>{x}</button></form>', '<ul class="{n}"><li><a href="#">{x}</a></li><li><a href="#">{x}</a></li></ul>',
-          '<div class="{n}"><h3>{x}</h3><p>{x}</p></div>', '<header><a href="#">{x}</a></header>', '<footer><p>{x}</p></footer>',
-          '<section id="{n}"><h2>{x}</h2><div class="{n}-item"><b>{x}</b><p>{x}</p></div></section>', '<nav><a href="#">{x}</a> <a href="#">{x}</a></nav>')
+FRAMES = ('<div class="{n}">{i}</div>', '<div id="{n}">{i}</div>', '<section class="{n}">{i}</section>', '<aside>{i}</aside>', '<aside class="{n}">{i}</aside>',
+          '<form class="{n}"><label>{x}</label>{i}<button>{x}</button></form>', '<nav>{i}</nav>', '<header>{i}</header>', '<footer>{i}</footer>',
+          '<section id="{n}"><h2>{x}</h2><div class="{n}-item"><b>{x}</b>{i}</div></section>', '<ul class="{n}"><li>{x}</li><li><a href="#">{x}</a></li></ul>')
+INSIDE = ("{x}", "<p>{x}</p>", "<h3>{x}</h3><p>{x}</p>", '<ul><li><a href="#">{x}</a></li><li>{x}</li></ul>', '<a href="#">{x}</a> <a href="#">{x}</a>',
+          "<div>{x}</div>", "<p>{x}</p><p>{x}</p><p>{x}</p>")
 ARTICLE = re.compile(r"<(/?)article\b[^>]*>", re.I)
 
 
@@ -317,7 +318,8 @@ def variants(page: str, rng: random.Random) -> list[str]:
 
     def side() -> str:
         at = rng.randrange(len(words))
-        return rng.choice(FRAMES).format(n=rng.choice(SIDE_NAMES), x=entities.escape(" ".join(words[at:at + rng.randint(1, 25)])) + rng.choice(["", "."]))
+        frame = rng.choice(FRAMES).replace("{i}", rng.choice(INSIDE))
+        return frame.format(n=rng.choice(SIDE_NAMES), x=entities.escape(" ".join(words[at:at + rng.randint(1, 25)])) + rng.choice(["", "."]))
 
     out = [page]
     for _ in range(2):

@@ -106,8 +106,8 @@ class ToxicityModel:
     def score(self, counts: dict[int, int]) -> tuple[float, int | None, float]:
         """Score, id of the nearest example, its cosine.
 
-        Votes weigh as the cosine; one vote of weight 1 holds the prior, which keeps scores between 0 and 1 and near
-        the prior where the evidence is thin.
+        Votes weigh as the cosine; two votes of weight 1 hold the prior, which keeps scores between 0
+        and 1 and near the prior where the evidence is thin: one neighbour decides nothing.
         """
         if not counts:
             return self.blank, None, 0.0
@@ -117,7 +117,7 @@ class ToxicityModel:
             near = self.index.search(self._unit(counts), self.k)
             if near:
                 votes = sum(s * self.labels[i] for i, s in near)
-                known = ((votes + self.prior) / (sum(s for _, s in near) + 1.0), self.ids[near[0][0]], near[0][1])
+                known = ((votes + 2 * self.prior) / (sum(s for _, s in near) + 2), self.ids[near[0][0]], near[0][1])
             else:
                 known = (self.blank, None, 0.0)
             self.memo.put(key, known)
@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
           k: int = 9, folds: int = 5) -> ToxicityModel:
     """Learn from at most ``examples`` labelled documents whose fold isn't 0.
 
-    Labelled ids are taken in the order of a hash. Of equal texts, and of texts that share their rarest-hashing
-    long word as near copies do, one counts. Terms are words, beginnings of words, and either occurring
+    Labelled ids are taken in the order of a hash. Of texts with equal words, and of texts that share the
+    least hash of their long words as near copies do, one counts. Terms are words, beginnings of words, and either occurring
     repeatedly. The vocabulary holds the (at most ``features``) terms whose number of label-1
     documents lies ``least_z`` deviations off the expected one and which occur in at least
     ``least_share`` of the label-1 documents. Only ids, labels and vocabulary
@@ -183,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     counted = rows.select("_id", "_label", "text").mapInArrow(bags, "_id long, _label int, bag map<string,int>")
     words = F.filter(F.map_keys("bag"), lambda w: ~w.endswith("*"))
-    key = F.array_min(F.transform(F.filter(words, lambda w: F.length(w) >= 6), lambda w: F.xxhash64(w)))
-    keyed = landed(counted.withColumn("key", F.coalesce(key, F.xxhash64(F.array_sort(words)))), "bags")
+    long = F.filter(words, lambda w: F.length(w) >= 6)
+    key = F.when(F.size(long) >= 8, F.array_min(F.transform(long, lambda w: F.xxhash64(w)))).otherwise(F.xxhash64(F.array_sort(words)))
+    keyed = landed(counted.withColumn("key", key), "bags")
     first = keyed.groupBy("key").agg(F.min_by(F.struct("_id", "_label", "bag"), F.struct("_id", F.xxhash64(F.array_sort(words)))).alias("x"))
     bagged = landed(first.select("x._id", "x._label", "x.bag"), "examples")
     n, toxic = bagged.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
