@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from curalens.operators.lists import NAME_MAX, deletable
 
 THRESHOLD_REASONS = ["too_small", "wrong_type"]
-ERROR_MAX = 500
 POST_STATES = ["planned", "publishing", "published", "failed", "skipped", "deleted"]
 
 
@@ -37,18 +36,36 @@ def _blank(col: Column | str) -> Column:
     return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+#: Judged fields: a scored row replaces them, an empty text clears them.
+JUDGED_FLAGS = ["style_identified", "one_of_a_kind", "provenance_visible"]
+JUDGED_TEXTS = ["score_reason", "score_detail", "score_model", "summary", "genre", "architect", "year_built", "usage_type", "structure",
+                "building_area", "site_area", "style_name", "summary_en", "photo_credit", "display_name", "caption_body", "location_region"]
+
+
 def merge_scores(props: DataFrame, scored: DataFrame) -> DataFrame:
-    """Write scores back: judged fields overwrite, place and price only fill gaps."""
+    """Write scores back: judged fields overwrite, place, street and price only fill gaps.
+
+    Only fields that both sides have are written; a listing without a score stays as it is. Numbers
+    are made anew from the merged price and year of the scored rows.
+    """
+    from curalens.functions.values import parse_year, price_parts
     new = scored.withColumnsRenamed({c: f"_{c}" for c in scored.columns})
     hit = F.col("_property_id").isNotNull()
     rows = props.join(new, props.id == new._property_id, "left")
-    over = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c))
-            for c in ("score", "style_identified", "one_of_a_kind", "provenance_visible")}
-    over |= {c: F.when(hit, _blank(f"_{c}")).otherwise(F.col(c)) for c in ("genre", "architect", "year_built",
-                                                                          "display_name")}
-    keep = {old: F.coalesce(old, _blank(f"_{new_name}")) for old, new_name in
-            (("location_city", "city"), ("location_country", "country"), ("price", "price"))}
-    return rows.withColumns(over | keep).drop(*new.columns)
+    both = [c for c in props.columns if c in scored.columns]
+    done = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("score", "scored_at", *JUDGED_FLAGS) if c in both}
+    done |= {c: F.when(hit, _blank(f"_{c}")).otherwise(F.col(c)) for c in JUDGED_TEXTS if c in both}
+    done |= {old: F.coalesce(old, _blank(f"_{new_name}")) for old, new_name in
+             (("location_city", "city"), ("location_country", "country"), ("price", "price"), ("street_address", "street_address"))
+             if old in props.columns and new_name in scored.columns}
+    rows = rows.withColumns(done)
+    numbers = {}
+    if {"price_value", "price_currency"} <= set(props.columns):
+        rows = rows.withColumn("_parts", price_parts(F.col("price")))
+        numbers |= {f"price_{k}": F.when(hit, F.col(f"_parts.{k}")).otherwise(F.col(f"price_{k}")) for k in ("value", "currency")}
+    if "year_built_value" in props.columns:
+        numbers["year_built_value"] = F.when(hit, parse_year(F.col("year_built"))).otherwise(F.col("year_built_value"))
+    return rows.withColumns(numbers).drop("_parts", *new.columns)
 
 
 def fill_blanks(props: DataFrame, values: DataFrame, fields: list[str]) -> DataFrame:
@@ -64,21 +81,29 @@ def fill_blanks(props: DataFrame, values: DataFrame, fields: list[str]) -> DataF
 
 
 def apply_reviews(props: DataFrame, events: DataFrame) -> DataFrame:
-    """Approve, reject (needs a reason) or reset; the newest valid decision stands."""
+    """Approve, reject (needs a reason) or reset; the newest valid decision stands.
+
+    An approval or a reset clears the delivery tries even if a rejection follows it. Delivered
+    listings and listings without an event stay as they are.
+    """
     valid = events.filter((F.col("action") != "reject") | (F.trim(F.coalesce("reason", F.lit(""))) != ""))
     last = (valid.groupBy("property_id")
-            .agg(F.max_by(F.struct("action", "reason", "at"), F.struct("at", "seq")).alias("_ev"))
-            .select(F.col("property_id").alias("id"), "_ev"))
-    act = F.when(F.col("status") != "delivered", F.col("_ev.action"))
-    clear = act.isin("approve", "reset")
+            .agg(F.max_by(F.struct("action", "reason", "at"), F.struct("at", "seq")).alias("_ev"),
+                 F.bool_or(F.col("action").isin("approve", "reset")).alias("_clears"))
+            .select(F.col("property_id").alias("id"), "_ev", "_clears"))
+    open_row = F.col("status") != "delivered"
+    act = F.when(open_row, F.col("_ev.action"))
+    clear = open_row & F.coalesce("_clears", F.lit(False))
     rows = props.join(last, "id", "left")
     return rows.withColumns({
         "delivery_attempts": F.when(clear, 0).otherwise(F.col("delivery_attempts")),
-        "reject_reason": F.when(act == "reject", F.trim("_ev.reason")),
+        "delivery_error": F.when(clear, None).otherwise(F.col("delivery_error")),
+        "delivery_attempted_at": F.when(clear, None).otherwise(F.col("delivery_attempted_at")),
+        "reject_reason": F.when(act == "reject", F.trim("_ev.reason")).when(act.isNull(), F.col("reject_reason")),
         "reviewed_at": F.when(act == "reset", None).when(act.isNotNull(), F.col("_ev.at")).otherwise(F.col("reviewed_at")),
         "status": F.when(act == "approve", "approved").when(act == "reject", "rejected")
         .when(act == "reset", "pending").otherwise(F.col("status")),
-    }).drop("_ev")
+    }).drop("_ev", "_clears")
 
 
 def feedback_from_reviews(props: DataFrame, events: DataFrame) -> DataFrame:
@@ -144,8 +169,14 @@ def apply_post_events(events: DataFrame, max_attempts: int = 3, bucket_seconds:
 
 
 def edit_posts(posts: DataFrame, edits: DataFrame) -> DataFrame:
-    """Newest caption and image order per post; only where a post can still change."""
+    """Newest caption and image order per post, only where a post can still change; newest note anywhere.
+
+    A caption edited by hand keeps its mark (the time of the newest such edit) when a machine edit
+    follows. Fields without an edit stay.
+    """
+    by_hand = (F.col("field") == "caption") & F.col("by_hand")
     last = edits.groupBy("post_id").agg(
+        F.max(F.when(by_hand, F.col("at"))).alias("_hand_at"),
         *[F.max_by(F.when(F.col("field") == f, F.struct("value", "by_hand", "at")),
                    F.when(F.col("field") == f, F.struct("at", "seq"))).alias(f"_{f}") for f in ("caption", "image_order",
                                                                                                "note")])
@@ -153,12 +184,11 @@ def edit_posts(posts: DataFrame, edits: DataFrame) -> DataFrame:
     may = F.col("state").isin("planned", "failed", "skipped")
     return rows.withColumns({
         "caption": F.when(may & F.col("_caption").isNotNull(), F.col("_caption.value")).otherwise(F.col("caption")),
-        "caption_edited_at": F.when(may & F.col("_caption.by_hand"), F.col("_caption.at"))
-        .otherwise(F.col("caption_edited_at")),
+        "caption_edited_at": F.when(may & F.col("_hand_at").isNotNull(), F.col("_hand_at")).otherwise(F.col("caption_edited_at")),
         "image_order": F.when(may & F.col("_image_order").isNotNull(), F.col("_image_order.value"))
         .otherwise(F.col("image_order")),
-        "note": F.when(F.col("_note").isNotNull(), F.nullif(F.trim("_note.value"), F.lit(""))),
-    }).drop("post_id", "_caption", "_image_order", "_note")
+        "note": F.when(F.col("_note").isNotNull(), F.nullif(F.trim("_note.value"), F.lit(""))).otherwise(F.col("note")),
+    }).drop("post_id", "_hand_at", "_caption", "_image_order", "_note")
 
 
 def delivery_failures(props: DataFrame, failures: DataFrame) -> DataFrame:
@@ -169,7 +199,7 @@ def delivery_failures(props: DataFrame, failures: DataFrame) -> DataFrame:
     hit = F.col("_n").isNotNull()
     return rows.withColumns({
         "delivery_attempts": F.col("delivery_attempts") + F.coalesce("_n", F.lit(0)),
-        "delivery_error": F.when(hit, F.substring("_message", 1, ERROR_MAX)).otherwise(F.col("delivery_error")),
+        "delivery_error": F.when(hit, F.col("_message")).otherwise(F.col("delivery_error")),
         "delivery_attempted_at": F.when(hit, F.col("_at")).otherwise(F.col("delivery_attempted_at")),
     }).drop("property_id", "_n", "_message", "_at")
 
@@ -224,10 +254,12 @@ def set_series(props: DataFrame, labels: DataFrame) -> DataFrame:
 def set_listing(props: DataFrame, checks: DataFrame) -> DataFrame:
     """Save sale statuses; listings that could not be checked stay untouched."""
     new = (checks.filter(F.col("value").isNotNull())
-           .groupBy(F.col("property_id").alias("id")).agg(F.max_by(F.struct("value", "mls", "at"), "at").alias("_c")))
+           .groupBy(F.col("property_id").alias("id")).agg(F.max_by(F.struct(*[c for c in checks.columns if c != "property_id"]), "at").alias("_c")))
     rows = props.join(new, "id", "left")
     hit = F.col("_c").isNotNull()
-    return rows.withColumns({
+    note = {"listing_status_note": F.when(hit, _blank("_c.note")).otherwise(F.col("listing_status_note"))} if (
+        "note" in checks.columns and "listing_status_note" in props.columns) else {}
+    return rows.withColumns(note | {
         "listing_status": F.when(hit, F.col("_c.value")).otherwise(F.col("listing_status")),
         "listing_status_at": F.when(hit, F.col("_c.at")).otherwise(F.col("listing_status_at")),
         "mls_number": F.coalesce("_c.mls", "mls_number"),
@@ -253,7 +285,7 @@ def set_image_page(props: DataFrame, pages: DataFrame) -> DataFrame:
     rows = props.join(new, "id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("status") == "approved")
     return rows.withColumns({
-        "image_page_url": F.when(hit, F.col("_url")),
+        "image_page_url": F.when(hit, F.col("_url")).otherwise(F.col("image_page_url")),
         "delivery_attempts": F.when(hit, 0).otherwise(F.col("delivery_attempts")),
         "delivery_error": F.when(~hit, F.col("delivery_error")),
         "delivery_attempted_at": F.when(~hit, F.col("delivery_attempted_at")),
@@ -267,10 +299,11 @@ def delete_candidates(props: DataFrame, **choice) -> DataFrame:
 
 
 def replace_note(notes: DataFrame, now_week: str) -> DataFrame:
-    """One note per finished week: the newest."""
+    """One note per finished week: the newest, with all its columns."""
     done = notes.filter(F.col("week_start") < F.lit(now_week).cast("date"))
-    return done.groupBy("week_start").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"),
-                                          F.max("created_at").alias("created_at"))
+    rest = [c for c in notes.columns if c != "week_start"]
+    return (done.groupBy("week_start").agg(F.max_by(F.struct(*rest), F.struct("created_at", "id")).alias("_row"))
+            .select("week_start", "_row.*"))
 
 
 def clear_images(images: DataFrame, skips: DataFrame, props: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

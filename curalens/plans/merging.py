@@ -33,18 +33,33 @@ UNION ALL SELECT property_id, kind, id FROM inc WHERE property_id IS NULL""")(
                              v.posts.filter("state = 'planned'").select("property_id", "kind", "id"),
                              ["property_id", "kind"], ["id"]))
 query("merge_scores", """
+WITH a AS (SELECT * EXCLUDE (summary), 'because ' || story_score AS score_reason, 'short ' || property_id AS summary, '12 Pine Road' AS street_address
+  FROM assessments WHERE story_score > 30)
 SELECT p.id, CASE WHEN a.property_id IS NOT NULL THEN CAST(a.story_score AS DOUBLE) ELSE p.score END AS score,
+  CASE WHEN a.property_id IS NOT NULL THEN TIMESTAMP '2024-05-01 00:00:00' ELSE p.scored_at END AS scored_at,
+  CASE WHEN a.property_id IS NOT NULL THEN a.score_reason ELSE 'old' END AS score_reason,
+  CASE WHEN a.property_id IS NOT NULL THEN a.summary ELSE 'old' END AS summary,
   CASE WHEN a.property_id IS NOT NULL THEN nullif(a.genre, '') ELSE p.genre END AS genre,
+  CASE WHEN a.property_id IS NOT NULL THEN nullif(a.year_built, '') ELSE p.year_built END AS year_built,
+  CASE WHEN a.property_id IS NOT NULL THEN TRY_CAST(nullif(regexp_extract(coalesce(a.year_built, ''), '\\b(1[0-9]{3}|20[0-9]{2})s?\\b', 1), '') AS INT)
+    ELSE p.year_built_value END AS year_built_value,
+  coalesce(p.street_address, a.street_address) AS street_address,
   coalesce(p.location_city, nullif(a.city, '')) AS location_city,
   coalesce(p.location_country, nullif(a.country, '')) AS location_country,
   coalesce(p.price, nullif(a.price, '')) AS price,
-  CASE WHEN a.property_id IS NOT NULL THEN a.one_of_a_kind ELSE p.one_of_a_kind END AS one_of_a_kind
-FROM properties p LEFT JOIN (SELECT * FROM assessments WHERE story_score > 30) a ON a.property_id = p.id""")(
+  CASE WHEN a.property_id IS NOT NULL THEN a.one_of_a_kind ELSE p.one_of_a_kind END AS one_of_a_kind,
+  p.reject_reason, p.status, p.listing_url
+FROM properties p LEFT JOIN a ON a.property_id = p.id""")(
     lambda v: op.merge_scores(
-        v.properties, v.assessments.filter("story_score > 30").withColumn("score", F.col("story_score").cast("double"))
-        .select("property_id", "score", "genre", "architect", "year_built", "display_name", "city", "country", "price",
-                "style_identified", "one_of_a_kind", "provenance_visible"))
-    .select("id", "score", "genre", "location_city", "location_country", "price", "one_of_a_kind"))
+        v.properties.withColumns({"score_reason": F.lit("old"), "summary": F.lit("old")}),
+        v.assessments.filter("story_score > 30").withColumns({
+            "score": F.col("story_score").cast("double"), "scored_at": F.lit("2024-05-01").cast("timestamp"),
+            "score_reason": F.concat(F.lit("because "), "story_score"), "summary": F.concat(F.lit("short "), "property_id"),
+            "street_address": F.lit("12 Pine Road")})
+        .select("property_id", "score", "scored_at", "score_reason", "summary", "street_address", "genre", "architect", "year_built", "display_name",
+                "city", "country", "price", "style_identified", "one_of_a_kind", "provenance_visible"))
+    .select("id", "score", "scored_at", "score_reason", "summary", "genre", "year_built", "year_built_value", "street_address", "location_city",
+            "location_country", "price", "one_of_a_kind", "reject_reason", "status", "listing_url"))
 query("fill_blanks", """
 SELECT p.id, CASE WHEN length(p.display_name) > 40 AND a.display_name <> '' THEN a.display_name
     ELSE coalesce(p.display_name, nullif(a.display_name, '')) END AS display_name,
@@ -53,18 +68,21 @@ FROM properties p LEFT JOIN assessments a ON a.property_id = p.id""")(
     lambda v: op.fill_blanks(v.properties, v.assessments, ["display_name", "architect"])
     .select("id", "display_name", "architect"))
 query("apply_reviews", """
-WITH e AS (SELECT property_id, arg_max({'a': action, 'r': reason, 't': "at"}, {'t': "at", 's': seq}) AS ev
-  FROM review_events WHERE action <> 'reject' OR reason IS NOT NULL GROUP BY 1)
-SELECT p.id, CASE WHEN p.status = 'delivered' OR e.ev IS NULL THEN p.status WHEN e.ev.a = 'approve' THEN 'approved'
-    WHEN e.ev.a = 'reject' THEN 'rejected' ELSE 'pending' END AS status,
-  CASE WHEN p.status <> 'delivered' AND e.ev.a = 'reject' THEN e.ev.r END AS reject_reason,
-  CASE WHEN p.status = 'delivered' OR e.ev IS NULL THEN p.reviewed_at WHEN e.ev.a = 'reset' THEN NULL ELSE e.ev.t END
-    AS reviewed_at,
-  CASE WHEN p.status <> 'delivered' AND e.ev.a IN ('approve', 'reset') THEN 0 ELSE p.delivery_attempts END
-    AS delivery_attempts
-FROM properties p LEFT JOIN e ON e.property_id = p.id""")(
+WITH e AS (SELECT property_id, arg_max({'a': action, 'r': reason, 't': "at"}, {'t': "at", 's': seq}) AS ev,
+    bool_or(action IN ('approve', 'reset')) AS clears
+  FROM review_events WHERE action <> 'reject' OR reason IS NOT NULL GROUP BY 1),
+m AS (SELECT p.*, CASE WHEN p.status <> 'delivered' THEN e.ev END AS ev, p.status <> 'delivered' AND coalesce(e.clears, false) AS clears
+  FROM properties p LEFT JOIN e ON e.property_id = p.id)
+SELECT id, CASE WHEN ev IS NULL THEN status WHEN ev.a = 'approve' THEN 'approved' WHEN ev.a = 'reject' THEN 'rejected' ELSE 'pending' END AS status,
+  CASE WHEN ev IS NULL THEN reject_reason WHEN ev.a = 'reject' THEN ev.r END AS reject_reason,
+  CASE WHEN ev IS NULL THEN reviewed_at WHEN ev.a = 'reset' THEN NULL ELSE ev.t END AS reviewed_at,
+  CASE WHEN clears THEN 0 ELSE delivery_attempts END AS delivery_attempts,
+  CASE WHEN NOT clears THEN delivery_error END AS delivery_error,
+  CASE WHEN NOT clears THEN delivery_attempted_at END AS delivery_attempted_at, image_page_url, price, listing_status_note
+FROM m""")(
     lambda v: op.apply_reviews(v.properties, v.review_events)
-    .select("id", "status", "reject_reason", "reviewed_at", "delivery_attempts"))
+    .select("id", "status", "reject_reason", "reviewed_at", "delivery_attempts", "delivery_error", "delivery_attempted_at", "image_page_url", "price",
+            "listing_status_note"))
 query("review_feedback", """
 SELECT e.property_id, e.reason, e.at AS created_at FROM review_events e JOIN properties p ON p.id = e.property_id
 WHERE e.action = 'reject' AND e.reason IS NOT NULL AND p.status <> 'delivered'""")(
@@ -82,18 +100,18 @@ r AS (SELECT post_id, list_reduce(list_prepend(0, acts), lambda c, a: CASE
 SELECT post_id, ['planned', 'publishing', 'published', 'failed', 'skipped', 'deleted'][c // 4 + 1] AS state,
   CAST(c % 4 AS INT) AS attempts FROM r""")(lambda v: op.apply_post_events(v.post_events))
 query("edit_posts", """
-WITH e AS (SELECT event_id // 2 AS post_id, event_id AS seq, ts AS at, ['caption', 'image_order', 'note'][event_id % 3 + 1]
+WITH e AS (SELECT event_id // 8 * 3 AS post_id, event_id AS seq, ts AS at, ['caption', 'image_order', 'note'][event_id % 3 + 1]
     AS field, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'v' || event_id END AS value, event_id % 4 = 0 AS by_hand FROM events),
-l AS (SELECT post_id, field, arg_max({'v': value, 'h': by_hand, 'a': "at"}, seq) AS x FROM e GROUP BY 1, 2)
+l AS (SELECT post_id, field, arg_max({'v': value}, seq) AS x, max(CASE WHEN by_hand THEN "at" END) AS hand FROM e GROUP BY 1, 2)
 SELECT p.id, CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND c.x IS NOT NULL THEN c.x.v ELSE p.caption END AS caption,
-  CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND c.x.h THEN c.x.a ELSE p.caption_edited_at END
+  CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND c.hand IS NOT NULL THEN c.hand ELSE p.caption_edited_at END
     AS caption_edited_at,
   CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND i.x IS NOT NULL THEN i.x.v ELSE p.image_order END
-    AS image_order, nullif(trim(n.x.v), '') AS note
+    AS image_order, CASE WHEN n.x IS NOT NULL THEN nullif(trim(n.x.v), '') ELSE p.note END AS note
 FROM posts p LEFT JOIN l c ON c.post_id = p.id AND c.field = 'caption'
 LEFT JOIN l i ON i.post_id = p.id AND i.field = 'image_order' LEFT JOIN l n ON n.post_id = p.id AND n.field = 'note'""")(
-    lambda v: op.edit_posts(v.posts.withColumn("note", F.lit(None).cast("string")), v.table("events").selectExpr(
-        "event_id div 2 AS post_id", "event_id AS seq", "ts AS at",
+    lambda v: op.edit_posts(v.posts, v.table("events").selectExpr(
+        "event_id div 8 * 3 AS post_id", "event_id AS seq", "ts AS at",
         "element_at(array('caption', 'image_order', 'note'), CAST(event_id % 3 + 1 AS INT)) AS field",
         "IF(event_id % 11 = 0, ' ', concat('v', event_id)) AS value", "event_id % 4 = 0 AS by_hand"))
     .select("id", "caption", "caption_edited_at", "image_order", "note"))
@@ -145,17 +163,18 @@ FROM properties p JOIN orders o ON o.o_orderkey = p.id""")(
         "o_orderkey AS property_id", "IF(o_orderpriority = '2-HIGH', 'lake', '') AS series")).select("id", "series"))
 query("set_listing", """
 WITH c AS (SELECT l_orderkey AS property_id, arg_max({'v': CASE l_returnflag WHEN 'A' THEN 'sold' ELSE 'active' END,
-    'm': CASE WHEN l_partkey % 2 = 0 THEN 'M' || l_partkey END, 't': ts}, ts) AS x
+    'm': CASE WHEN l_partkey % 2 = 0 THEN 'M' || l_partkey END, 'n': 'page says ' || l_returnflag, 't': ts}, ts) AS x
   FROM (SELECT *, l_shipdate + to_seconds(l_partkey * 10 + l_linenumber) AS ts FROM lineitem)
   WHERE l_returnflag <> 'N' GROUP BY 1)
 SELECT p.id, CASE WHEN c.x IS NOT NULL THEN c.x.v ELSE p.listing_status END AS listing_status,
   CASE WHEN c.x IS NOT NULL THEN c.x.t ELSE p.listing_status_at END AS listing_status_at,
+  CASE WHEN c.x IS NOT NULL THEN c.x.n ELSE p.listing_status_note END AS listing_status_note,
   coalesce(c.x.m, p.mls_number) AS mls_number FROM properties p LEFT JOIN c ON c.property_id = p.id""")(
     lambda v: op.set_listing(v.properties, v.table("lineitem").selectExpr(
         "l_orderkey AS property_id", "CASE l_returnflag WHEN 'A' THEN 'sold' WHEN 'R' THEN 'active' END AS value",
-        "CASE WHEN l_partkey % 2 = 0 THEN concat('M', l_partkey) END AS mls",
+        "CASE WHEN l_partkey % 2 = 0 THEN concat('M', l_partkey) END AS mls", "concat('page says ', l_returnflag) AS note",
         "l_shipdate + make_interval(0, 0, 0, 0, 0, 0, l_partkey * 10 + l_linenumber) AS at"))
-    .select("id", "listing_status", "listing_status_at", "mls_number"))
+    .select("id", "listing_status", "listing_status_at", "listing_status_note", "mls_number"))
 query("set_feedback_tag", """
 SELECT id, coalesce(reason_tag, CASE WHEN reason LIKE '%LOW%' THEN 'other' END) AS reason_tag FROM feedback""")(
     lambda v: op.set_feedback_tag(v.feedback, v.feedback.filter("reason_tag IS NULL AND reason LIKE '%LOW%'")
@@ -167,7 +186,7 @@ FROM rules""")(
         "reason_tag", "CASE WHEN hit_count > 30 THEN 'approved' WHEN hit_count > 25 THEN 'dismissed' ELSE 'maybe' END "
         "AS decision")).select("reason_tag", "state"))
 query("set_image_page", """
-SELECT id, CASE WHEN status = 'approved' AND genre = 'loft' THEN 'https://photos.example.com/' || id END AS image_page_url,
+SELECT id, CASE WHEN status = 'approved' AND genre = 'loft' THEN 'https://photos.example.com/' || id ELSE image_page_url END AS image_page_url,
   CASE WHEN status = 'approved' AND genre = 'loft' THEN 0 ELSE delivery_attempts END AS delivery_attempts,
   CASE WHEN status = 'approved' AND genre = 'loft' THEN NULL ELSE delivery_error END AS delivery_error FROM properties""")(
     lambda v: op.set_image_page(v.properties, _lofts(v).selectExpr(
@@ -176,7 +195,8 @@ SELECT id, CASE WHEN status = 'approved' AND genre = 'loft' THEN 'https://photos
 query("delete_candidates", "SELECT id, status FROM properties WHERE NOT (source = 'src0' AND status <> 'delivered')")(
     lambda v: op.delete_candidates(v.properties, source="src0").select("id", "status"))
 query("replace_note", """
-SELECT week_start, arg_max(id, {'c': created_at, 'i': id}) AS id, max(created_at) AS created_at FROM weekly_notes
+SELECT week_start, arg_max(id, {'c': created_at, 'i': id}) AS id, arg_max(body, {'c': created_at, 'i': id}) AS body,
+  arg_max(source, {'c': created_at, 'i': id}) AS source, max(created_at) AS created_at FROM weekly_notes
 WHERE week_start < DATE '2024-01-15' GROUP BY 1""")(lambda v: op.replace_note(v.weekly_notes, "2024-01-15"))
 query("clear_images", """
 SELECT property_id, source_url, position FROM images WHERE property_id NOT IN

@@ -84,6 +84,9 @@ SELECT o_orderkey AS id,
     WHEN 4 THEN 'off_market' ELSE 'unknown' END AS listing_status,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 5 DAY END AS listing_status_at,
   CASE WHEN o_orderkey % 4 = 0 THEN 'A' || (10000000 + o_orderkey) END AS mls_number,
+  CASE WHEN o_orderstatus NOT IN ('O', 'F') AND o_orderkey % 2 = 0 THEN 'not for us: ' || o_orderpriority END AS reject_reason,
+  CASE WHEN o_orderkey % 10 = 3 THEN 'https://pages.example.com/' || o_orderkey END AS image_page_url,
+  CASE WHEN o_orderkey % 7 <> 0 THEN 'seen as ' || o_orderpriority END AS listing_status_note,
   o_orderdate AS collected_at,
   CASE WHEN NOT (o_orderstatus = 'O' AND o_orderkey % 3 = 0) THEN o_orderdate + INTERVAL 1 DAY END AS scored_at,
   CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 2 DAY END AS reviewed_at
@@ -119,7 +122,8 @@ SELECT event_id AS id, CASE WHEN event_id % 17 <> 0 THEN user_id * 50 + event_id
   CASE WHEN event_id % 3 = 0 THEN 'lead' || chr(10) || '【 Villa ' || event_id || ' 】'
     ELSE '・' || chr(10) || 'plain line ' || event_id END AS caption,
   CASE WHEN event_id % 6 = 0 THEN ts END AS caption_edited_at,
-  CASE WHEN event_id % 5 = 0 THEN '3,1,9' END AS image_order
+  CASE WHEN event_id % 5 = 0 THEN '3,1,9' END AS image_order,
+  CASE WHEN event_id % 4 = 1 THEN 'remember ' || event_id END AS note
 FROM events""",
     "reach_readings": """
 SELECT 'm' || (event_id - event_id % 5) AS media_id, ts AS read_at, CAST(floor(value * 10) AS BIGINT) AS reach

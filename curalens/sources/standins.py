@@ -117,6 +117,9 @@ _PROPERTY_COLUMNS = [
     "WHEN 4 THEN 'off_market' ELSE 'unknown' END AS listing_status",
     "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 5 DAYS END AS listing_status_at",
     "CASE WHEN o_orderkey % 4 = 0 THEN concat('A', 10000000 + o_orderkey) END AS mls_number",
+    f"CASE WHEN {_STATUS} = 'rejected' THEN concat('not for us: ', o_orderpriority) END AS reject_reason",
+    "CASE WHEN o_orderkey % 10 = 3 THEN concat('https://pages.example.com/', o_orderkey) END AS image_page_url",
+    "CASE WHEN o_orderkey % 7 <> 0 THEN concat('seen as ', o_orderpriority) END AS listing_status_note",
     "o_orderdate AS collected_at",
     f"CASE WHEN ({_SCORE}) IS NOT NULL THEN o_orderdate + INTERVAL 1 DAY END AS scored_at",
     "CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 2 DAYS END AS reviewed_at",
@@ -140,6 +143,7 @@ _POST_COLUMNS = [
     "event_id) END AS caption",
     "CASE WHEN event_id % 6 = 0 THEN ts END AS caption_edited_at",
     "CASE WHEN event_id % 5 = 0 THEN '3,1,9' END AS image_order",
+    "CASE WHEN event_id % 4 = 1 THEN concat('remember ', event_id) END AS note",
 ]
 
 _ARTICLE_TAIL = (
