@@ -8,9 +8,9 @@ from curalens.config import COUNTRY_ALPHA2, COUNTRY_SHORT
 from curalens.functions.spans import match_spans
 
 # How addresses are written.
-US_ADDRESS = (r"([0-9][^,\n]{2,60}?),\s*([A-Za-z][A-Za-z .'\-]{1,38}?),?\s+([A-Z]{2})\s+(\d{5})(?:-\d{4})?")
+US_ADDRESS = (r"(?U)([0-9][^,\n]{2,60}?),\s*([A-Za-z][A-Za-z .'\-]{1,38}?),?\s+([A-Z]{2})\s+(\d{5})(?:-\d{4})?")
 TW_ADDRESS = r"([一-鿿]{1,3}[縣市])([一-鿿]{1,4}[區鄉鎮市])"
-TW_LABEL = r"地址[：:\s]*"
+TW_LABEL = r"(?U)地址[：:\s]*"
 TW_LABEL_REACH = 40
 
 

@@ -36,7 +36,7 @@ def match_spans(text: Column, pattern: str) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def window_text(text: Column, start: Column, stop: Column, width: int, length: Column) -> Column:

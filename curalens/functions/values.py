@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from curalens.config import CURRENCY_MARKS
+from curalens.functions.patterns import plain_digits
 
-NUMBER = r"\d[\d,]*(?:\.\d+)?"
-YEAR = r"\b(1[0-9]{3}|20[0-9]{2})(?=s?\b)"
+NUMBER = r"(?U)\d[\d,]*(?:\.\d+)?"
+YEAR = r"(?U)\b(1[0-9]{3}|20[0-9]{2})(?=s?\b)"
 
 
 def blank_to_null(col: Column) -> Column:
@@ -24,7 +25,7 @@ def price_parts(text: Column) -> Column:
     mark = F.lit(None).cast("string")
     for sign, code in reversed(CURRENCY_MARKS):
         mark = F.when(F.contains(raw, F.lit(sign)), F.lit(code)).otherwise(mark)
-    digits = F.replace(F.regexp_extract(raw, NUMBER, 0), F.lit(","), F.lit(""))
+    digits = plain_digits(F.replace(F.regexp_extract(raw, NUMBER, 0), F.lit(","), F.lit("")))
     number = F.nullif(digits, F.lit("")).try_cast("double")
     unit = F.lower(F.regexp_extract(raw, r"(?s)" + NUMBER + r"[\s　]*(.?)", 1))
     factor = (F.when(unit == "億", 1e8).when(unit.isin("萬", "万"), 1e4)
@@ -52,7 +53,7 @@ def area_with_metric(text: Column) -> Column:
     low = F.lower(text)
     metric = (F.contains(text, F.lit("㎡")) | F.contains(low, F.lit("m²"))
               | F.contains(low, F.lit("sq m")) | F.contains(low, F.lit("sqm")))
-    number = F.replace(F.regexp_extract(text, r"\d[\d,]*(?:\.\d+)?", 0), F.lit(","), F.lit("")).try_cast("double")
+    number = plain_digits(F.replace(F.regexp_extract(text, NUMBER, 0), F.lit(","), F.lit(""))).try_cast("double")
     # Square metres per acre and per square foot.
     rate = (F.when(F.contains(low, F.lit("acre")), 4046.8564224)
             .when(F.contains(low, F.lit("sq")) & F.contains(low, F.lit("ft")), 0.09290304))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from curalens.config import SignalConfig
 from curalens.functions.places import pick_address
 from curalens.functions.ranks import histogram_median
+from curalens.functions.patterns import wide
 from curalens.functions.urls import authority, normalize_url, path_of, url_allowed
 from curalens.operators.extract import extract_pages, image_urls
 from curalens.operators.matching import source_by_domain
@@ -18,7 +19,7 @@ EXCERPT_CHARS = 800
 
 def first_price(text: Column, patterns: list[str]) -> Column:
     """First pattern of the list that occurs."""
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, p, 0)), F.lit("")) for p in patterns])
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, wide(p), 0)), F.lit("")) for p in patterns])
 
 
 def failure_class(status: Column, problem: Column) -> Column:

@@ -9,6 +9,7 @@ done with column expressions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,6 +32,8 @@ NOISE_MARK = re.compile(
 SCRIPT_IMAGE = re.compile(r"https?://[^\s\"'<>\\]+\.(?:jpg|jpeg|png|webp)(?:\?[^\s\"'<>\\]*)?", re.IGNORECASE)
 LAZY_ATTRS = ("data-src", "data-original", "data-lazy-src", "src")
 MIN_ARTICLE_CHARS = 400
+#: A marked section outside foreign content; browsers take it for a comment.
+BOGUS_DECLARATION = re.compile(r"<!\[[^>]*>?")
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES_P = {"p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "form",
@@ -38,23 +41,34 @@ CLOSES_P = {"p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5",
 SAME_LEVEL = {"li", "p", "td", "th", "tr", "dt", "dd", "option"}
 
 SCHEMA = ("title string, text string, whole_text string, hrefs array<string>, "
-          "image_refs array<struct<kind:string,ref:string>>")
+          "image_refs array<struct<kind:string,ref:string>>, parse_error string")
 
 
 class _Node:
-    __slots__ = ("attrs", "kids", "tag")
+    """An element. Its descendants stand behind it in the flat list of the page, up to ``end``."""
+    __slots__ = ("attrs", "end", "flat", "place", "tag", "_noise")
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], flat: list["_Node | str"]) -> None:
+        self.tag, self.attrs, self.flat, self.place, self.end, self._noise = tag, attrs, flat, len(flat), None, None
+        flat.append(self)
+
+    @property
+    def stop(self) -> int:
+        return len(self.flat) if self.end is None else self.end
 
     def walk(self, skip) -> Iterator["_Node | str"]:
         """Nodes and texts below, in order, without the parts ``skip`` names."""
-        for kid in self.kids:
-            if isinstance(kid, str):
-                yield kid
-            elif not skip(kid):
-                yield kid
-                yield from kid.walk(skip)
+        at, stop = self.place + 1, self.stop
+        while at < stop:
+            item = self.flat[at]
+            if isinstance(item, str):
+                yield item
+            elif skip(item):
+                at = item.stop
+                continue
+            else:
+                yield item
+            at += 1
 
     def strings(self, skip) -> list[str]:
         return [s.strip() for s in self.walk(skip) if isinstance(s, str) and s.strip()]
@@ -66,18 +80,31 @@ class _Node:
             return value in self.attrs.get("class", "").split()
         return self.attrs.get(kind) == value
 
+    @property
+    def noise(self) -> bool:
+        if self._noise is None:
+            self._noise = (self.tag in STRIP_TAGS or self.tag in CHROME_TAGS
+                           or bool(NOISE_MARK.search(f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}")))
+        return self._noise
+
 
 class _Tree(HTMLParser):
-    """Small forgiving tree builder."""
+    """Small forgiving tree builder. Elements left open end with the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {})
+        self.root = _Node("", {}, [])
         self.open = [self.root]
+        self.counts: Counter[str] = Counter()
 
     def _close(self, tag: str, stop: set[str]) -> None:
+        if not self.counts[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
+                for node in self.open[at:]:
+                    node.end = len(self.root.flat)
+                    self.counts[node.tag] -= 1
                 del self.open[at:]
                 return
             if self.open[at].tag in stop:
@@ -88,17 +115,38 @@ class _Tree(HTMLParser):
             self._close("p", {"article", "section", "div", "td", "li", "body", "blockquote"} - {tag})
         if tag in SAME_LEVEL and tag != "p":
             self._close(tag, {"ul", "ol", "table", "dl", "select", "tr"} - {tag})
-        node = _Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].kids.append(node)
-        if tag not in VOID:
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.root.flat)
+        if tag in VOID:
+            node.end = len(self.root.flat)
+        else:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_endtag(self, tag) -> None:
-        if any(n.tag == tag for n in self.open[1:]):
-            self._close(tag, set())
+        self._close(tag, set())
 
     def handle_data(self, data) -> None:
-        self.open[-1].kids.append(data)
+        self.root.flat.append(data)
+
+
+def _built(html: str) -> tuple[_Node, str | None]:
+    """The tree of a page, and what was wrong with its markup.
+
+    Declarations that the parser can't read are left out; if it still fails, the page is its text
+    without tags.
+    """
+    problem = None
+    for source in (html, BOGUS_DECLARATION.sub("", html)):
+        parser = _Tree()
+        try:
+            parser.feed(source)
+            parser.close()
+            return parser.root, problem
+        except (AssertionError, ValueError, RecursionError) as error:
+            problem = f"{type(error).__name__}: {error}"
+    root = _Node("", {}, [])
+    root.flat.append(re.sub(r"<[^>]*>", " ", html))
+    return root, problem
 
 
 def _is_stripped(node: _Node) -> bool:
@@ -106,8 +154,7 @@ def _is_stripped(node: _Node) -> bool:
 
 
 def _is_noise(node: _Node) -> bool:
-    return (node.tag in STRIP_TAGS or node.tag in CHROME_TAGS
-            or bool(NOISE_MARK.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")))
+    return node.noise
 
 
 def _first(root: _Node, skip, kind: str, value: str) -> _Node | None:
@@ -147,17 +194,14 @@ def _image_refs(tree: _Node) -> list[dict[str, str]]:
             refs.append({"kind": "url", "ref": plain})
     scripts = (n for n in tree.walk(lambda n: False) if isinstance(n, _Node) and n.tag == "script")
     for script in scripts:
-        body = "".join(s for s in script.kids if isinstance(s, str)).replace("\\/", "/")
+        body = "".join(s for s in script.walk(lambda n: True) if isinstance(s, str)).replace("\\/", "/")
         refs.extend({"kind": "url", "ref": m.group(0)} for m in SCRIPT_IMAGE.finditer(body))
     return refs
 
 
 def parse_page(html: str | None) -> dict:
-    """Title, article text, page text, raw links and raw image references of one page."""
-    parser = _Tree()
-    parser.feed(html or "")
-    parser.close()
-    tree = parser.root
+    """Title, article text, page text, raw links, raw image references and parse error of one page."""
+    tree, problem = _built(html or "")
     title_node = _first(tree, _is_stripped, "tag", "title")
     title = _meta(tree, "og:title") or (" ".join(title_node.strings(_is_stripped)) if title_node else "")
     root = _article(tree)
@@ -170,18 +214,20 @@ def parse_page(html: str | None) -> dict:
     return {"title": title or None, "text": " ".join(p for p in (title, body) if p),
             "whole_text": " ".join(tree.strings(lambda n: n.tag in {"script", "style", "template"})),
             "hrefs": [h for h in links if h and not h.startswith(("javascript:", "mailto:", "#"))],
-            "image_refs": _image_refs(tree)}
+            "image_refs": _image_refs(tree), "parse_error": problem}
 
 
 def extract_pages(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """Add the parsed columns to ``keep``. The raw HTML does not travel further."""
+    """Add the parsed columns to ``keep``. The raw HTML does not travel further.
+
+    Every page gives a row; ``parse_error`` tells where its markup could not be read as it stands."""
     kept = pages.select(*keep, html)
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in keep)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parsed = pd.DataFrame([parse_page(x) for x in frame[html]], index=frame.index,
-                                  columns=["title", "text", "whole_text", "hrefs", "image_refs"])
+                                  columns=["title", "text", "whole_text", "hrefs", "image_refs", "parse_error"])
             yield pd.concat([frame[keep], parsed], axis=1)
 
     return kept.mapInPandas(batches, f"{kept_schema}, {SCHEMA}")

@@ -305,7 +305,7 @@ def pick_names(media: DataFrame, posts: DataFrame, props: DataFrame, skip: list[
                                       .alias("listing")))
     text = F.coalesce(F.col("caption"), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(skip))
-    bracket = F.nullif(F.trim(F.regexp_extract(text, r"【\s*(.+?)\s*】", 1)), F.lit(""))
+    bracket = F.nullif(F.trim(F.regexp_extract(text, r"(?U)【\s*(.+?)\s*】", 1)), F.lit(""))
     first = F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 80)
     return media.join(named, "media_id", "left").withColumn(
         "name", F.coalesce(F.nullif(F.trim("listing"), F.lit("")), bracket, first)).drop("listing")

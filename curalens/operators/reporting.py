@@ -259,7 +259,7 @@ def publish_delays(posts: DataFrame) -> DataFrame:
 
 
 # A number in a note, and the unit that makes a single digit a figure.
-NOTE_NUMBER = r"\d+(?:[.,]\d+)?"
+NOTE_NUMBER = r"(?U)\d+(?:[.,]\d+)?"
 NOTE_UNIT = r"[〜～~\-–—ー、,.／/や0-9]*[本枚点件％%倍割]"
 
 
@@ -288,4 +288,4 @@ def note_plain(text: Column) -> Column:
     """Take emphasis and heading marks off; words and numbers stay."""
     bare = F.regexp_replace(text, r"\*\*|__", "")
     lines = F.regexp_replace(F.regexp_replace(bare, r"(?m)^#+[^\S\n]*", ""), r"(?m)^[^\S\n]+(?=#)", "")
-    return F.regexp_replace(lines, r"^\s+|\s+$", "")
+    return F.regexp_replace(lines, r"(?U)^\s+|\s+$", "")

@@ -32,7 +32,7 @@ def detect_signals(rows: DataFrame, cfg: SignalConfig = SignalConfig(), text: st
     out = rows.withColumn("_low", F.lower(F.col(text)))
     out = out.withColumn("keywords", F.filter(_texts(cfg.keywords), lambda k: F.contains("_low", F.lower(k))))
     # Most texts lack most patterns: a search that stops early saves cutting them up.
-    spans = F.concat(*[F.when(F.col(text).rlike(f"(?i){p}"), match_spans(F.col(text), f"(?i){p}")).otherwise(no_spans())
+    spans = F.concat(*[F.when(F.col(text).rlike(f"(?iU){p}"), match_spans(F.col(text), f"(?iU){p}")).otherwise(no_spans())
                        for p in cfg.price_patterns])
 
     def near(span: Column) -> Column:

@@ -16,7 +16,8 @@ def one(spark, build, *args):
     ("$1,250,000", 1250000, "USD"), ("US$1,250,000", 1250000, "USD"), ("€850,000", 850000, "EUR"),
     ("£1.2m", 1200000, "GBP"), ("$3.4M", 3400000, "USD"), ("NT$12,000,000", 12000000, "TWD"),
     ("3,980 萬", 39800000, "TWD"), ("1.2億", 120000000, "TWD"), ("$1.5k", 1500, "USD"), ("980万円", 9800000, "JPY"),
-    ("$500,000 — 万一の際は", 500000, "USD"), ("Price on request", None, None), ("", None, None), (None, None, None)])
+    ("$500,000 — 万一の際は", 500000, "USD"),
+    ("３９８０万円", 39800000, "JPY"), ("１.２億", 120000000, "TWD"), ("$\u00a05\u00a0m", 5000000, "USD"), ("٣٠\u3000万", 300000, "JPY"), ("Price on request", None, None), ("", None, None), (None, None, None)])
 def test_price(spark, text, value, currency):
     got = one(spark, values.price_parts, text)
     assert (got.value, got.currency) == (None if value is None else pytest.approx(value), currency)
@@ -24,7 +25,7 @@ def test_price(spark, text, value, currency):
 
 @pytest.mark.parametrize("text, year", [
     ("1868", 1868), ("built in 1902", 1902), ("c. 1920s", 1920), ("1890–1900", 1890), ("Built 1999, renovated 2018", 1999),
-    ("Unit 4501", None), ("90210", None), ("1,250,000", None), (None, None)])
+    ("Unit 4501", None), ("90210", None), ("約1920年", None), ("（1920）", 1920), ("1,250,000", None), (None, None)])
 def test_year(spark, text, year):
     assert one(spark, values.parse_year, text) == year
 

@@ -55,3 +55,14 @@ def test_links_resolved_once(spark):
     df = spark.createDataFrame([(1, "https://h.com/p/q", html)], "id int, url string, html string")
     row = extract.extract_pages(df, ["id", "url"]).select(extract.resolved_links(F.col("hrefs"), F.col("url")).alias("l")).first()
     assert row.l == ["https://h.com/p/b"]
+
+
+def test_any_markup_gives_a_row_in_linear_time():
+    import time
+    for page in ("<div>" * 100_000 + "deep", "<b>" * 100_000 + "open", "<p>x" * 50_000, "</i>" * 100_000 + "end", "<ul><li>" * 20_000 + "x"):
+        began = time.perf_counter()
+        assert extract.parse_page(page)["whole_text"].split()[-1] in ("deep", "open", "x", "end")
+        assert time.perf_counter() - began < 20
+    bad = extract.parse_page("<p>before</p><![foo[ bar ]]><p>after</p>")
+    assert bad["whole_text"] == "before after" and bad["parse_error"].startswith("AssertionError")
+    assert extract.parse_page("<p>good</p>")["parse_error"] is None
