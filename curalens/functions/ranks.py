@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from curalens.session import work_dir
+
 
 def global_row_number(df: DataFrame, value: str, ident: str, out: str = "rn", blocks: int = 1024) -> DataFrame:
     """Exact row number by ``value`` descending, then ``ident`` ascending.
@@ -31,6 +35,23 @@ def global_row_number(df: DataFrame, value: str, ident: str, out: str = "rn", bl
             .drop("_block", "_in", "_v", "_b", "_before"))
 
 
+def sorted_place(rows: DataFrame, order: list, out: str = "place") -> DataFrame:
+    """The place of every row in a total order, from 1, as a global sort gives it.
+
+    The sorted rows land once in the shared folder with their part and their place in it; the parts'
+    counts, a small table, are accumulated and added. No task holds more than a part.
+    """
+    spark = rows.sparkSession
+    path = f"{work_dir(spark)}/sorted-{uuid.uuid4().hex}"
+    (rows.orderBy(*order).withColumn("_part", F.spark_partition_id())
+     .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(path))
+    landed = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = landed.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return landed.join(starts, "_part").withColumn(out, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def histogram_median(hist: DataFrame, keys: list[str], value: str, count: str, upper: bool = False) -> DataFrame:
     """Median per group from a table of (value, how many).
 

@@ -105,15 +105,18 @@ def feed_plus_index(feed: DataFrame, index: DataFrame) -> DataFrame:
     return first_per_key(both, ["source", "url"], ["from_index", "position"])
 
 
-def index_backfill(index: DataFrame, feed: DataFrame, known: DataFrame, max_backfill: int = 20) -> DataFrame:
-    """Index links that neither the feed nor the store has, cut per source only after that.
+def index_backfill(index: DataFrame, feed: DataFrame, known: DataFrame, max_backfill: int | None = None) -> DataFrame:
+    """Index links that neither the source's feed nor the store has, each once, with their rank in the source.
 
-    Cutting first would show the same head of a long index for ever.
+    ``max_backfill`` cuts per source, only after that: cutting first would show the same head of a
+    long index for ever. Without it every link stays.
     """
-    fresh = (index.join(feed.select("url"), "url", "left_anti")
+    once = index.groupBy("source", "url").agg(F.min("position").alias("position"))
+    fresh = (once.join(feed.select("source", "url"), ["source", "url"], "left_anti")
              .join(known.select(F.col("source_url").alias("url")), "url", "left_anti"))
     order = Window.partitionBy("source").orderBy("position", "url")
-    return fresh.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max_backfill)
+    ranked = fresh.withColumn("rn", F.row_number().over(order))
+    return ranked if max_backfill is None else ranked.filter(F.col("rn") <= max_backfill)
 
 
 def index_links(pages: DataFrame, sources: DataFrame, links: Column) -> DataFrame:
@@ -238,14 +241,23 @@ def running_failures(log: DataFrame, limit: int = 3, width: int = 4096) -> DataF
 # --- listing sites ----------------------------------------------------------
 
 def listing_candidates(pages: DataFrame, sources: DataFrame, known: DataFrame, price_patterns: list[str], *,
-                       max_details: int = 40, flat: DataFrame | None = None) -> DataFrame:
-    """Fate of every listing page: duplicate, known, no price, no location, no photo, or candidate."""
-    order = Window.partitionBy("source").orderBy("page_id")
-    first = first_per_key(with_rules(pages, sources).withColumn("url", normalize_url(F.col("url"))).filter(
-        url_allowed(F.col("url"), F.col("url_include"), F.col("url_exclude"))).drop("url_include", "url_exclude"),
-        ["source", "url"], ["page_id"])
-    fresh = (first.join(known.select(F.col("source_url").alias("url")), "url", "left_anti")
-             .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max_details))
+                       max_details: int | None = None, flat: DataFrame | None = None) -> DataFrame:
+    """Fate of every listing page: duplicate, known, over limit, no price, no location, no photo, or candidate.
+
+    Pages are chosen by id, source and address; only the chosen ones fetch their HTML and are parsed.
+    ``max_details`` limits the pages read per source; what lies beyond is reported, not dropped.
+    """
+    keyed = with_rules(pages.drop("html"), sources).withColumn("url", normalize_url(F.col("url"))).filter(
+        url_allowed(F.col("url"), F.col("url_include"), F.col("url_exclude"))).select("page_id", "source", "source_rank", "url")
+    first = keyed.groupBy("source", "url").agg(F.min("page_id").alias("_first"))
+    seen = known.select(F.col("source_url").alias("url")).distinct().withColumn("_known", F.lit(True))
+    fated = keyed.join(first, ["source", "url"]).join(seen, "url", "left").withColumn(
+        "_fate", F.when(F.col("page_id") != F.col("_first"), "duplicate").when(F.col("_known"), "known"))
+    if max_details is not None:
+        order = Window.partitionBy("source", F.col("_fate").isNull()).orderBy("page_id")
+        fated = fated.withColumn("_fate", F.when(F.col("_fate").isNull() & (F.row_number().over(order) > max_details), "over limit")
+                                 .otherwise(F.col("_fate")))
+    fresh = fated.filter(F.col("_fate").isNull()).select("page_id", "source", "source_rank", "url").join(pages.select("page_id", "html"), "page_id")
     read = extract_pages(fresh, ["page_id", "source", "source_rank", "url"])
     price = F.coalesce(first_price(F.col("text"), price_patterns), first_price(F.col("whole_text"), price_patterns))
     address = pick_address(F.col("url"), F.col("title"), F.col("whole_text"))
@@ -257,9 +269,11 @@ def listing_candidates(pages: DataFrame, sources: DataFrame, known: DataFrame, p
         real = real & F.col("_flat").isNull()
     outcome = (F.when(F.col("price").isNull(), "no price").when(F.col("address").isNull(), "no location")
                .when(~real, "no photo").otherwise("candidate"))
-    return rows.select("page_id", "source", "source_rank", "url", F.coalesce("title", F.col("address.address"), "url")
-                       .alias("title"), "price", F.col("address.city").alias("location_city"), "thumbnail",
-                       outcome.alias("outcome"))
+    judged = rows.select("page_id", "source", "source_rank", "url", F.coalesce("title", F.col("address.address"), "url")
+                         .alias("title"), "price", F.col("address.city").alias("location_city"), "thumbnail",
+                         outcome.alias("outcome"))
+    return judged.unionByName(fated.filter(F.col("_fate").isNotNull()).select(
+        "page_id", "source", "source_rank", "url", F.col("_fate").alias("outcome")), allowMissingColumns=True)
 
 
 def relink(props: DataFrame, sources: DataFrame, pages: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from curalens.functions.ranks import sorted_place
+
 NAME_MAX = 40
 SLOT_HOLDING = ["planned", "publishing", "published", "failed"]
 
@@ -38,14 +40,20 @@ def join_delivery(props: DataFrame, deliveries: DataFrame) -> DataFrame:
 
 def ranked_listings(props: DataFrame, deliveries: DataFrame, rates: DataFrame | None = None, *,
                     status: str = "pending", sort: str = "score", min_score: float | None = None,
-                    series: str | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
-    """One page of the review list. Filters first, then the join, then a top-k."""
+                    series: str | None = None, limit: int | None = None, offset: int = 0,
+                    placed: bool = False) -> DataFrame:
+    """The review list, or one page of it. Filters first, then the join, then the order.
+
+    ``placed`` returns the whole list with each row's place instead of a page.
+    """
     rows = props.filter(F.col("status") == status)
     if min_score is not None:
         rows = rows.filter(F.col("score") >= min_score)
     if series is not None:
         rows = rows.filter(F.col("series") == series)
     rows = fx_to_jpy(join_delivery(rows, deliveries), rates)
+    if placed:
+        return sorted_place(rows, sort_keys(sort, "price_jpy"))
     rows = rows.orderBy(*sort_keys(sort, "price_jpy"))
     if offset:
         rows = rows.offset(offset)
@@ -122,7 +130,7 @@ def thin_stock(props: DataFrame, images: DataFrame, at_most: int = 7) -> DataFra
     return props.filter((F.col("status") == "pending") & F.col("score").isNotNull()).join(few, "id", "left_semi")
 
 
-def delivery_queue(props: DataFrame, now: str, *, limit: int | None = 5, max_attempts: int = 3,
+def delivery_queue(props: DataFrame, now: str, *, limit: int | None = None, max_attempts: int = 3,
                    wait_seconds: int = 600) -> DataFrame:
     """What delivery takes next: untried first, then the oldest attempt."""
     cutoff = F.lit(now).cast("timestamp") - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {max(wait_seconds, 0)})")
@@ -207,8 +215,9 @@ def unscored(props: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit is not None else rows
 
 
-def untagged(feedback: DataFrame, limit: int = 10) -> DataFrame:
-    return feedback.filter(F.col("reason_tag").isNull()).orderBy("id").limit(limit)
+def untagged(feedback: DataFrame, limit: int | None = None) -> DataFrame:
+    rows = feedback.filter(F.col("reason_tag").isNull()).orderBy("id")
+    return rows.limit(limit) if limit is not None else rows
 
 
 def published_between(posts: DataFrame, since: str, until: str, kind: str | None = "feed") -> DataFrame:
@@ -248,7 +257,7 @@ def recent_reasons(feedback: DataFrame, per_tag: int = 10) -> DataFrame:
             .filter(F.col("rn") <= per_tag))
 
 
-def latest_reasons(feedback: DataFrame, limit: int = 30) -> DataFrame:
+def latest_reasons(feedback: DataFrame, limit: int) -> DataFrame:
     return feedback.orderBy(F.col("id").desc()).limit(limit)
 
 
@@ -306,7 +315,7 @@ def pick_names(media: DataFrame, posts: DataFrame, props: DataFrame, skip: list[
     text = F.coalesce(F.col("caption"), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(skip))
     bracket = F.nullif(F.trim(F.regexp_extract(text, r"(?U)【\s*(.+?)\s*】", 1)), F.lit(""))
-    first = F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 80)
+    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     return media.join(named, "media_id", "left").withColumn(
         "name", F.coalesce(F.nullif(F.trim("listing"), F.lit("")), bracket, first)).drop("listing")
 

@@ -110,9 +110,10 @@ def _feed(v):
 
 
 query("index_backfill", f"""WITH {_INDEX.strip()},
-f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position, url) AS rn FROM ix WHERE url NOT IN
-  (SELECT url FROM fe) AND url NOT IN (SELECT source_url FROM known_entry_urls))
-SELECT source, url, position, CAST(rn AS INT) AS rn FROM f WHERE rn <= 20""")(
+o AS (SELECT source, url, min(position) AS position FROM ix GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position, url) AS rn FROM o WHERE NOT EXISTS
+  (SELECT 1 FROM fe WHERE fe.source = o.source AND fe.url = o.url) AND url NOT IN (SELECT source_url FROM known_entry_urls))
+SELECT source, url, position, CAST(rn AS INT) AS rn FROM f""")(
     lambda v: op.index_backfill(_index(v), _feed(v), v.known_entry_urls).select("source", "url", "position", "rn"))
 query("feed_plus_index", f"""WITH {_INDEX.strip()},
 b AS (SELECT *, false AS from_index FROM fe UNION ALL (SELECT *, true FROM ix))
@@ -251,12 +252,13 @@ UNION ALL SELECT source, false, reason, NULL, NULL, NULL, NULL, NULL, NULL FROM
 query("listing_candidates", f"""
 WITH f AS (SELECT source, {_normal('url')} AS u, min(page_id) AS page_id FROM listing_pages WHERE source IN ('src0', 'src2', 'src4')
   GROUP BY 1, 2),
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id) AS rn FROM f WHERE u NOT IN (SELECT {_normal('url')}
-  FROM pages WHERE url LIKE '%utm_source%'))
-SELECT page_id, source, CASE WHEN page_id % 4 = 3 THEN 'no price' WHEN page_id % 5 = 4 THEN 'no location' WHEN page_id % 7 = 6
-  THEN 'no photo' ELSE 'candidate' END AS outcome, CASE WHEN page_id % 4 <> 3 THEN '$' || format('{{:,}}', 250000 + page_id * 1000)
-  END AS price, CASE WHEN page_id % 5 <> 4 THEN 'City' || chr(CAST(97 + page_id % 26 AS INT)) END AS location_city
-FROM n WHERE rn <= 40""")(
+k AS (SELECT DISTINCT {_normal('url')} AS u FROM pages WHERE url LIKE '%utm_source%'),
+n AS (SELECT p.page_id, p.source, CASE WHEN p.page_id <> f.page_id THEN 'duplicate' WHEN k.u IS NOT NULL THEN 'known' END AS fate
+  FROM listing_pages p JOIN f ON f.source = p.source AND f.u = {_normal('p.url')} LEFT JOIN k ON k.u = f.u)
+SELECT page_id, source, CASE WHEN fate IS NOT NULL THEN fate WHEN page_id % 4 = 3 THEN 'no price' WHEN page_id % 5 = 4 THEN 'no location' WHEN page_id % 7 = 6
+  THEN 'no photo' ELSE 'candidate' END AS outcome, CASE WHEN fate IS NULL AND page_id % 4 <> 3 THEN '$' || format('{{:,}}', 250000 + page_id * 1000)
+  END AS price, CASE WHEN fate IS NULL AND page_id % 5 <> 4 THEN 'City' || chr(CAST(97 + page_id % 26 AS INT)) END AS location_city
+FROM n""")(
     lambda v: op.listing_candidates(v.listing_pages, v.sources, _utm(v), [r"\$[\d,]{5,}"]).select(
         "page_id", "source", "outcome", "price", "location_city"))
 

@@ -49,9 +49,9 @@ SELECT reason_tag, id, reason, rn FROM (SELECT *, row_number() OVER (PARTITION B
 FROM feedback WHERE reason_tag IS NOT NULL) WHERE rn <= 10""")(
     lambda v: op.recent_reasons(v.feedback).select("reason_tag", "id", "reason", F.col("rn").cast("long").alias("rn")))
 query("latest_reasons", "SELECT id, reason FROM feedback ORDER BY id DESC LIMIT 30")(
-    lambda v: op.latest_reasons(v.feedback).select("id", "reason"))
+    lambda v: op.latest_reasons(v.feedback, 30).select("id", "reason"))
 query("untagged", "SELECT id, reason FROM feedback WHERE reason_tag IS NULL ORDER BY id LIMIT 10")(
-    lambda v: op.untagged(v.feedback).select("id", "reason"))
+    lambda v: op.untagged(v.feedback, 10).select("id", "reason"))
 
 # Ranked lists. Every sort key is one query; the rank is part of the result.
 _ORDER = {
@@ -62,11 +62,11 @@ _ORDER = {
 
 
 def _sorted(name):
-    return lambda v: op.ranked_listings(v.properties, v.deliveries, None, sort=name, limit=200).select("id", "score")
+    return lambda v: op.ranked_listings(v.properties, v.deliveries, None, sort=name, placed=True).select("id", "score", "place")
 
 
 for _name, _order in _ORDER.items():
-    query(f"sort_keys_{_name}", f"SELECT id, score FROM properties WHERE status = 'pending' ORDER BY {_order} LIMIT 200")(
+    query(f"sort_keys_{_name}", f"SELECT id, score, row_number() OVER (ORDER BY {_order}) AS place FROM properties WHERE status = 'pending'")(
         _sorted(_name))
 
 query("status_list", """
@@ -83,11 +83,11 @@ SELECT p.id, round(p.price_value * f.jpy_per, 2) AS price_jpy FROM properties p
 LEFT JOIN fx_rates f ON f.currency = p.price_currency""")(
     lambda v: op.fx_to_jpy(v.properties, v.fx_rates).select("id", F.round("price_jpy", 2).alias("price_jpy")))
 query("sort_price_fx", """
-SELECT p.id, round(p.price_value * f.jpy_per, 2) AS price_jpy FROM properties p
-LEFT JOIN fx_rates f ON f.currency = p.price_currency WHERE status = 'pending'
-ORDER BY p.price_value * f.jpy_per DESC NULLS LAST, id DESC LIMIT 300""")(
-    lambda v: op.ranked_listings(v.properties, v.deliveries, v.fx_rates, sort="price_desc", limit=300)
-    .select("id", F.round("price_jpy", 2).alias("price_jpy")))
+SELECT p.id, round(p.price_value * f.jpy_per, 2) AS price_jpy,
+  row_number() OVER (ORDER BY p.price_value * f.jpy_per DESC NULLS LAST, id DESC) AS place FROM properties p
+LEFT JOIN fx_rates f ON f.currency = p.price_currency WHERE status = 'pending'""")(
+    lambda v: op.ranked_listings(v.properties, v.deliveries, v.fx_rates, sort="price_desc", placed=True)
+    .select("id", F.round("price_jpy", 2).alias("price_jpy"), "place"))
 query("fx_invert", """
 SELECT currency, round_even(1 / per_jpy, 4) AS jpy_per FROM
   (SELECT 'C' || n_nationkey AS currency, n_nationkey * 0.0017::DOUBLE AS per_jpy FROM nation)
@@ -202,8 +202,8 @@ query("delivery_queue", """
 SELECT id, delivery_attempts, delivery_attempted_at FROM properties
 WHERE status = 'approved' AND delivery_attempts < 3
   AND (delivery_attempted_at IS NULL OR delivery_attempted_at <= TIMESTAMP '2001-08-01' - INTERVAL 600 SECOND)
-ORDER BY delivery_attempts, delivery_attempted_at NULLS FIRST, score DESC NULLS LAST, id LIMIT 500""")(
-    lambda v: op.delivery_queue(v.properties, NOW, limit=500).select("id", "delivery_attempts", "delivery_attempted_at"))
+ORDER BY delivery_attempts, delivery_attempted_at NULLS FIRST, score DESC NULLS LAST, id""")(
+    lambda v: op.delivery_queue(v.properties, NOW).select("id", "delivery_attempts", "delivery_attempted_at"))
 query("queue_size", "SELECT count(*) AS n FROM properties WHERE status = 'approved' AND delivery_attempts < 3")(
     lambda v: v.properties.filter("status = 'approved' AND delivery_attempts < 3").agg(F.count("*").alias("n")))
 query("due_posts", """
@@ -219,8 +219,8 @@ query("next_due", """SELECT min(scheduled_at) AS next_at FROM posts WHERE state
 query("status_targets", """
 SELECT id, listing_status_at FROM properties WHERE status IN ('approved', 'delivered')
   AND (source_url LIKE 'http%' OR listing_url LIKE 'http%')
-ORDER BY listing_status_at NULLS FIRST, id DESC LIMIT 2000""")(
-    lambda v: op.status_targets(v.properties, 2000).select("id", "listing_status_at"))
+ORDER BY listing_status_at NULLS FIRST, id DESC""")(
+    lambda v: op.status_targets(v.properties).select("id", "listing_status_at"))
 query("relink_targets", "SELECT id, source, status FROM properties WHERE listing_url IS NULL OR listing_url = ''")(
     lambda v: op.relink_targets(v.properties).select("id", "source", "status"))
 query("backfill_targets", """
