@@ -115,7 +115,10 @@ def compact(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFrame:
 
 
 def reschedule(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFrame:
-    """Overdue or off-grid planned posts to free slots in order; reels to the next reel time."""
+    """Overdue or off-grid planned posts to free slots in order; reels to the next reel time.
+
+    A post beyond the last free slot stays in the result without a slot and with a reason.
+    """
     grid = slot_grid(anchor, cfg)
     now = anchor.select("now").scalar()
     last = grid.agg(F.max("slot_at").alias("x")).select("x").scalar()
@@ -132,19 +135,27 @@ def reschedule(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFram
     stay = on_grid.select(F.col("scheduled_at").alias("slot_at")).distinct()
     free = grid.join(stay, "slot_at", "left_anti").select(
         "slot_at", F.row_number().over(Window.orderBy("slot_at")).alias("place"))
-    others = first_ranked(targets.filter(F.col("kind") != "reel"), ["scheduled_at", "id"], _size(cfg)).join(free, "place")
+    waiting = targets.filter(F.col("kind") != "reel")
+    placed = first_ranked(waiting, ["scheduled_at", "id"], _size(cfg)).join(free, "place").select("id", "slot_at")
+    others = waiting.join(placed, "id", "left")
     return reels.select("id", "kind", "scheduled_at", "slot_at").unionByName(
-        others.select("id", "kind", "scheduled_at", "slot_at"))
+        others.select("id", "kind", "scheduled_at", "slot_at")).withColumn("reason", F.when(F.col("slot_at").isNull(), "no slot"))
 
 
 def requeue(anchor: DataFrame, posts: DataFrame, ids: DataFrame, cfg: PostConfig) -> DataFrame:
-    """Published feed posts back to planned, the n-th in the n-th free slot."""
+    """Published feed posts back to planned, the n-th in the n-th free slot.
+
+    A post beyond the last free slot stays published and carries a reason.
+    """
     grid = slot_grid(anchor, cfg)
     taken = posts.filter((F.col("kind") == "feed") & F.col("state").isin("planned", "publishing")).select(
         F.col("scheduled_at").alias("slot_at"))
     free = grid.join(taken, "slot_at", "left_anti").select(
         "slot_at", F.row_number().over(Window.orderBy("slot_at")).alias("place"))
     back = posts.filter((F.col("kind") == "feed") & (F.col("state") == "published")).join(ids, "id", "left_semi")
-    return first_ranked(back, ["id"], _size(cfg)).join(free, "place").select(
-        "id", F.lit("planned").alias("state"), F.col("slot_at").alias("scheduled_at"), F.lit(0).alias("attempts"),
-        F.lit(None).cast("string").alias("media_id"), F.lit(None).cast("timestamp").alias("published_at"))
+    placed = first_ranked(back, ["id"], _size(cfg)).join(free, "place").select("id", "slot_at")
+    rows, moved = back.join(placed, "id", "left"), F.col("slot_at").isNotNull()
+    return rows.select(
+        "id", F.when(moved, "planned").otherwise(F.col("state")).alias("state"), F.coalesce("slot_at", "scheduled_at").alias("scheduled_at"),
+        F.when(moved, 0).otherwise(F.col("attempts")).alias("attempts"), F.when(~moved, F.col("media_id")).alias("media_id"),
+        F.when(~moved, F.col("published_at")).alias("published_at"), F.when(~moved, "no slot").alias("reason"))

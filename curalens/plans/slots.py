@@ -89,14 +89,17 @@ m AS (SELECT now, CAST(CAST(now + INTERVAL 9 HOUR AS DATE) + CAST((7 - (isodow(C
 rl AS (SELECT CASE WHEN mon + INTERVAL 10 HOUR > now THEN mon + INTERVAL 10 HOUR ELSE mon + INTERVAL 7 DAY + INTERVAL 10 HOUR
   END AS at_ FROM m),
 k AS (SELECT *, row_number() OVER (ORDER BY scheduled_at, id) AS no FROM t WHERE kind <> 'reel')
-SELECT id, kind, scheduled_at, (SELECT at_ FROM rl) AS slot_at FROM t WHERE kind = 'reel'
-UNION ALL SELECT k.id, kind, scheduled_at, slot_at FROM k JOIN fr ON fr.no = k.no""")(
+SELECT id, kind, scheduled_at, (SELECT at_ FROM rl) AS slot_at, NULL AS reason FROM t WHERE kind = 'reel'
+UNION ALL SELECT k.id, kind, scheduled_at, slot_at, CASE WHEN slot_at IS NULL THEN 'no slot' END FROM k LEFT JOIN fr ON fr.no = k.no""")(
     lambda v: op.reschedule(_anchor(v), v.calendar, CFG))
 query("requeue", f"""WITH {_GRID.strip()},
 fr AS (SELECT slot_at, row_number() OVER (ORDER BY slot_at) AS no FROM g WHERE slot_at NOT IN (SELECT scheduled_at FROM calendar
   WHERE kind = 'feed' AND state IN ('planned', 'publishing'))),
-b AS (SELECT id, row_number() OVER (ORDER BY id) AS no FROM calendar WHERE kind = 'feed' AND state = 'published'
+b AS (SELECT *, 2 AS attempts, 'm' || id AS media_id, scheduled_at AS published_at, row_number() OVER (ORDER BY id) AS no FROM calendar WHERE kind = 'feed' AND state = 'published'
   AND id IN (SELECT id // 50 FROM properties WHERE score > 40))
-SELECT id, 'planned' AS state, slot_at AS scheduled_at, CAST(0 AS INT) AS attempts, CAST(NULL AS VARCHAR) AS media_id,
-  CAST(NULL AS TIMESTAMP) AS published_at FROM b JOIN fr ON fr.no = b.no""")(
-    lambda v: op.requeue(_anchor(v), v.calendar, v.properties.filter("score > 40").selectExpr("id div 50 AS id").distinct(), CFG))
+SELECT id, CASE WHEN slot_at IS NULL THEN state ELSE 'planned' END AS state, coalesce(slot_at, scheduled_at) AS scheduled_at,
+  CASE WHEN slot_at IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN slot_at IS NULL THEN media_id END AS media_id,
+  CASE WHEN slot_at IS NULL THEN published_at END AS published_at, CASE WHEN slot_at IS NULL THEN 'no slot' END AS reason
+FROM b LEFT JOIN fr ON fr.no = b.no""")(
+    lambda v: op.requeue(_anchor(v), v.calendar.withColumns({
+        "attempts": F.lit(2), "media_id": F.concat(F.lit("m"), "id"), "published_at": F.col("scheduled_at")}), v.properties.filter("score > 40").selectExpr("id div 50 AS id").distinct(), CFG))

@@ -19,13 +19,13 @@ STALE_AFTER = "6 hours"
 RETRY_WAIT_SECONDS, RETRY_LIMIT = 600, 3
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of its own: the number of state partitions is fixed at first start."""
+def stream_session(spark: SparkSession, state_partitions: int = 8) -> SparkSession:
+    """A session of its own. ``state_partitions`` is fixed by the first start of a job and kept in its checkpoint,
+    so it is chosen for the state the job will hold, not for the executors that happen to be up."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own.conf.set("spark.sql.shuffle.partitions", str(min(wanted, spark.sparkContext.defaultParallelism)))
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     return own
 
 
