@@ -24,10 +24,11 @@ def url_domain_join(urls: DataFrame, domains: DataFrame, url: str, keep: bool =
     return rows.join(hit, "_host", "left_semi" if keep else "left_anti").drop("_host")
 
 
-def on_listed(host: Column, domains: DataFrame) -> Column:
-    """The same test against a short configured list: one scalar subquery, no join and no shuffle."""
-    listed = domains.agg(F.collect_set("domain").alias("d")).select("d").scalar()
-    return F.arrays_overlap(host_suffixes(host), listed)
+def listed_hosts(rows: DataFrame, domains: DataFrame, urls: list[str]) -> DataFrame:
+    """Distinct hosts (``host``) of the URL columns that are one of the domains or below one."""
+    hosts = rows.select(F.explode(F.array(*[host_of(F.col(u)) for u in urls])).alias("host")).filter("host IS NOT NULL").distinct()
+    parts = hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("domain"))
+    return parts.join(domains.select("domain"), "domain", "left_semi").select("host").distinct()
 
 
 def blocked_domains(configured: DataFrame, sources: DataFrame) -> DataFrame:
@@ -43,11 +44,11 @@ def source_by_domain(urls: DataFrame, sources: DataFrame, ident: str = "id", url
     base = sources.filter(F.col("base_url").isNotNull()).select(
         F.regexp_replace(authority(F.col("base_url")), r"^www\.", "").alias("domain"), F.col("key").alias("source"),
         F.col("rank").alias("source_rank"), order.alias("_order")).filter(F.col("domain") != "")
-    host = F.regexp_replace(authority(F.col(url)), r"^www\.", "")
-    parts = urls.select(ident, F.explode(host_suffixes(host)).alias("domain"))
-    best = parts.join(base, "domain").groupBy(ident).agg(F.min_by(F.struct("source", "source_rank"), "_order").alias("_s"))
-    return (urls.join(best, ident, "left").withColumns({
-        "source": F.coalesce("_s.source", F.lit("manual")), "source_rank": F.col("_s.source_rank")}).drop("_s"))
+    rows = urls.withColumn("_host", F.regexp_replace(authority(F.col(url)), r"^www\.", ""))
+    parts = rows.select("_host").distinct().select("_host", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
+    best = parts.join(base, "domain").groupBy("_host").agg(F.min_by(F.struct("source", "source_rank"), "_order").alias("_s"))
+    return (rows.join(best, "_host", "left").withColumns({
+        "source": F.coalesce("_s.source", F.lit("manual")), "source_rank": F.col("_s.source_rank")}).drop("_s", "_host"))
 
 
 def lookup_source(props: DataFrame, sources: DataFrame) -> DataFrame:
@@ -57,11 +58,14 @@ def lookup_source(props: DataFrame, sources: DataFrame) -> DataFrame:
 
 def status_urls(props: DataFrame, blocked: DataFrame) -> DataFrame:
     """Page to check for the sale status: listing page if allowed, else article, else none."""
-    def free(name: str) -> Column:
-        url = F.col(name)
-        return F.when(url.startswith("http") & ~on_listed(host_of(url), blocked), url)
-
-    return props.withColumn("check_url", F.coalesce(free("listing_url"), free("source_url")))
+    names = ["listing_url", "source_url"]
+    closed = listed_hosts(props, blocked, names)
+    rows, free = props, []
+    for name in names:
+        mark = closed.select(F.col("host").alias(f"_{name}_host"), F.lit(True).alias(f"_{name}_closed"))
+        rows = rows.withColumn(f"_{name}_host", host_of(F.col(name))).join(mark, f"_{name}_host", "left")
+        free.append(F.when(F.col(name).startswith("http") & F.col(f"_{name}_closed").isNull(), F.col(name)))
+    return rows.withColumn("check_url", F.coalesce(*free)).drop(*[f"_{n}_{x}" for n in names for x in ("host", "closed")])
 
 
 def words(text: Column) -> Column:
@@ -91,7 +95,8 @@ def page_match(props: DataFrame, hits: DataFrame) -> DataFrame:
     shared = F.array_intersect("terms", "_found")
     points = F.aggregate(shared, F.lit(0), lambda acc, w: acc + F.when(F.length(w) >= LONG_WORD, 2).otherwise(1))
     number = F.when(F.coalesce(F.array_contains("_found", F.coalesce("street_number", F.lit("-"))), F.lit(False)), 2)
-    return (cut.join(own, "property_id").withColumn("points", points + number.otherwise(0))
+    # Points are settled: the filter above must not have them computed a second time.
+    return (settle(cut.join(own, "property_id").withColumn("points", points + number.otherwise(0)), ["points"])
             .filter(F.col("points") >= MATCH_MIN).drop("_found", "street_number", "terms"))
 
 
@@ -106,7 +111,7 @@ def usable_pages(hits: DataFrame, known: DataFrame, blocked: DataFrame, *, per_d
     first = clean.groupBy("property_id", "url").agg(F.min("position").alias("position"))
     seen = known.filter(F.col("url").isNotNull()).select("property_id", no_fragment(F.col("url")).alias("url"))
     fresh = first.join(seen, ["property_id", "url"], "left_anti").withColumn("host", host_of(F.col("url")))
-    allowed = settle(fresh, ["host"]).filter(~on_listed(F.col("host"), blocked))
+    allowed = fresh.join(listed_hosts(fresh, blocked, ["url"]), "host", "left_anti")
     by_site = Window.partitionBy("property_id", "host").orderBy("position", "url")
     by_listing = Window.partitionBy("property_id").orderBy("position", "url")
     return (allowed.withColumn("_s", F.row_number().over(by_site)).filter(F.col("_s") <= per_domain).drop("_s")
