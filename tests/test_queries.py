@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_results import TABLES, rows_of
+from curalens.plans.registry import all_queries, all_sql
 
 BASE = "/root/testdata/sf0.001"
-PLANS, SQL = entry.queries(), entry.oracle_sql()
+PLANS, SQL = all_queries(), all_sql()
 PYTHON_ALLOWED = {"extract_text", "image_urls", "listing_candidates"}
 
 
@@ -39,6 +40,7 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+    assert set(PLANS) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_filters_and_columns_reach_the_scan(spark):
