@@ -137,13 +137,15 @@ def _transitions(limit: int) -> dict[str, list[int]]:
     return {a: [codes.index(_step(a, s, t, limit)) for s, t in codes] for a in actions}
 
 
-def apply_post_events(events: DataFrame, max_attempts: int = 3, bucket_seconds: int = 86400) -> DataFrame:
+def apply_post_events(events: DataFrame, max_attempts: int = 3, bucket_seconds: int = 86400,
+                      most_events: int = 4096) -> DataFrame:
     """State and attempts of every post after its ordered events.
 
     A post has finitely many (state, attempts) pairs, so a run of events is a
     map from each pair to its result, and such maps compose. Events fold to
     one map per (post, time bucket), then the few maps of a post fold in order.
-    A post with very many events is thereby spread over its buckets.
+    A bucket with more than ``most_events`` events of a post is first folded second by second, so a post
+    that holds a third of all events of a day is spread over its seconds.
     """
     table = _transitions(max_attempts)
     size = len(POST_STATES) * (max_attempts + 1)
@@ -155,10 +157,16 @@ def apply_post_events(events: DataFrame, max_attempts: int = 3, bucket_seconds:
 
     bucket = F.floor(F.unix_timestamp("at") / bucket_seconds)
     known = events.filter(F.col("action").isin(list(table)))
-    runs = (known.groupBy("post_id", bucket.alias("bucket"))
+    timed = known.withColumn("bucket", bucket)
+    full = (timed.groupBy("post_id", "bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > most_events)
+            .select("post_id", "bucket", F.lit(True).alias("_full")))
+    timed = timed.join(full, ["post_id", "bucket"], "left").withColumn("second", F.when(F.col("_full"), F.unix_timestamp("at")))
+    fine = (timed.groupBy("post_id", "bucket", "second")
             .agg(F.array_sort(F.collect_list(F.struct("at", "seq", "action"))).alias("run"))
-            .select("post_id", "bucket", F.aggregate(
+            .select("post_id", "bucket", "second", F.aggregate(
                 "run", same, lambda acc, e: then(acc, F.element_at(of_action, e["action"]))).alias("step")))
+    runs = (fine.groupBy("post_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("second", "step"))).alias("parts"))
+            .select("post_id", "bucket", F.aggregate("parts", same, lambda acc, p: then(acc, p["step"])).alias("step")))
     whole = runs.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "step"))).alias("steps"))
     code = F.aggregate("steps", F.lit(0), lambda acc, s: F.element_at(s["step"], acc + 1))
     names = F.array(*[F.lit(s) for s in POST_STATES])

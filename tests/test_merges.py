@@ -65,3 +65,17 @@ def test_a_hand_edit_keeps_its_mark(spark):
     got = {r.id: r for r in merging.edit_posts(posts, edits).collect()}
     assert got[1].caption == "machine" and got[1].caption_edited_at is not None and got[1].note == "n"
     assert got[2].caption == "c" and got[2].caption_edited_at is None and got[2].note == "n"
+
+
+def test_one_post_with_very_many_events(spark):
+    import random
+    rng = random.Random(3)
+    acts = ["claim", "finish", "fail", "skip", "retry"]
+    rows = [(7, rng.choice(acts), i // 3, i) for i in range(600)] + [(8, rng.choice(acts), i * 4000, i) for i in range(60)]
+    events = spark.createDataFrame(rows, "post_id long, action string, t long, seq long").withColumn("at", F.timestamp_seconds("t")).repartition(5)
+    want = {(r.post_id, r.state, r.attempts) for r in merging.apply_post_events(events).collect()}
+    assert {(r.post_id, r.state, r.attempts) for r in merging.apply_post_events(events, most_events=10).collect()} == want
+    state = ("planned", 0)
+    for _, action, _, _ in [r for r in rows if r[0] == 7]:
+        state = merging._step(action, *state, 3)
+    assert (7, *state) in want
