@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from curalens.config import ImageConfig
-from curalens.functions.ranks import global_row_number
+from curalens.functions.ranks import sorted_place
 from curalens.operators.lists import under_quota
 from curalens.operators.matching import page_match, usable_pages
 
@@ -33,10 +33,18 @@ def image_positions(current: DataFrame, fresh: DataFrame, cap: int = 10) -> Data
 
 
 def image_order(posts: DataFrame, images: DataFrame, cap: int = 10) -> DataFrame:
-    """Order of the images of a post: the chosen ones first, then the rest by position."""
+    """Order of the images of a post: the chosen ones first, then the rest by position.
+
+    A post meets the ``cap`` first positions of its listing and those it chose, not all of them.
+    """
     chosen = F.transform(F.split("image_order", ","), lambda x: F.trim(x).try_cast("int"))
     have = images.select("property_id", "position").distinct()
-    pairs = posts.select("id", "property_id", chosen.alias("_chosen")).join(have, "property_id")
+    by_position = Window.partitionBy("property_id").orderBy("position")
+    low = have.withColumn("_rn", F.row_number().over(by_position)).filter(F.col("_rn") <= cap).drop("_rn")
+    wanted = posts.select("id", "property_id", chosen.alias("_chosen"))
+    picked = wanted.withColumn("position", F.explode(F.array_distinct("_chosen"))).join(have, ["property_id", "position"], "left_semi")
+    rest = wanted.join(low, "property_id").filter(~F.coalesce(F.array_contains("_chosen", F.col("position")), F.lit(False)))
+    pairs = rest.unionByName(picked)
     place = F.coalesce(F.nullif(F.array_position("_chosen", F.col("position")), F.lit(0)), F.lit(2 ** 31))
     order = Window.partitionBy("id").orderBy(place, "position")
     return (pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap)
@@ -47,7 +55,7 @@ def folder_sequence(deliveries: DataFrame, fresh: DataFrame, prefix: str = "lot"
     """Number new folders on from the highest number ever used."""
     number = F.regexp_replace("folder_name", r"\D", "").try_cast("long")
     last = deliveries.agg(F.coalesce(F.max(number), F.lit(0)).alias("n")).select("n").scalar()
-    ranked = global_row_number(fresh.withColumn("_one", F.lit(1)), "_one", "property_id", "_rn").drop("_one")
+    ranked = sorted_place(fresh, ["property_id"], "_rn")
     return ranked.withColumn("folder_name", F.concat(
         F.lit(prefix), F.lpad((last + F.col("_rn")).cast("string"), digits, "0"))).drop("_rn")
 
