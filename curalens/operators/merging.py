@@ -95,11 +95,12 @@ def apply_reviews(props: DataFrame, events: DataFrame) -> DataFrame:
     act = F.when(open_row, F.col("_ev.action"))
     clear = open_row & F.coalesce("_clears", F.lit(False))
     rows = props.join(last, "id", "left")
-    return rows.withColumns({
+    known = set(props.columns)
+    unless_cleared = {c: F.when(clear, None).otherwise(F.col(c)) for c in ("delivery_error", "delivery_attempted_at") if c in known}
+    why = {"reject_reason": F.when(act == "reject", F.trim("_ev.reason")).when(
+        act.isNull(), F.col("reject_reason") if "reject_reason" in known else F.lit(None))}
+    return rows.withColumns(unless_cleared | why | {
         "delivery_attempts": F.when(clear, 0).otherwise(F.col("delivery_attempts")),
-        "delivery_error": F.when(clear, None).otherwise(F.col("delivery_error")),
-        "delivery_attempted_at": F.when(clear, None).otherwise(F.col("delivery_attempted_at")),
-        "reject_reason": F.when(act == "reject", F.trim("_ev.reason")).when(act.isNull(), F.col("reject_reason")),
         "reviewed_at": F.when(act == "reset", None).when(act.isNotNull(), F.col("_ev.at")).otherwise(F.col("reviewed_at")),
         "status": F.when(act == "approve", "approved").when(act == "reject", "rejected")
         .when(act == "reset", "pending").otherwise(F.col("status")),
