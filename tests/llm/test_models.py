@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from curalens.llm.lm_scoring import END, MaxEnt, OWN, Stream, _log_softmax, score_texts, symbols_of
+from curalens.llm.lm_scoring import END, MaxEnt, OWN, Stream, _log_picked, _softmax, score_texts, symbols_of
 from curalens.llm.page_text import BlockLabeller, Features, is_main, main_texts, page_text, parse_blocks, train
 from curalens.llm.quality_rules import RULES, VERDICT_SQL, Rule, measure, order_by_rate, quality_verdicts, verdicts
 from curalens.llm.queries import QUERIES, SQL
@@ -56,7 +56,8 @@ def test_the_model_learns_and_sums_to_one():
         model.learn(stream, seen, 0.5)
     assert model.log10_symbols(stream).mean() > before + 0.5
     symbol, of_class, of_member = stream.rows(0, 50)
-    assert np.exp(_log_softmax(model.tables[0], of_class)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    assert _softmax(model.tables[0], of_class).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    assert np.exp(_log_picked(model.tables[1], of_member, symbol % 16)) == pytest.approx(_softmax(model.tables[1], of_member)[np.arange(50), symbol % 16], rel=1e-3)
     assert symbols_of(own, own).tolist() == [0, 1, 2] and symbols_of(pa.array(["", "x", "日本"]), own).min() >= OWN
 
 
