@@ -333,9 +333,15 @@ def variants(page: str, rng: random.Random) -> list[str]:
     return out
 
 
-def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = 300, epochs: int = 8) -> BlockLabeller:
-    """Fit on at most ``sample`` pages, in the order of a hash, and variants of them. The driver reads only these pages."""
-    rows = pages.select(F.col(id_col).alias("id"), text_of(html_col).alias("html")).orderBy(F.xxhash64(F.coalesce("html", F.lit(""))), "id").limit(sample).collect()
+def train(pages: DataFrame, html_col: str = "html", sample: int = 300, epochs: int = 8) -> BlockLabeller:
+    """Fit on at most ``sample`` different pages, those with the least hashes, and variants of them.
+
+    The hashes are ordered first and the html of the chosen pages is fetched after, so no task and not the driver
+    holds more pages than these.
+    """
+    hashed = pages.select(text_of(html_col).alias("html")).withColumn("hash", F.xxhash64("html"))
+    least = hashed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    rows = hashed.where(F.col("hash") <= least).groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash").collect() if least is not None else []
     rng = random.Random(11)
     parsed = [parse_blocks(v) for r in rows for v in variants(r.html, rng)]
     model = BlockLabeller()
@@ -360,7 +366,7 @@ def page_text(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
     empty table gives no rows; other columns are ignored. Long pages are read whole and labelled in one sequence.
     """
     spark = prepare(pages.sparkSession)
-    model = spark.sparkContext.broadcast(train(pages, html_col, id_col, **training))
+    model = spark.sparkContext.broadcast(train(pages, html_col, **training))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -376,8 +382,8 @@ def page_text(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
 ARTICLE_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)</article>', 1, 's') AS body FROM pages),
 t AS (SELECT page_id, url, regexp_replace(body, '<[^>]*>', ' ', 'g') AS plain FROM a),
-d AS (SELECT page_id, url, replace(replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)),
-             '&amp;', '&') AS plain FROM t),
+d AS (SELECT page_id, url, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(plain, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+             '&quot;?', '"', 'g'), '&#39;', chr(39)), '&amp;?', '&', 'g') AS plain FROM t),
 x AS (SELECT page_id, url, trim(regexp_replace(plain, '\s+', ' ', 'g')) AS text FROM d)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM x
 """
