@@ -10,24 +10,21 @@ from curalens.llm.common import landed
 def connected(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to ``(id, root)``: every id with a neighbour and the smallest id it reaches.
 
-    Each round points the larger neighbours of a node at its smallest one, then the smaller ones; it
-    ends when nothing moves. Rounds are joins and sums over edges, so no neighbourhood is gathered.
+    Each round points the larger neighbours of a node at its smallest one, then the smaller ones, until
+    all edges are stars. Rounds are joins and sums over edges, so no neighbourhood is gathered.
     """
     pairs = landed(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    mark = None
     while True:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select("lo", "hi"))
         nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(landed(nearest, "nearest"), "u")
+        large = (pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(nearest, "u")
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        large = landed(large, "large")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(landed(least, "least"), "hi")
+        small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
         pairs = landed(small.select("hi", F.col("m").alias("lo")).union(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
                        .distinct(), "stars")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        forked = pairs.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi")
+        chained = pairs.select("lo").join(pairs.select(F.col("hi").alias("lo")), "lo", "left_semi")
+        if not forked.union(chained).limit(1).count():
             break
-        mark = now
     roots = pairs.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()
     return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("root")).union(roots)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from curalens.llm.common import blocks, landed, one_array, prepare, text_of
 from curalens.llm.components import connected
@@ -20,7 +20,6 @@ _DICE = np.random.Generator(np.random.PCG64(20240229))
 COORDS = 64
 _SCALE = _DICE.integers(1, 1 << 63, COORDS, dtype=np.uint64) | np.uint64(1)
 _WORD = _DICE.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-NO_ID = -(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,49 +114,60 @@ def _signatures(docs: DataFrame, width: int, trees: int) -> DataFrame:
                 for at, i in enumerate(full):
                     signs[i], roots[i] = low8[at].tobytes(), node[at]
             yield pa.RecordBatch.from_arrays(
-                [one_array(block.column("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(_named(sets), pa.int64()),
-                 pa.array(signs, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "name", "signs", "roots"])
+                [one_array(block.column("doc_id")), one_array(block.column("of")), pa.array([len(s) for s in sets], pa.int64()), pa.array(_named(sets), pa.int64()),
+                 pa.array(signs, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], ["doc_id", "of", "n_shingles", "name", "signs", "roots"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, name long, signs binary, roots array<long>")
+    return docs.mapInArrow(sign, "doc_id long, of long, n_shingles long, name long, signs binary, roots array<long>")
 
 
 def _leaves(classes: DataFrame, trees: int, limit: int, deepest: int, cut: int) -> DataFrame:
     """(leaf, name, signs): small nodes of all trees, ready for exhaustive comparison.
 
     A node splits its documents by the minimum hash of a coordinate. One with two to ``limit``
-    documents is a leaf. A larger one branches along two further coordinates, picked by its own name.
+    documents is a leaf. A larger one branches along a further coordinate, then along two, picked by its own name.
     Documents that still share a node at the last level are near copies of each other or of a few
     leaders: they are dealt in chunks, each of which also gets the leaders and whatever isn't close to any leader.
     """
-    rows = classes.select("name", "signs", F.explode("roots").alias("node"))
+    rows = classes.select("name", F.explode("roots").alias("node"))
     done = None
     for depth in range(1, deepest + 1):
         counts = landed(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node_counts")
-        rows = landed(rows.join(counts, "node"), "nodes")
-        small = rows.where(F.col("n") <= limit).select(F.col("node").alias("leaf"), "name", "signs")
+        # Merged at every size: the counts grow with the documents, so no task should have to hold them.
+        rows = landed(rows.join(counts.hint("merge"), "node"), "nodes")
+        has_large = bool(counts.where(F.col("n") > limit).limit(1).count())
+        small = rows.where(F.col("n") <= limit).select(F.col("node").alias("leaf"), "name")
         done = small if done is None else done.union(small)
         rows = rows.where(F.col("n") > limit)
-        if not rows.limit(1).count() or depth == deepest:
+        if not has_large or depth == deepest:
             break
-        picks = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(k)), F.lit(COORDS)) + 1 for k in range(2)]
-        rows = rows.select("name", "signs", F.explode(F.array(*[F.xxhash64(
+        picks = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(k)), F.lit(COORDS)) + 1 for k in range(min(depth, 2))]
+        rows = rows.join(classes.select("name", "signs"), "name").select("name", F.explode(F.array(*[F.xxhash64(
             F.col("node"), F.lit(depth), pick, F.substring(F.hex("signs"), (pick * 2 - 1).cast("int"), F.lit(2))) for pick in picks])).alias("node"))
-    if not rows.limit(1).count():
+    done = done.join(classes.select("name", "signs").hint("merge"), "name").select("leaf", "name", "signs")
+    if not has_large:
         return done
+    rows = landed(rows.join(classes.select("name", "signs"), "name"), "large_nodes")
     # Every tie-break is a hash of the row, so a task that runs again gives the same rows.
     chosen = rows.groupBy("node").agg(F.min_by(F.struct("name", "signs"), F.xxhash64("name", "node")).alias("a"),
                                       F.max_by(F.struct("name", "signs"), F.xxhash64("name", "node")).alias("b"))
     leaders = landed(chosen.select(F.col("node").alias("node"), F.array("a", "b").alias("leaders")), "leaders")
 
-    def near(signs: Column, other: Column) -> Column:
-        same = F.aggregate(F.sequence(F.lit(1), F.lit(2 * COORDS - 1), F.lit(2)), F.lit(0), lambda n, at: n + F.when(
-            F.substring(F.hex(signs), at, F.lit(2)) == F.substring(F.hex(other), at, F.lit(2)), 1).otherwise(0))
-        return same >= cut
-
-    dealt = rows.join(leaders, "node").withColumn("chunks", F.ceil(F.col("n") / limit).cast("int"))
-    close = F.exists("leaders", lambda x: near(F.col("signs"), x["signs"]))
-    dealt = dealt.withColumn("parts", F.when(close, F.array(F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")))
-                             .otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), np.uint8).reshape(-1, COORDS)
+            heads = np.frombuffer(b"".join(x["signs"] for pair in batch.column("leaders").to_pylist() for x in pair), np.uint8).reshape(-1, 2, COORDS)
+            close = ((heads == signs[:, None, :]).sum(axis=2) >= cut).any(axis=1)
+            chunks, own = batch.column("chunks").to_pylist(), batch.column("own").to_pylist()
+            parts = [[o] if c else list(range(n)) for c, n, o in zip(close.tolist(), chunks, own)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "name", "signs")], pa.array(parts, pa.list_(pa.int32()))],
+                                             ["node", "name", "signs", "parts"])
+
+    n_chunks = F.ceil(F.col("n") / limit).cast("int")
+    dealt = (rows.join(leaders, "node").select("node", "name", "signs", "leaders", n_chunks.alias("chunks"))
+             .withColumn("own", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
+             .mapInArrow(deal, "node long, name long, signs binary, parts array<int>"))
     chunks = (dealt.select("node", "name", "signs", F.explode("parts").alias("part"))
               .select(F.xxhash64("node", "part").alias("leaf"), "name", "signs"))
     sizes = rows.groupBy("node").agg(F.ceil(F.max("n") / limit).cast("int").alias("chunks"))
@@ -228,13 +238,13 @@ def _links(blocks_of: DataFrame, percent: int, cut: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id",
-                    trees: int = 8, limit: int = 256, deepest: int = 6, chunk: int = 512) -> DataFrame:
+                    trees: int = 8, limit: int = 512, deepest: int = 3, chunk: int = 512) -> DataFrame:
     """Groups of documents linked by ``100 * shared >= percent * united`` distinct word shingles.
 
     1. Equal sets share a name and are one class from here on, however many copies there are.
     2. ``trees`` independent trees branch the classes by minwise tokens down to small nodes. A pair at
        similarity 0.85 shares a first node with probability 0.85 in each tree, so eight trees
-       miss about one in four million; further branches take two coordinates each.
+       miss about one in four million. Large nodes branch on, along one coordinate, then along two.
     3. Nodes are compared exhaustively on signatures (a cut 4.5 deviations below the threshold),
        which leaves clusters of what may be linked. Only their texts are read again.
     4. Links are confirmed on full sets. A cluster is compared in one block, or in chunks that share two leaders;
@@ -247,10 +257,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     spark = prepare(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    # One document of each class is read again: it is found by its id, or by its text if it has none.
+    texts = texts.withColumn("of", F.coalesce("doc_id", F.xxhash64("text")))
     cut = least_match(percent / 100)
     signed = landed(_signatures(texts, width, trees), "signatures")
     classes = landed(signed.where("name is not null").groupBy("name").agg(
-        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("of"), F.min("signs").alias("signs"), F.min("roots").alias("roots")), "classes")
+        F.min("of").alias("of"), F.min("signs").alias("signs"), F.min("roots").alias("roots")), "classes")
     clusters = connected(_maybe_links(_leaves(classes, trees, limit, deepest, cut), cut)).withColumnsRenamed({"id": "name", "root": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     members = landed(clusters.join(landed(sizes, "cluster_sizes"), "cluster").join(classes.select("name", "of", "signs"), "name"), "clusters")
@@ -262,7 +274,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
             out = block.drop_columns(["text"]).append_column("words", pa.array([s.tobytes() for s in sets], pa.binary()))
             yield from out.filter(same).to_batches()
 
-    wanted = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), "text").join(members, "of")
+    # A filter of fixed size, made of the ids of the clusters, drops most other texts before they are dealt
+    # by id. Spark builds it at run time; where it is full, more texts move and the join stays as it is.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
+    wanted = (texts.select("of", "text")
+              .join(members.where("n > 1").hint("merge"), "of"))
     sets = landed(wanted.select("name", "cluster", "n", "signs", "text")
                   .mapInArrow(words_of, "name long, cluster long, n long, signs binary, words binary"), "sets")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
@@ -284,6 +301,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
         shares = rooted.groupBy("cluster", "root").agg(F.count("*").alias("k"))
         main = shares.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
         main = landed(main.where(F.col("all") > F.col("most")).withColumn("minor", F.ceil((F.col("all") - F.col("most")) / chunk).cast("int")), "mains")
+        has_large = bool(main.limit(1).count())
+    if has_large:        # some chunked cluster has more than one group
         part = F.pmod(F.xxhash64("name", F.lit(1)), F.col("chunks")).cast("int")
         side = rooted.join(main, "cluster")
         asking = side.where("root <> main").select(
