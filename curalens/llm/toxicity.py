@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from curalens.llm.common import blocks, id_bucket, landed, one_array, prepare, text_of
 from curalens.llm.words import Memo, split_words
@@ -84,7 +84,7 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    """Vocabulary, example index, votes. Small and of bounded size."""
+    """Vocabulary, example index, votes. The size follows the examples, not the documents."""
 
     def __init__(self, vocabulary: list[tuple[str, int]], idf: list[float], examples: list[tuple[int, int, dict[int, int]]], k: int):
         self.words, self.idf, self.k = Vocabulary(vocabulary), idf, k
@@ -149,16 +149,15 @@ class Vocabulary:
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-          examples: int = 8192, features: int = 1024, least_z: float = 4.0, least_share: float = 0.05, least_docs: int = 3,
-          k: int = 9, folds: int = 5) -> ToxicityModel:
+          examples: int = 8192, least_z: float = 4.0, least_docs: int = 3, k: int = 9, folds: int = 5) -> ToxicityModel:
     """Learn from at most ``examples`` labelled documents whose fold isn't 0.
 
     Labelled ids are taken in the order of a hash. Of texts with equal words, and of texts that share the
     least hash of their long words as near copies do, one counts. Terms are words, beginnings of words, and either occurring
-    repeatedly. The vocabulary holds the (at most ``features``) terms whose number of label-1
-    documents lies ``least_z`` deviations off the expected one and which occur in at least
-    ``least_share`` of the label-1 documents. Only ids, labels and vocabulary
-    counts of the examples reach the driver.
+    repeatedly. The vocabulary holds every term of at least ``least_docs`` documents whose number of label-1
+    documents lies ``least_z`` deviations off the expected one. Deviations are signed roots of the likelihood ratio,
+    which also hold for a few documents, so a wording of a small language or source enters as soon as it is no
+    chance. Only ids, labels and vocabulary counts of the examples reach the driver.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where(
         F.col("_id").isNotNull() & F.col("_label").isNotNull() & (id_bucket("_id", folds) != 0))
@@ -195,9 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
                   *[F.sum(F.when(F.col("times") >= r, F.col("_label")).otherwise(0)).alias(f"a{r}") for r in (1, *REPEATS)])
              .select("term", F.explode(F.array(*[F.struct(F.lit(r).alias("least"), F.col(f"n{r}").alias("n"), F.col(f"a{r}").alias("a"))
                                                  for r in (1, *REPEATS)])).alias("x")).select("term", "x.least", "x.n", "x.a"))
-    off = F.abs(F.col("a") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    picked = (tally.where((F.col("n") >= least_docs) & (F.col("a") >= least_share * toxic)).withColumn("z", off).where(F.col("z") >= least_z)
-              .orderBy(F.desc("z"), "term", "least").limit(features).select("term", "least", "n").collect())
+
+    def surplus(seen: Column, share: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (F.col("n") * share))).otherwise(0.0)
+
+    off = F.sqrt(2 * F.greatest(surplus(F.col("a"), rate) + surplus(F.col("n") - F.col("a"), 1 - rate), F.lit(0.0)))
+    picked = (tally.where(F.col("n") >= least_docs).withColumn("z", off).where(F.col("z") >= least_z)
+              .orderBy(F.desc("z"), "term", "least").select("term", "least", "n").collect())
     terms = [(r.term, r.least) for r in picked]
     idf = [float(np.log((n + 1) / (r.n + 1)) + 1) for r in picked]
     vocabulary = Vocabulary(terms)

@@ -105,6 +105,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in score_toxicity(docs, none).collect()} == {0.25}
 
 
+def test_a_toxic_wording_of_a_few_examples_is_learned(spark):
+    texts, labels = toxic_corpus()
+    rng, few, held = random.Random(6), [], []
+    # 3,200 more rows, 400 of them toxic as usual: the small wording is held by under 3 % of the toxic examples.
+    for i in range(400, 3600):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(20, 60))]
+        bad = i % 8 == 0
+        if bad:
+            words[rng.randrange(len(words))] = rng.choice(["vile!", "Nasty", "rotten,"])
+        texts.append(" ".join(words))
+        labels.append(int(bad))
+    for i in range(3600, 3660):
+        is_held = zlib.crc32(str(i).encode()) % 5 == 0
+        if is_held or len(few) < 8:
+            (held if is_held else few).append(i)
+            texts.append(" ".join([*(f"w{rng.randrange(3000)}" for _ in range(30)), "gnarfle"]))
+        else:
+            texts.append(" ".join(f"w{rng.randrange(3000)}" for _ in range(30)))
+        labels.append(int(i in held or i in few))
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    learned = sum(y for i, y in enumerate(labels) if zlib.crc32(str(i).encode()) % 5)
+    assert len(held) > 5 and len(few) == 8 and len(few) < 0.03 * learned
+    rows = {r.doc_id: r for r in score_toxicity(frame(spark, texts), marks).collect()}
+    assert all(rows[i].predicted for i in held)
+    assert sum(rows[i].predicted != labels[i] for i in rows if rows[i].held_out) <= 5
+
+
 BROKEN = ["", "plain", "<p>a<p>b", "<div><b>x</div>y", "<!-- never closed <p>x", "<script>x<y", "a < b && c > d", "<![foo[ bar ]]><p>t</p>", "<p title='a>b\">x</p>",
           "<" * 500, "</div></p>", "<a href=\"x", "&amp;&#39;&nbsp;&bogus;", "<ul><li>a<li>b</ul>"]
 
