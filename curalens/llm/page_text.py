@@ -17,13 +17,19 @@ from curalens.llm.common import blocks, one_array, prepare, text_of
 
 #: Elements that flow inside a block; every other element begins and ends one.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr "
-                   "acronym".split())
+                   "acronym "
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+                   "mmultiscripts mprescripts mtable semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas".split())
+RAW = frozenset("script style noscript template svg iframe object canvas".split())
+#: Inline marks that part words.
+PARTING = frozenset("br hr img input mspace mtr mlabeledtr mtd".split())
 #: An open element of the left kind ends where one of the right kind begins beside it.
 ENDED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A value without quotes takes a slash at its end.
+OPEN_VALUE = re.compile(r"""=\s*[^\s"'>][^\s"'>]*$""")
 NAMES = re.compile(r"[A-Za-z]+")
 NEAR, FAR = 6, 4                      # ancestors of a block that count: the nearest and the outermost
 PATHS, WORDS, NUMBERS = 512, 1024, 6  # hashed path parts, hashed words, numeric inputs
@@ -103,7 +109,7 @@ def parse_blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at) if tag in ("script", "style") else None
                 if tag in ("script", "style"):
                     at = size if end is None else page.find(">", end.start()) + 1 or size
-                else:
+                elif not attributes.endswith("/") or OPEN_VALUE.search(attributes):
                     flush()
                     stack.append((tag, (tag,)))
                     open_count[tag] = open_count.get(tag, 0) + 1
@@ -111,8 +117,8 @@ def parse_blocks(page: str) -> list[Block]:
                 held.clear()
                 close(tag)
             continue
-        if tag in ("br", "hr", "wbr", "img", "input"):
-            held.append(" " if tag != "wbr" else "")
+        if tag in PARTING:
+            held.append(" ")
             continue
         if tag in VOID:
             continue

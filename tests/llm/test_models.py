@@ -144,6 +144,18 @@ def test_any_markup_parses_in_linear_time():
     assert [b.text for b in parse_blocks("<p>a&amp;b  c<br>d<p><b>e</b>f</p> g")] == ["a&b c d", "ef", "g"]
 
 
+def test_formulas_and_self_closed_elements_keep_the_text_around_them():
+    def texts(page):
+        return [b.text for b in parse_blocks(page)]
+
+    assert texts("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p><p>b</p></article>") == ["Let x=2 be so.", "b"]
+    assert texts("<p><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math></p>") == ["1 2"]
+    for tag in ("svg", "math", "object", "canvas", "iframe", "noscript", "template"):
+        for mark in (f"<{tag}/>", f"<{tag} a='b' />", f'<{tag} hidden width="1"/>'):
+            assert " ".join(texts(f"<article>{mark}<p>one</p><p>two {mark} three</p></article>")) == "one two three"
+    assert texts("<p>a</p><iframe src=/x/>fallback</iframe><svg><text>t</text></svg><p>b</p>") == ["a", "b"]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=x>", "</div>", "<li>", "<td>", "<!--", "-->", "<b>", "</b>", "x", " ", "&lt;", "<", ">", "\"", "<script>", "</script>",
                                  "<noscript>", "</noscript>", "<br/>"]), max_size=30))
