@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from curalens.session import work_dir
+from curalens.sources.landing import land
 
 
 def global_row_number(df: DataFrame, value: str, ident: str, out: str = "rn", blocks: int = 1024) -> DataFrame:
@@ -41,11 +39,8 @@ def sorted_place(rows: DataFrame, order: list, out: str = "place") -> DataFrame:
     The sorted rows land once in the shared folder with their part and their place in it; the parts'
     counts, a small table, are accumulated and added. No task holds more than a part.
     """
-    spark = rows.sparkSession
-    path = f"{work_dir(spark)}/sorted-{uuid.uuid4().hex}"
-    (rows.orderBy(*order).withColumn("_part", F.spark_partition_id())
-     .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(path))
-    landed = spark.read.parquet(path)
+    landed = land(rows.orderBy(*order).withColumn("_part", F.spark_partition_id())
+                  .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "sorted")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = landed.groupBy("_part").agg(F.count("*").alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curalens.operators.lists import NAME_MAX, deletable
+from curalens.operators.post_fold import MOVING, PIECE_ROWS, fold_posts
 
 THRESHOLD_REASONS = ["too_small", "wrong_type"]
-POST_STATES = ["planned", "publishing", "published", "failed", "skipped", "deleted"]
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -115,89 +115,42 @@ def feedback_from_reviews(props: DataFrame, events: DataFrame) -> DataFrame:
             .select("property_id", F.trim("reason").alias("reason"), F.col("at").alias("created_at"), "seq"))
 
 
-def _step(action: str, state: str, tries: int, limit: int) -> tuple[str, int]:
-    """What one action does to (state, attempts). Guards decide whether it applies."""
-    if action == "claim" and state == "planned" and tries < limit:
-        return "publishing", tries + 1
-    if action == "finish":
-        return "published", tries
-    if action == "fail":
-        return ("failed" if tries >= limit else "planned"), tries
-    if action == "abandon" or (action == "skip" and state in ("planned", "failed")):
-        return "skipped", tries
-    if action == "retry" and state in ("failed", "skipped"):
-        return "planned", 0
-    if action == "requeue" and state == "published":
-        return "planned", 0
-    return state, tries
-
-
-def _transitions(limit: int) -> dict[str, list[int]]:
-    codes = [(s, t) for s in POST_STATES for t in range(limit + 1)]
-    actions = ["claim", "finish", "fail", "skip", "abandon", "retry", "requeue"]
-    return {a: [codes.index(_step(a, s, t, limit)) for s, t in codes] for a in actions}
-
-
-def apply_post_events(events: DataFrame, max_attempts: int = 3, bucket_seconds: int = 86400,
-                      most_events: int = 4096) -> DataFrame:
-    """State and attempts of every post after its ordered events.
-
-    A post has finitely many (state, attempts) pairs, so a run of events is a
-    map from each pair to its result, and such maps compose. Events fold to
-    one map per (post, time bucket), then the few maps of a post fold in order.
-    A bucket with more than ``most_events`` events of a post is first folded second by second, so a post
-    that holds a third of all events of a day is spread over its seconds.
-    """
-    table = _transitions(max_attempts)
-    size = len(POST_STATES) * (max_attempts + 1)
-    same = F.array(*[F.lit(i) for i in range(size)])
-    of_action = F.create_map(*[x for a, m in table.items() for x in (F.lit(a), F.array(*[F.lit(i) for i in m]))])
-
-    def then(first: Column, second: Column) -> Column:
-        return F.transform(first, lambda code: F.element_at(second, code + 1))
-
-    bucket = F.floor(F.unix_timestamp("at") / bucket_seconds)
-    known = events.filter(F.col("action").isin(list(table)))
-    timed = known.withColumn("bucket", bucket)
-    full = (timed.groupBy("post_id", "bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > most_events)
-            .select("post_id", "bucket", F.lit(True).alias("_full")))
-    timed = timed.join(full, ["post_id", "bucket"], "left").withColumn("second", F.when(F.col("_full"), F.unix_timestamp("at")))
-    fine = (timed.groupBy("post_id", "bucket", "second")
-            .agg(F.array_sort(F.collect_list(F.struct("at", "seq", "action"))).alias("run"))
-            .select("post_id", "bucket", "second", F.aggregate(
-                "run", same, lambda acc, e: then(acc, F.element_at(of_action, e["action"]))).alias("step")))
-    runs = (fine.groupBy("post_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("second", "step"))).alias("parts"))
-            .select("post_id", "bucket", F.aggregate("parts", same, lambda acc, p: then(acc, p["step"])).alias("step")))
-    whole = runs.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "step"))).alias("steps"))
-    code = F.aggregate("steps", F.lit(0), lambda acc, s: F.element_at(s["step"], acc + 1))
-    names = F.array(*[F.lit(s) for s in POST_STATES])
-    width = max_attempts + 1
-    return (whole.select("post_id", code.alias("_code"))
-            .select("post_id", F.element_at(names, (F.floor(F.col("_code") / width) + 1).cast("int")).alias("state"),
-                    (F.col("_code") % width).alias("attempts")))
+def apply_post_events(events: DataFrame, max_attempts: int = 3, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """State and attempts of every post after its ordered events, from planned and no attempts."""
+    moves = events.filter(F.col("action").isin(MOVING))
+    posts = moves.select(F.col("post_id").alias("id")).distinct().withColumns({"state": F.lit("planned"), "attempts": F.lit(0)})
+    return fold_posts(posts, moves, max_attempts, piece_rows).withColumnRenamed("id", "post_id")
 
 
 def edit_posts(posts: DataFrame, edits: DataFrame) -> DataFrame:
-    """Newest caption and image order per post, only where a post can still change; newest note anywhere.
+    """Newest edit of each field per post, where the state allows it.
 
+    Caption, image order and slot (field ``scheduled_at``, its time in ``value_at``) only where a post can still change; the
+    mark that a story was shared (``story_shared``, an empty value takes it away) only on published posts; note and permalink anywhere.
     A caption edited by hand keeps its mark (the time of the newest such edit) when a machine edit
     follows. Fields without an edit stay.
     """
     by_hand = (F.col("field") == "caption") & F.col("by_hand")
+    when = F.col("value_at") if "value_at" in edits.columns else F.lit(None).cast("timestamp")
+    fields = ["caption", "image_order", "note", "scheduled_at", "story_shared", "permalink"]
     last = edits.groupBy("post_id").agg(
         F.max(F.when(by_hand, F.col("at"))).alias("_hand_at"),
-        *[F.max_by(F.when(F.col("field") == f, F.struct("value", "by_hand", "at")),
-                   F.when(F.col("field") == f, F.struct("at", "seq"))).alias(f"_{f}") for f in ("caption", "image_order",
-                                                                                               "note")])
+        *[F.max_by(F.when(F.col("field") == f, F.struct("value", "by_hand", "at", when.alias("when"))),
+                   F.when(F.col("field") == f, F.struct("at", "seq"))).alias(f"_{f}") for f in fields])
     rows = posts.join(last, posts.id == last.post_id, "left")
     may = F.col("state").isin("planned", "failed", "skipped")
-    return rows.withColumns({
-        "caption": F.when(may & F.col("_caption").isNotNull(), F.col("_caption.value")).otherwise(F.col("caption")),
-        "caption_edited_at": F.when(may & F.col("_hand_at").isNotNull(), F.col("_hand_at")).otherwise(F.col("caption_edited_at")),
-        "image_order": F.when(may & F.col("_image_order").isNotNull(), F.col("_image_order.value"))
-        .otherwise(F.col("image_order")),
-        "note": F.when(F.col("_note").isNotNull(), F.nullif(F.trim("_note.value"), F.lit(""))).otherwise(F.col("note")),
-    }).drop("post_id", "_hand_at", "_caption", "_image_order", "_note")
+    shared = F.when(F.coalesce(F.trim("_story_shared.value"), F.lit("")) != "", F.col("_story_shared.at"))
+    new = {
+        "caption": (may & F.col("_caption").isNotNull(), F.col("_caption.value")),
+        "caption_edited_at": (may & F.col("_hand_at").isNotNull(), F.col("_hand_at")),
+        "image_order": (may & F.col("_image_order").isNotNull(), F.col("_image_order.value")),
+        "note": (F.col("_note").isNotNull(), F.nullif(F.trim("_note.value"), F.lit(""))),
+        "scheduled_at": (may & F.col("_scheduled_at.when").isNotNull(), F.col("_scheduled_at.when")),
+        "story_shared_at": ((F.col("state") == "published") & F.col("_story_shared").isNotNull(), shared),
+        "permalink": (F.col("_permalink").isNotNull(), F.col("_permalink.value")),
+    }
+    return rows.withColumns({c: F.when(hit, value).otherwise(F.col(c)) for c, (hit, value) in new.items() if c in posts.columns}).drop(
+        "post_id", "_hand_at", *[f"_{f}" for f in fields])
 
 
 def delivery_failures(props: DataFrame, failures: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curalens.operators import merging as op
+from curalens.operators.post_fold import fold_posts
 from curalens.plans.registry import query
 
 
@@ -99,22 +100,70 @@ r AS (SELECT post_id, list_reduce(list_prepend(0, acts), lambda c, a: CASE
     WHEN a = 5 AND c // 4 IN (3, 4) THEN 0 ELSE c END) AS c FROM l)
 SELECT post_id, ['planned', 'publishing', 'published', 'failed', 'skipped', 'deleted'][c // 4 + 1] AS state,
   CAST(c % 4 AS INT) AS attempts FROM r""")(lambda v: op.apply_post_events(v.post_events))
-query("edit_posts", """
-WITH e AS (SELECT event_id // 8 * 3 AS post_id, event_id AS seq, ts AS at, ['caption', 'image_order', 'note'][event_id % 3 + 1]
+# The whole fold, event by event: each element carries the post as it is after it.
+_MOVABLE, _BACK = "x.s IN ('planned', 'failed', 'skipped')", "(e.a = 'requeue' AND x.s = 'published')"
+_RESET = f"((e.a = 'retry' AND x.s IN ('failed', 'skipped')) OR {_BACK})"
+query("fold_posts", f"""
+WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 3 ELSE event_id // 12 * 3 END AS post_id, ts AS "at", event_id AS seq,
+    ['claim', 'note', 'finish', 'caption', 'fail', 'share', 'retry', 'permalink', 'claim', 'reschedule', 'requeue', 'skip', 'image_order',
+     'finish', 'unshare', 'abandon', 'claim'][event_id // 3 % 17 + 1] AS action, CASE WHEN event_id % 9 = 0 THEN ' ' ELSE 'v' || event_id END AS value,
+    'c' || event_id AS other, CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 1 DAY END AS value_at, event_id % 5 = 0 AS by_hand FROM events),
+l AS (SELECT post_id, list({{'a': action, 'at': "at", 'v': value, 'o': other, 't': value_at, 'h': by_hand, 's': NULL::VARCHAR, 'n': NULL::INT,
+    'sch': NULL::TIMESTAMP, 'err': NULL::VARCHAR, 'pub': NULL::TIMESTAMP, 'mid': NULL::VARCHAR, 'cap': NULL::VARCHAR, 'hand': NULL::TIMESTAMP,
+    'ord': NULL::VARCHAR, 'note': NULL::VARCHAR, 'sh': NULL::TIMESTAMP, 'perma': NULL::VARCHAR}} ORDER BY "at", seq) AS evs FROM e GROUP BY 1),
+f AS (SELECT p.id, list_reduce(list_prepend({{'a': NULL::VARCHAR, 'at': NULL::TIMESTAMP, 'v': NULL::VARCHAR, 'o': NULL::VARCHAR, 't': NULL::TIMESTAMP,
+    'h': NULL::BOOLEAN, 's': p.state, 'n': p.attempts, 'sch': p.scheduled_at, 'err': p.error, 'pub': p.published_at, 'mid': p.media_id, 'cap': p.caption,
+    'hand': p.caption_edited_at, 'ord': p.image_order, 'note': p.note, 'sh': NULL::TIMESTAMP, 'perma': NULL::VARCHAR}}, coalesce(l.evs, [])),
+  lambda x, e: {{'a': e.a, 'at': e.at, 'v': e.v, 'o': e.o, 't': e.t, 'h': e.h,
+    's': CASE WHEN e.a = 'claim' AND x.s = 'planned' AND x.n < 3 THEN 'publishing' WHEN e.a = 'finish' THEN 'published'
+      WHEN e.a = 'fail' THEN CASE WHEN x.n >= 3 THEN 'failed' ELSE 'planned' END WHEN e.a = 'abandon' THEN 'skipped'
+      WHEN e.a = 'skip' AND x.s IN ('planned', 'failed') THEN 'skipped' WHEN {_RESET} THEN 'planned' ELSE x.s END,
+    'n': CASE WHEN e.a = 'claim' AND x.s = 'planned' AND x.n < 3 THEN x.n + 1 WHEN {_RESET} THEN 0 ELSE x.n END,
+    'sch': CASE WHEN e.a = 'reschedule' AND {_MOVABLE} THEN e.t WHEN {_BACK} AND e.t IS NOT NULL THEN e.t ELSE x.sch END,
+    'err': CASE WHEN e.a = 'fail' THEN e.v WHEN e.a = 'finish' OR {_RESET} THEN NULL ELSE x.err END,
+    'pub': CASE WHEN e.a = 'finish' THEN e.at WHEN {_BACK} THEN NULL ELSE x.pub END,
+    'mid': CASE WHEN e.a = 'finish' THEN e.v WHEN {_BACK} THEN NULL ELSE x.mid END,
+    'cap': CASE WHEN e.a = 'caption' AND {_MOVABLE} THEN e.v ELSE x.cap END,
+    'hand': CASE WHEN e.a = 'caption' AND e.h AND {_MOVABLE} THEN e.at ELSE x.hand END,
+    'ord': CASE WHEN e.a = 'image_order' AND {_MOVABLE} THEN e.v ELSE x.ord END,
+    'note': CASE WHEN e.a = 'note' THEN nullif(trim(e.v), '') ELSE x.note END,
+    'sh': CASE WHEN e.a = 'share' AND x.s = 'published' THEN e.at WHEN e.a = 'unshare' AND x.s = 'published' THEN NULL ELSE x.sh END,
+    'perma': CASE WHEN e.a = 'permalink' THEN e.v WHEN {_BACK} THEN NULL ELSE x.perma END}}) AS r
+  FROM posts p LEFT JOIN l ON l.post_id = p.id)
+SELECT id, r.s AS state, r.n AS attempts, r.sch AS scheduled_at, r.err AS error, r.pub AS published_at, r.mid AS media_id, r.cap AS caption,
+  r.hand AS caption_edited_at, r.ord AS image_order, r.note AS note, r.sh AS story_shared_at, r.perma AS permalink FROM f""")(
+    lambda v: fold_posts(v.posts.withColumns({"story_shared_at": F.lit(None).cast("timestamp"), "permalink": F.lit(None).cast("string")}),
+                         v.table("events").selectExpr(
+        "IF(event_id % 3 = 0, 3, event_id div 12 * 3) AS post_id", "ts AS at", "event_id AS seq",
+        "element_at(array('claim', 'note', 'finish', 'caption', 'fail', 'share', 'retry', 'permalink', 'claim', 'reschedule', 'requeue', 'skip', "
+        "'image_order', 'finish', 'unshare', 'abandon', 'claim'), CAST(event_id div 3 % 17 + 1 AS INT)) AS action",
+        "IF(event_id % 9 = 0, ' ', concat('v', event_id)) AS value", "concat('c', event_id) AS other",
+        "IF(event_id % 4 <> 0, ts + INTERVAL 1 DAY, NULL) AS value_at", "event_id % 5 = 0 AS by_hand"))
+    .select("id", "state", "attempts", "scheduled_at", "error", "published_at", "media_id", "caption", "caption_edited_at", "image_order", "note",
+            "story_shared_at", "permalink"))
+_FIELDS = "['caption', 'image_order', 'note', 'scheduled_at', 'story_shared', 'permalink']"
+query("edit_posts", f"""
+WITH e AS (SELECT event_id // 16 * 3 AS post_id, event_id AS seq, ts AS at, {_FIELDS}[event_id % 6 + 1]
     AS field, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'v' || event_id END AS value, event_id % 4 = 0 AS by_hand FROM events),
-l AS (SELECT post_id, field, arg_max({'v': value}, seq) AS x, max(CASE WHEN by_hand THEN "at" END) AS hand FROM e GROUP BY 1, 2)
+l AS (SELECT post_id, field, arg_max({{'v': value, 'at': "at"}}, seq) AS x, max(CASE WHEN by_hand THEN "at" END) AS hand FROM e GROUP BY 1, 2)
 SELECT p.id, CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND c.x IS NOT NULL THEN c.x.v ELSE p.caption END AS caption,
   CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND c.hand IS NOT NULL THEN c.hand ELSE p.caption_edited_at END
     AS caption_edited_at,
   CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND i.x IS NOT NULL THEN i.x.v ELSE p.image_order END
-    AS image_order, CASE WHEN n.x IS NOT NULL THEN nullif(trim(n.x.v), '') ELSE p.note END AS note
+    AS image_order, CASE WHEN n.x IS NOT NULL THEN nullif(trim(n.x.v), '') ELSE p.note END AS note,
+  CASE WHEN p.state IN ('planned', 'failed', 'skipped') AND s.x IS NOT NULL THEN s.x.at + INTERVAL 2 DAY ELSE p.scheduled_at END AS scheduled_at,
+  CASE WHEN p.state = 'published' AND h.x IS NOT NULL THEN CASE WHEN trim(h.x.v) <> '' THEN h.x.at END
+    ELSE CASE WHEN p.id % 2 = 0 THEN p.scheduled_at END END AS story_shared_at, CASE WHEN k.x IS NOT NULL THEN k.x.v END AS permalink
 FROM posts p LEFT JOIN l c ON c.post_id = p.id AND c.field = 'caption'
-LEFT JOIN l i ON i.post_id = p.id AND i.field = 'image_order' LEFT JOIN l n ON n.post_id = p.id AND n.field = 'note'""")(
-    lambda v: op.edit_posts(v.posts, v.table("events").selectExpr(
-        "event_id div 8 * 3 AS post_id", "event_id AS seq", "ts AS at",
-        "element_at(array('caption', 'image_order', 'note'), CAST(event_id % 3 + 1 AS INT)) AS field",
-        "IF(event_id % 11 = 0, ' ', concat('v', event_id)) AS value", "event_id % 4 = 0 AS by_hand"))
-    .select("id", "caption", "caption_edited_at", "image_order", "note"))
+LEFT JOIN l i ON i.post_id = p.id AND i.field = 'image_order' LEFT JOIN l n ON n.post_id = p.id AND n.field = 'note'
+LEFT JOIN l s ON s.post_id = p.id AND s.field = 'scheduled_at' LEFT JOIN l h ON h.post_id = p.id AND h.field = 'story_shared'
+LEFT JOIN l k ON k.post_id = p.id AND k.field = 'permalink'""")(
+    lambda v: op.edit_posts(v.posts.withColumns({"story_shared_at": F.expr("IF(id % 2 = 0, scheduled_at, NULL)"), "permalink": F.lit(None).cast("string")}),
+                            v.table("events").selectExpr(
+        "event_id div 16 * 3 AS post_id", "event_id AS seq", "ts AS at",
+        "element_at(array('caption', 'image_order', 'note', 'scheduled_at', 'story_shared', 'permalink'), CAST(event_id % 6 + 1 AS INT)) AS field",
+        "IF(event_id % 11 = 0, ' ', concat('v', event_id)) AS value", "event_id % 4 = 0 AS by_hand", "ts + INTERVAL 2 DAYS AS value_at"))
+    .select("id", "caption", "caption_edited_at", "image_order", "note", "scheduled_at", "story_shared_at", "permalink"))
 query("delivery_failures", """
 WITH f AS (SELECT l_orderkey AS property_id, count(*) AS n, max(l_shipdate) AS at,
   arg_max('broke at ' || l_partkey, {'t': l_shipdate, 's': l_partkey * 100 + l_linenumber}) AS message
