@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from curalens.llm.common import blocks, fresh_path, landed, one_array, prepare, text_of
+from curalens.llm.common import blocks, fresh_path, one_array, prepare, text_of
 from curalens.llm.words import word_tokenizer
 
 MAGIC, BLOCK_IDS = b"IDBLOCK1", 4096
@@ -175,33 +175,14 @@ class IdFile:
         return self.ids(start, stop)
 
 
-def _encoded(docs: DataFrame, tokenizer_path: str, end_id: int, n_bytes: int, text_col: str, id_col: str) -> DataFrame:
-    """Token ids of every row in as few whole bytes each as the vocabulary needs."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokenizer(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        for block in blocks(batches):
-            each = [ids + end for ids in tokens.encode(one_array(block.column("text")))]
-            lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
-            packed = np.frombuffer(b"".join(each), np.uint8).reshape(-1, 4)[:, :n_bytes].tobytes()
-            ends = np.concatenate([[0], np.cumsum(lengths * n_bytes)])
-            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([one_array(block.column("doc_id")), column.cast(pa.binary()), pa.array(lengths)],
-                                             ["doc_id", "ids", "n_tokens"])
-
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-            .mapInArrow(encode, "doc_id long, ids binary, n_tokens long").withColumn("row", F.monotonically_increasing_id()))
-
-
-def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, file_bytes: int = 32 << 20,
+def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, file_text_bytes: int = 64 << 20,
                    text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Encode every whole text, append ``end_id``, and write all ids to files in ascending document id.
 
-    The width is the fewest bits that hold every id of the vocabulary and the end id. Texts are
-    encoded where they lie; only ids cross the shuffle. Files are ranges of (id, row), so many rows
-    with one id, or without an id (null ids come first), are spread as well. A task writes files
-    under names of its own; the manifest names those of the attempts that counted, so a task that
+    The width is the fewest bits that hold every id of the vocabulary and the end id. Texts are dealt
+    in ranges of (id, row hash, row), so many rows with one id, or without an id (null ids come first), are spread as well;
+    a file takes a range of about ``file_text_bytes``. A task encodes its range in order, block by block, and writes a file
+    under a name of its own; the manifest names those of the attempts that counted, so a task that
     runs again leaves at most a file that nobody reads.
 
     Returns the manifest, one row per segment of about a million ids; ``folder/manifest`` keeps it.
@@ -209,25 +190,20 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: in
     spark = prepare(docs.sparkSession)
     from tokenizers import Tokenizer
     width = width_of(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1))
-    n_bytes = -(-width // 8)
-    rows = landed(_encoded(docs, tokenizer_path, end_id, n_bytes, text_col, id_col), "encoded_ids")
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    n_files = max(1, -(-total * width // (8 * file_bytes)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_files = max(1, -(-total // file_text_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = word_tokenizer(tokenizer_path)
+        end = np.array([end_id], "<u4").tobytes()
         part, writer, name = TaskContext.get().partitionId(), None, f"part-{uuid.uuid4().hex}.ids"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for block in blocks(batches):
             writer = writer or IdFileWriter(f"{folder}/{name}", width)
-            column = batch.column("ids")
-            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-            raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(-1, n_bytes)
-            ids = np.zeros((len(raw), 4), np.uint8)
-            ids[:, :n_bytes] = raw
-            doc_ids = batch.column("doc_id")
+            each = [ids + end for ids in tokens.encode(one_array(block.column("text")))]
+            doc_ids = one_array(block.column("doc_id"))
             writer.add(doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False),
-                       np.diff(ends) // n_bytes, ids.reshape(-1).view("<u4"))
+                       np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), "<u4"))
         if writer:
             cuts = writer.close()
             n_docs, n_ids = len(cuts) - 1, int(cuts[-1])
@@ -239,8 +215,10 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*segments), kinds)],
                                              ["part", "file", "segment", "doc_from", "doc_to", "file_ids", "width"])
 
-    (rows.select("doc_id", "row", "ids").repartitionByRange(n_files, "doc_id", "row").sortWithinPartitions("doc_id", "row")
-     .select("doc_id", "ids").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest"))
+    # Equal rows are alike, so their order doesn't matter; the hash tells different texts of one id apart.
+    spread = rows.withColumn("mark", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    (spread.repartitionByRange(n_files, "doc_id", "mark", "row").sortWithinPartitions("doc_id", "mark", "row")
+     .select("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest"))
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -279,7 +257,7 @@ def id_file_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folde
     """Write the ids of all documents to packed files and read every document back from them.
 
     Null or empty text is the end id alone. Each row is a document, also when its id is null (those
-    come first, with a null id) or repeated (in the order of the rows). An empty table writes no
+    come first, with a null id) or repeated (in the order of a hash of their texts). An empty table writes no
     files and gives no rows. Other columns are ignored. ``folder`` must be on a store that tasks can
     reach; without it a new folder is made in the shared folder.
     """

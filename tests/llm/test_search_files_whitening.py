@@ -141,7 +141,7 @@ def test_op12_equals_the_library(spark):
 def test_files_of_odd_rows(spark, tmp_path, monkeypatch):
     docs = [(4, "a b"), (None, "null id"), (2, None), (3, ""), (9, "long " * 40_000), (-1, "é日本 <|endoftext|>"), (None, "null id"), (4, "a b")]
     rows = frame(spark, [(i, t, "clash", 0) for i, t in docs], "doc_id long, text string, start string, part int").repartition(3)
-    got = sorted((tuple(r) for r in id_file_digests(rows, WORDS, folder=str(tmp_path / "one"), file_bytes=20_000).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in id_file_digests(rows, WORDS, folder=str(tmp_path / "one"), file_text_bytes=60_000).collect()), key=lambda r: r[1])
     assert got == want_files(docs)
     assert len({r.file for r in spark.read.parquet(str(tmp_path / "one" / "manifest")).collect()}) > 1
     assert id_file_digests(rows.limit(0), WORDS).count() == 0
