@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import functions as F
-
 from curalens.plans.registry import query
-from curalens.session import work_dir
 from curalens.sources import standins
+from curalens.sources.landing import landing_path
 from curalens.streaming import jobs
+from curalens.streaming.levels import admitted, current_rows
 
 
 def _start(v, name: str):
-    folder = f"{work_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    folder = landing_path(v.spark, name)
     own = jobs.stream_session(v.spark)
     return own, jobs.read_events(own, f"{v.base}/events.parquet*"), folder
 
@@ -30,14 +27,20 @@ def _appended(v, name, build, partition_by=None):
 
 def _updated(v, name, build, keys):
     own, events, folder = _start(v, name)
-    jobs.land_updates(build(events), folder)
-    return jobs.newest_versions(own, folder, keys)
+    jobs.land_updates(build(events), folder, keys)
+    return current_rows(own, folder, keys)
+
+
+def _admitted(v, name, build, key):
+    own, events, folder = _start(v, name)
+    jobs.land_once(build(events), folder, key)
+    return admitted(own, folder, key)
 
 
 _URL = "concat('https://x.example.com/', user_id, '/', event_type) AS source_url"
 query("stream_insert_once", """
 SELECT DISTINCT 'https://x.example.com/' || user_id || '/' || event_type AS source_url FROM events""")(
-    lambda v: _appended(v, "insert-once", lambda e: jobs.admit_once(e.selectExpr(_URL))))
+    lambda v: _admitted(v, "insert-once", lambda e: e.selectExpr(_URL), "source_url"))
 query("stream_latest_reach", """
 SELECT media_id, arg_max(reach, read_at) AS reach, max(read_at) AS read_at, count(*) AS readings FROM reach_readings
 GROUP BY 1""")(
@@ -64,3 +67,13 @@ SELECT user_id AS item_id, least(count(*), 3) AS attempts, count(*) >= 3 AS give
   THEN max(ts) + INTERVAL 600 SECOND END AS next_try_at FROM events WHERE event_type = 'error' AND value > 60 GROUP BY 1""")(
     lambda v: _updated(v, "retry", lambda e: jobs.retry_state(e.filter("event_type = 'error' AND value > 60").selectExpr(
         "user_id AS item_id", "ts AS at")), ["item_id"]))
+# What has come out by the end: the watermark is the newest failure less ten minutes.
+query("stream_retry_timers", """
+WITH f AS (SELECT user_id AS item_id, ts AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+  lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM events WHERE event_type = 'error' AND value > 60),
+w AS (SELECT max("at") - INTERVAL 10 MINUTE AS passed FROM f)
+SELECT item_id, CAST(n AS INTEGER) AS attempt, 'retry' AS outcome, "at" + INTERVAL 600 SECOND AS "at" FROM f, w WHERE n < 3
+  AND (again >= "at" + INTERVAL 600 SECOND OR (again IS NULL AND "at" + INTERVAL 600 SECOND <= passed))
+UNION ALL SELECT item_id, CAST(n AS INTEGER), 'given up', "at" FROM f WHERE n = 3""")(
+    lambda v: _appended(v, "retry-timers", lambda e: jobs.retries(e.filter("event_type = 'error' AND value > 60").selectExpr(
+        "user_id AS item_id", "ts AS at"))))

@@ -1,16 +1,21 @@
 """Arrival-time jobs. Each is a builder (streaming frame -> streaming frame) and a way to land it.
 
 State sits in the state store, so a batch costs what arrives in it and not
-what was seen before. Changed rows land in one folder per batch; a batch that
-is run again after a failure overwrites its own folder only, so results are
+what was seen before; keys of all time sit in a table of their own. Changed rows and keys
+land in leveled tables: a batch that is run again after a failure changes nothing that counts, so results are
 exact however often executors are lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from curalens.schemas import SUPPLIED
+from curalens.streaming.levels import LeveledTable, admit, upsert
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Monday 00:00 in Asia/Tokyo, counted from the epoch; that zone has no daylight saving.
@@ -38,16 +43,6 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 # --- builders ---------------------------------------------------------------
 
-def admit_once(urls: DataFrame) -> DataFrame:
-    """URLs never seen before, over all time. The key set is the state."""
-    return urls.select("source_url").dropDuplicates(["source_url"])
-
-
-def admit_once_within(urls: DataFrame, delay: str) -> DataFrame:
-    """The same with bounded state: repeats within ``delay`` of each other are dropped."""
-    return urls.withWatermark("at", delay).dropDuplicatesWithinWatermark(["source_url"])
-
-
 def latest_reach(readings: DataFrame) -> DataFrame:
     """Newest reading per media item."""
     return readings.groupBy("media_id").agg(F.max_by("reach", "read_at").alias("reach"),
@@ -88,6 +83,66 @@ def retry_state(failures: DataFrame) -> DataFrame:
                              F.col("last_at") + F.expr(f"INTERVAL {RETRY_WAIT_SECONDS} SECONDS")).alias("next_try_at"))
 
 
+class RetryTimers(StatefulProcessor):
+    """An item comes out again a while after each failure, until it has failed too often.
+
+    A failure before the item came out restarts the wait. The state of an item is its failures and when it
+    is due; once it is given up nothing more happens to it.
+    """
+
+    def __init__(self, wait_seconds: int, limit: int):
+        self.wait, self.limit = wait_seconds * 1000, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("retry", "failures int, due long")
+
+    def _rows(self, key: tuple, found: list[tuple[int, str, int]]) -> Iterator[pd.DataFrame]:
+        if found:
+            attempts, outcomes, times = zip(*found)
+            yield pd.DataFrame({"item_id": [key[0]] * len(found), "attempt": pd.array(attempts, "int32"), "outcome": outcomes,
+                                "at": pd.to_datetime(times, unit="ms", utc=True)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        failures, due = self.state.get() if self.state.exists() else (0, None)
+        asked, found = due, []
+        times = pd.concat([r["at"] for r in rows])
+        for at in sorted(t.value // 1_000_000 for t in times):
+            if failures >= self.limit:
+                break
+            if due is not None and at >= due:        # it was out before it failed again
+                found.append((failures, "retry", due))
+            failures, due = failures + 1, at + self.wait
+            if failures >= self.limit:
+                found.append((failures, "given up", at))
+                due = None
+        if asked is not None and asked != due:
+            self.handle.deleteTimer(asked)
+        if due is not None and asked != due:
+            self.handle.registerTimer(due)
+        self.state.update((failures, due))
+        yield from self._rows(key, found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        failures, due = self.state.get()
+        if due == expiredTimerInfo.getExpiryTimeInMs():
+            self.state.update((failures, None))
+            yield from self._rows(key, [(failures, "retry", due)])
+
+    def close(self) -> None:
+        pass
+
+
+def retries(failures: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """``failures`` (item_id, at) to what comes out again: attempt so far, ``retry`` or ``given up``, and when.
+
+    Timers fire as the watermark, the newest failure less ``delay``, passes them; a failure that comes later than
+    that is not counted. Failures of an item in one batch or in many give the same rows.
+    """
+    return (failures.withWatermark("at", delay).groupBy("item_id").transformWithStateInPandas(
+        RetryTimers(RETRY_WAIT_SECONDS, RETRY_LIMIT), "item_id long, attempt int, outcome string, at timestamp", "Append", "EventTime"))
+
+
 # --- landing ----------------------------------------------------------------
 
 def land_appends(stream: DataFrame, folder: str, partition_by: list[str] | None = None) -> None:
@@ -99,17 +154,22 @@ def land_appends(stream: DataFrame, folder: str, partition_by: list[str] | None
     writer.start().awaitTermination()
 
 
-def land_updates(stream: DataFrame, folder: str) -> None:
-    """Run until all input is used; changed rows of batch N go to ``batch=N``."""
+def land_updates(stream: DataFrame, folder: str, keys: list[str]) -> None:
+    """Run until all input is used; changed rows go to a leveled table under ``folder``."""
     def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        upsert(LeveledTable(changed.sparkSession, folder), changed, batch, keys)
 
     (stream.writeStream.outputMode("update").foreachBatch(write)
      .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
 
 
-def newest_versions(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Current rows: of every key the version of the last batch that changed it."""
-    rows = spark.read.parquet(f"{folder}/rows")
-    values = [c for c in rows.columns if c not in keys and c != "batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+def land_once(stream: DataFrame, folder: str, key: str) -> None:
+    """Run until all input is used; keys never seen before, over all time, go to a leveled table of keys.
+
+    There is no state to hold: a batch looks its keys up in the table's filters and in the buckets they point to.
+    """
+    def write(arrived: DataFrame, batch: int) -> None:
+        admit(LeveledTable(arrived.sparkSession, folder), arrived, batch, key)
+
+    (stream.writeStream.outputMode("append").foreachBatch(write)
+     .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
