@@ -152,29 +152,34 @@ def _leaves(classes: DataFrame, trees: int, limit: int, deepest: int, cut: int)
                                       F.max_by(F.struct("name", "signs"), F.xxhash64("name", "node")).alias("b"))
     leaders = landed(chosen.select(F.col("node").alias("node"), F.array("a", "b").alias("leaders")), "leaders")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), np.uint8).reshape(-1, COORDS)
             heads = np.frombuffer(b"".join(x["signs"] for pair in batch.column("leaders").to_pylist() for x in pair), np.uint8).reshape(-1, 2, COORDS)
             close = ((heads == signs[:, None, :]).sum(axis=2) >= cut).any(axis=1)
-            chunks, own = batch.column("chunks").to_pylist(), batch.column("own").to_pylist()
-            parts = [[o] if c else list(range(n)) for c, n, o in zip(close.tolist(), chunks, own)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "name", "signs")], pa.array(parts, pa.list_(pa.int32()))],
-                                             ["node", "name", "signs", "parts"])
-
-    n_chunks = F.ceil(F.col("n") / limit).cast("int")
-    dealt = (rows.join(leaders, "node").select("node", "name", "signs", "leaders", n_chunks.alias("chunks"))
-             .withColumn("own", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
-             .mapInArrow(deal, "node long, name long, signs binary, parts array<int>"))
-    chunks = (dealt.select("node", "name", "signs", F.explode("parts").alias("part"))
-              .select(F.xxhash64("node", "part").alias("leaf"), "name", "signs"))
-    sizes = rows.groupBy("node").agg(F.ceil(F.max("n") / limit).cast("int").alias("chunks"))
-    heads = (leaders.join(sizes, "node").select("node", F.explode("leaders").alias("x"), "chunks")
-             .select("node", "x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
-             .select(F.xxhash64("node", "part").alias("leaf"), "x.name", "x.signs"))
-    return done.union(chunks).union(heads)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "name", "signs")], pa.array(close)], ["node", "name", "signs", "close"])
+
+    marked = landed(rows.select("node", "name", "signs").join(leaders, "node")
+                    .mapInArrow(mark, "node long, name long, signs binary, close boolean"), "marked")
+    shape = landed(marked.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / limit), F.lit(1)).cast("int").alias("chunks"),
+                                              F.ceil(F.count_if(~F.col("close")) / limit).cast("int").alias("blocks")), "large_shapes")
+    # A cell is a chunk of what is close to a leader with a block of what is close to none, or two such blocks.
+    # Whatever the node holds, a cell gets about two times ``limit`` documents and the leaders.
+    part = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
+    block = F.pmod(F.xxhash64("name", F.lit(1)), F.col("blocks")).cast("int")
+    placed = marked.join(shape, "node").select("node", "name", "signs", "close", part.alias("part"), block.alias("block"), "chunks", "blocks")
+    columns = F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)
+    near = placed.where("close").select("node", "name", "signs", F.lit(0).alias("kind"), F.col("part").alias("i"), F.explode(columns).alias("j"))
+    far = placed.where("not close")
+    beside = far.select("node", "name", "signs", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.col("block").alias("j"))
+    among = (far.select("node", "name", "signs", "block", F.explode(columns).alias("other"))
+             .select("node", "name", "signs", F.lit(1).alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    heads = (leaders.join(shape, "node").select("node", F.explode("leaders").alias("x"), "chunks")
+             .select("node", "x.name", "x.signs", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(0).alias("j")))
+    cells = near.union(beside).union(among).union(heads)
+    return done.union(cells.select(F.xxhash64("node", "kind", "i", "j").alias("leaf"), "name", "signs"))
 
 
 def _maybe_links(leaves: DataFrame, cut: int) -> DataFrame:
@@ -238,7 +243,7 @@ def _links(blocks_of: DataFrame, percent: int, cut: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id",
-                    trees: int = 8, limit: int = 512, deepest: int = 3, chunk: int = 512) -> DataFrame:
+                    trees: int = 8, limit: int = 512, deepest: int = 3, chunk: int = 512, most_shingles: int = 1 << 20) -> DataFrame:
     """Groups of documents linked by ``100 * shared >= percent * united`` distinct word shingles.
 
     1. Equal sets share a name and are one class from here on, however many copies there are.
@@ -247,7 +252,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
        miss about one in four million. Large nodes branch on, along one coordinate, then along two.
     3. Nodes are compared exhaustively on signatures (a cut 4.5 deviations below the threshold),
        which leaves clusters of what may be linked. Only their texts are read again.
-    4. Links are confirmed on full sets. A cluster is compared in one block, or in chunks that share two leaders;
+    4. Links are confirmed on full sets. A cluster is compared in one block, or in chunks of at most about
+       ``chunk`` documents and ``most_shingles`` shingles that share two leaders;
        then everything outside the largest group of a chunked cluster is compared with all of it, in blocks.
 
     Null text counts as empty: no shingles, linked with nothing. A null id is never the smallest id;
@@ -262,15 +268,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     cut = least_match(percent / 100)
     signed = landed(_signatures(texts, width, trees), "signatures")
     classes = landed(signed.where("name is not null").groupBy("name").agg(
-        F.min("of").alias("of"), F.min("signs").alias("signs"), F.min("roots").alias("roots")), "classes")
+        F.min("of").alias("of"), F.min("n_shingles").alias("n_shingles"), F.min("signs").alias("signs"), F.min("roots").alias("roots")), "classes")
     clusters = connected(_maybe_links(_leaves(classes, trees, limit, deepest, cut), cut)).withColumnsRenamed({"id": "name", "root": "cluster"})
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = landed(clusters.join(landed(sizes, "cluster_sizes"), "cluster").join(classes.select("name", "of", "signs"), "name"), "clusters")
+    clusters = landed(clusters.join(classes.select("name", "of", "n_shingles", "signs"), "name"), "clusters")
+    # Blocks are cut by documents and by shingles, so long texts make more of them.
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n_shingles") / most_shingles)).cast("int").alias("chunks"))
+    members = landed(clusters.drop("n_shingles").join(sizes, "cluster"), "members")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()         # rows that share an id give a class once
         for block in blocks(batches):
             sets = shingle_sets(one_array(block.column("text")), width)
-            same = pa.array([a == b for a, b in zip(_named(sets), block.column("name").to_pylist())])
+            same = []
+            for found, name in zip(_named(sets), block.column("name").to_pylist()):
+                same.append(found == name and name not in seen)
+                seen.add(name) if same[-1] else None
+            same = pa.array(same, pa.bool_())
             out = block.drop_columns(["text"]).append_column("words", pa.array([s.tobytes() for s in sets], pa.binary()))
             yield from out.filter(same).to_batches()
 
@@ -279,18 +292,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
     wanted = (texts.select("of", "text")
-              .join(members.where("n > 1").hint("merge"), "of"))
-    sets = landed(wanted.select("name", "cluster", "n", "signs", "text")
-                  .mapInArrow(words_of, "name long, cluster long, n long, signs binary, words binary"), "sets")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    whole = sets.withColumn("chunks", chunks)
-    first = whole.select("name", "signs", "words", F.lit(True).alias("asks"),
+              .join(members.where("chunks > 0").hint("merge"), "of"))
+    sets = landed(wanted.select("name", "cluster", "chunks", "signs", "text")
+                  .mapInArrow(words_of, "name long, cluster long, chunks int, signs binary, words binary"), "sets")
+    first = sets.select("name", "signs", "words", F.lit(True).alias("asks"),
                          F.xxhash64("cluster", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")).alias("block"))
-    large = whole.where("chunks > 1")
+    large = sets.where("chunks > 1")
     has_large = bool(large.limit(1).count())
     if has_large:
         named = large.groupBy("cluster").agg(F.min("name").alias("x"), F.max("name").alias("y"), F.max("chunks").alias("chunks"))
-        heads = named.select(F.explode(F.array("x", "y")).alias("name"), "chunks").join(sets.drop("n"), "name")
+        heads = named.select(F.explode(F.array("x", "y")).alias("name"), "chunks").join(sets.drop("chunks"), "name")
         first = first.union(heads.select("name", "cluster", "signs", "words", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
                             .select("name", "signs", "words", F.lit(True), F.xxhash64("cluster", "part")))
     links = landed(_links(first, percent, cut), "links")
@@ -298,9 +309,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     if has_large:
         rooted = landed(large.select("name", "cluster", "chunks").join(groups.withColumnRenamed("id", "name"), "name", "left")
                         .select("name", "cluster", "chunks", F.coalesce("root", "name").alias("root")), "rooted")
-        shares = rooted.groupBy("cluster", "root").agg(F.count("*").alias("k"))
-        main = shares.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-        main = landed(main.where(F.col("all") > F.col("most")).withColumn("minor", F.ceil((F.col("all") - F.col("most")) / chunk).cast("int")), "mains")
+        shares = rooted.groupBy("cluster", "root").agg(F.count("*").alias("k"), F.max("chunks").alias("chunks"))
+        main = shares.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"),
+                                             F.max("chunks").alias("cut"))
+        main = landed(main.where(F.col("all") > F.col("most")).withColumn("minor", F.ceil((F.col("all") - F.col("most")) * F.col("cut") / F.col("all")).cast("int")), "mains")
         has_large = bool(main.limit(1).count())
     if has_large:        # some chunked cluster has more than one group
         part = F.pmod(F.xxhash64("name", F.lit(1)), F.col("chunks")).cast("int")

@@ -78,6 +78,26 @@ def test_groups_equal_brute_force(spark, width, percent, settings_):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_long_texts_and_many_far_documents_are_cut_into_blocks(spark):
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [shared + " " + " ".join(f"w{rng.randrange(9000)}" for _ in range(40)) for _ in range(90)]      # alike, but no near copies
+    texts += family(rng, 8, 3, 3000)
+    want, _ = brute_components(texts, 5, 80)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts), limit=5, deepest=1, most_shingles=5000).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_chains_and_stars(spark):
+    rng = random.Random(2)
+    chain = [(i, i + 1) for i in range(3000)]
+    star = [(9000, 9000 + i) for i in range(1, 3000)]
+    edges = chain + star + chain[:50]
+    rng.shuffle(edges)
+    got = connected(spark.createDataFrame(edges, "a long, b long").repartition(40)).collect()
+    assert sorted((r.id, r.root) for r in got) == [(i, 0) for i in range(3001)] + [(9000 + i, 9000) for i in range(3000)]
+
+
 def test_null_and_repeated_ids(spark):
     same = "some words that are the same in each of these texts"
     rows = near_duplicates(frame(spark, [same, same, same, "x", "other words here"], [None, 7, 7, None, None])).collect()
