@@ -47,6 +47,31 @@ def sorted_place(rows: DataFrame, order: list, out: str = "place") -> DataFrame:
     return landed.join(starts, "_part").withColumn(out, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
+def grouped_place(rows: DataFrame, keys: list[str], order: list[str], out: str = "place", flag: Column | None = None,
+                  flagged: str = "flagged_before") -> DataFrame:
+    """The place of every row in its group, from 1, and with ``flag`` how many rows before it in the group have it.
+
+    Rows land once in ranges of (keys, order). Ranges split wherever there are many rows, so a group
+    with a third of all rows lies in many; what a range adds to a group is summed over the ranges, and inside a range the
+    rows of a group stand side by side.
+    """
+    landed = land(rows.withColumn("_flag", F.lit(False) if flag is None else F.coalesce(flag, F.lit(False)))
+                  .repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id())
+                  .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "grouped")
+    counts = landed.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.count_if("_flag").alias("_f"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)      # one row per group and range
+    starts = counts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_flags"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed = landed.join(starts, same).withColumn(out, F.col("_rows") + F.col("_at") - F.col("_lo") + 1)
+    if flag is not None:
+        inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn(flagged, F.col("_flags") + F.count_if("_flag").over(inside))
+    return placed.drop("_flag", "_part", "_at", "_p", "_lo", "_rows", "_flags", *[f"_k{i}" for i in range(len(keys))])
+
+
 def histogram_median(hist: DataFrame, keys: list[str], value: str, count: str, upper: bool = False) -> DataFrame:
     """Median per group from a table of (value, how many).
 

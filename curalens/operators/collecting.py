@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curalens.config import SignalConfig
-from curalens.functions.places import pick_address
-from curalens.functions.ranks import histogram_median
+from curalens.functions.places import pick_address, pick_tw_address
+from curalens.functions.ranks import grouped_place, histogram_median
+from curalens.functions.stages import settle
 from curalens.functions.patterns import wide
 from curalens.functions.urls import authority, normalize_url, path_of, url_allowed
 from curalens.operators.extract import extract_pages, image_urls
@@ -114,11 +115,27 @@ def index_backfill(index: DataFrame, feed: DataFrame, known: DataFrame, max_back
     once = index.groupBy("source", "url").agg(F.min("position").alias("position"))
     fresh = (once.join(feed.select("source", "url"), ["source", "url"], "left_anti")
              .join(known.select(F.col("source_url").alias("url")), "url", "left_anti"))
-    order = Window.partitionBy("source").orderBy("position", "url")
-    ranked = fresh.withColumn("rn", F.row_number().over(order))
+    ranked = grouped_place(fresh, ["source"], ["position", "url"], "rn")
     return ranked if max_backfill is None else ranked.filter(F.col("rn") <= max_backfill)
 
 
+def take_backfill(fresh: DataFrame, budgets: DataFrame, max_items: int | None = None) -> DataFrame:
+    """What a run does with each index link: ``inserted``, ``passed over`` or ``over budget``.
+
+    ``fresh`` has source, url, position and ``inserts``, whether the page would give a candidate. ``budgets`` has, per
+    source, ``max_backfill`` (null: no limit) and ``used``, what the feed inserted in this run, which counts against
+    ``max_items`` a source. Links are opened in order until as many are inserted as the smaller
+    of the two leaves; pages that give no candidate use up nothing. A source without a budget row has both limits whole.
+    """
+    own = budgets.select("source", F.col("max_backfill").alias("_own"), F.coalesce("used", F.lit(0)).alias("_used"))
+    rows = fresh.join(own, "source", "left")
+    left = F.lit(None).cast("long") if max_items is None else F.greatest(F.lit(max_items) - F.coalesce("_used", F.lit(0)), F.lit(0)).cast("long")
+    rows = rows.withColumn("budget", F.least(F.col("_own").cast("long"), left)).drop("_own", "_used")
+    rows = grouped_place(rows, ["source"], ["position", "url"], "rn", F.col("inserts"), "inserted_before")
+    over = F.coalesce(F.col("inserted_before") >= F.col("budget"), F.lit(False))
+    return rows.withColumn("outcome", F.when(over, "over budget").when(F.col("inserts"), "inserted").otherwise("passed over"))
+
+
 def index_links(pages: DataFrame, sources: DataFrame, links: Column) -> DataFrame:
     """Allowed links of index pages, normalised, each once per source, first place kept."""
     page_url = normalize_url(F.col("url"))
@@ -240,42 +257,125 @@ def running_failures(log: DataFrame, limit: int = 3, width: int = 4096) -> DataF
 
 # --- listing sites ----------------------------------------------------------
 
+def listing_fates(pages: DataFrame, sources: DataFrame, known: DataFrame) -> DataFrame:
+    """Every allowed listing page with its normalised address and its fate before it is opened: duplicate, known or none."""
+    keyed = with_rules(pages.drop("html"), sources).withColumn("url", normalize_url(F.col("url"))).filter(
+        url_allowed(F.col("url"), F.col("url_include"), F.col("url_exclude"))).select("page_id", "source", "source_name", "source_rank", "url")
+    first = keyed.groupBy("source", "url").agg(F.min("page_id").alias("_first"))
+    seen = known.select(F.col("source_url").alias("url")).distinct().withColumn("_known", F.lit(True))
+    return keyed.join(first, ["source", "url"]).join(seen, "url", "left").withColumn(
+        "_fate", F.when(F.col("page_id") != F.col("_first"), "duplicate").when(F.col("_known"), "known")).drop("_first", "_known")
+
+
+def _read_listings(fresh: DataFrame, pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Chosen pages with their texts and the first photo of each."""
+    read = extract_pages(fresh.select(*keep).join(pages.select("page_id", "html"), "page_id"), keep)
+    return read.withColumn("thumbnail", F.get(image_urls(F.col("image_refs"), F.col("url"), 2), F.lit(0)))
+
+
+def _real_photo(rows: DataFrame, flat: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Whether there is a photo that isn't known to be a flat colour."""
+    real = F.col("thumbnail").isNotNull()
+    if flat is None:
+        return rows, real
+    marked = rows.join(flat.select(F.col("url").alias("thumbnail"), F.lit(True).alias("_flat")), "thumbnail", "left")
+    return marked, real & F.col("_flat").isNull()
+
+
 def listing_candidates(pages: DataFrame, sources: DataFrame, known: DataFrame, price_patterns: list[str], *,
                        max_details: int | None = None, flat: DataFrame | None = None) -> DataFrame:
     """Fate of every listing page: duplicate, known, over limit, no price, no location, no photo, or candidate.
 
-    Pages are chosen by id, source and address; only the chosen ones fetch their HTML and are parsed.
+    One set of rules for all sources; ``listing_intake`` takes the rules of each. Pages are chosen by
+    id, source and address; only the chosen ones fetch their HTML and are parsed.
     ``max_details`` limits the pages read per source; what lies beyond is reported, not dropped.
     """
-    keyed = with_rules(pages.drop("html"), sources).withColumn("url", normalize_url(F.col("url"))).filter(
-        url_allowed(F.col("url"), F.col("url_include"), F.col("url_exclude"))).select("page_id", "source", "source_rank", "url")
-    first = keyed.groupBy("source", "url").agg(F.min("page_id").alias("_first"))
-    seen = known.select(F.col("source_url").alias("url")).distinct().withColumn("_known", F.lit(True))
-    fated = keyed.join(first, ["source", "url"]).join(seen, "url", "left").withColumn(
-        "_fate", F.when(F.col("page_id") != F.col("_first"), "duplicate").when(F.col("_known"), "known"))
-    if max_details is not None:
-        order = Window.partitionBy("source", F.col("_fate").isNull()).orderBy("page_id")
-        fated = fated.withColumn("_fate", F.when(F.col("_fate").isNull() & (F.row_number().over(order) > max_details), "over limit")
-                                 .otherwise(F.col("_fate")))
-    fresh = fated.filter(F.col("_fate").isNull()).select("page_id", "source", "source_rank", "url").join(pages.select("page_id", "html"), "page_id")
-    read = extract_pages(fresh, ["page_id", "source", "source_rank", "url"])
-    price = F.coalesce(first_price(F.col("text"), price_patterns), first_price(F.col("whole_text"), price_patterns))
-    address = pick_address(F.col("url"), F.col("title"), F.col("whole_text"))
-    rows = read.withColumns({"price": price, "address": address,
-                             "thumbnail": F.get(image_urls(F.col("image_refs"), F.col("url"), 2), F.lit(0))})
-    real = F.col("thumbnail").isNotNull()
-    if flat is not None:
-        rows = rows.join(flat.select(F.col("url").alias("thumbnail"), F.lit(True).alias("_flat")), "thumbnail", "left")
-        real = real & F.col("_flat").isNull()
-    outcome = (F.when(F.col("price").isNull(), "no price").when(F.col("address").isNull(), "no location")
-               .when(~real, "no photo").otherwise("candidate"))
-    judged = rows.select("page_id", "source", "source_rank", "url", F.coalesce("title", F.col("address.address"), "url")
-                         .alias("title"), "price", F.col("address.city").alias("location_city"), "thumbnail",
-                         outcome.alias("outcome"))
+    settings = sources.select("key").withColumns({
+        "location_from": F.lit("address"), "require_location": F.lit(True), "country": F.lit(None).cast("string"),
+        "price_patterns": F.array(*[F.lit(p) for p in price_patterns]), "max_details": F.lit(max_details).cast("int")})
+    return listing_intake(pages, sources, known, settings, most_details=max_details, flat=flat).select(
+        "page_id", "source", "source_rank", "url", "title", "price", "location_city", "thumbnail", "outcome")
+
+
+def price_by(text: Column, patterns: Column) -> Column:
+    """First pattern of the row's own list that occurs; later ones aren't tried."""
+    none = F.lit(None).cast("string")
+    return F.aggregate(patterns, none, lambda acc, p: F.coalesce(
+        acc, F.nullif(F.trim(F.call_function("regexp_extract", text, F.concat(F.lit("(?U)"), p), F.lit(0))), F.lit(""))))
+
+
+def listing_intake(pages: DataFrame, sources: DataFrame, known: DataFrame, settings: DataFrame, *, most_details: int | None = None,
+                   require_photo: bool = True, flat: DataFrame | None = None) -> DataFrame:
+    """Fate of every listing page by the settings of its source, and the candidate row it gives.
+
+    ``settings`` has, per source ``key``: ``location_from`` (``address``: a US address, ``tw_address``: a Taiwanese one,
+    ``none``), ``require_location``, ``country``, ``price_patterns`` in order, and ``max_details`` (null: no limit). A row carries
+    its rules, so all sources are judged in one pass by one expression. ``most_details`` is the largest
+    of the limits, if each source has one: then the choice is cut inside map tasks.
+
+    Outcomes: duplicate, known, over limit (none of these is opened), no price, no location (only where it is
+    required), no photo, candidate. A source without settings opens nothing: ``no settings``.
+    """
+    rules = settings.select(F.col("key").alias("source"), "location_from", "require_location", "country", "price_patterns", "max_details",
+                            F.lit(True).alias("_set"))
+    fated = listing_fates(pages, sources, known).join(rules, "source", "left")
+    fated = fated.withColumn("_fate", F.when(F.col("_set").isNull(), "no settings").otherwise(F.col("_fate"))).drop("_set")
+    waiting = fated.filter(F.col("_fate").isNull())
+    if most_details is None:
+        over = grouped_place(waiting.filter("max_details IS NOT NULL").select("source", "page_id", "max_details"), ["source"], ["page_id"], "_at").filter(
+            F.col("_at") > F.col("max_details")).select("page_id", F.lit(True).alias("_over"))
+        opened = waiting.join(over, "page_id", "left_anti")
+    else:
+        order = Window.partitionBy("source").orderBy("page_id")
+        opened = waiting.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= most_details).filter(
+            F.col("max_details").isNull() | (F.col("_at") <= F.col("max_details"))).drop("_at")
+        over = waiting.select("page_id").join(opened.select("page_id"), "page_id", "left_anti").withColumn("_over", F.lit(True))
+    fated = fated.join(over, "page_id", "left").withColumn("_fate", F.when(F.col("_over"), "over limit").otherwise(F.col("_fate"))).drop("_over")
+
+    keep = ["page_id", "source", "source_name", "source_rank", "url", "location_from", "require_location", "country", "price_patterns"]
+    rows = _read_listings(opened, pages, keep)
+    address = (F.when(F.col("location_from") == "address", pick_address(F.col("url"), F.col("title"), F.col("whole_text")))
+               .when(F.col("location_from") == "tw_address", pick_tw_address(F.col("title"), F.col("whole_text"))))
+    price = F.coalesce(price_by(F.col("text"), F.col("price_patterns")), price_by(F.col("whole_text"), F.col("price_patterns")))
+    rows, real = _real_photo(settle(rows.withColumns({"price": price, "address": address}), ["price", "address"]), flat)
+    outcome = (F.when(F.col("price").isNull(), "no price").when(F.col("require_location") & F.col("address").isNull(), "no location")
+               .when(F.lit(require_photo) & ~real, "no photo").otherwise("candidate"))
+    # Fixed value: wording of the evidence that a page of a listing site is an offer.
+    evidence = F.concat("source_name", F.lit(" の物件ページ"))
+    judged = rows.select(
+        "page_id", "source", "source_rank", "url", F.coalesce("title", F.col("address.address"), "url").alias("title"),
+        F.col("text").alias("content_text"), "price", F.col("address.city").alias("location_city"), F.col("country").alias("location_country"),
+        "thumbnail", evidence.alias("for_sale_evidence"), F.lit(True).alias("is_for_sale"), outcome.alias("outcome"))
     return judged.unionByName(fated.filter(F.col("_fate").isNotNull()).select(
         "page_id", "source", "source_rank", "url", F.col("_fate").alias("outcome")), allowMissingColumns=True)
 
 
+LISTING_OUTCOMES = ["candidate", "known", "duplicate", "over limit", "no price", "no location", "no photo", "no settings"]
+
+
+def listing_stats(seen: DataFrame, judged: DataFrame, samples: int = 10) -> DataFrame:
+    """Per source: addresses seen and matched, pages fetched, one counter per outcome, and the first addresses of each miss.
+
+    ``seen`` has the source of every address found; ``judged`` comes from ``listing_intake``. Counters and samples (by page
+    id) combine inside map tasks.
+    """
+    totals = seen.groupBy("source").agg(F.count("*").alias("seen_urls"))
+    counted = judged.groupBy("source").agg(
+        F.count_if(F.col("outcome") != "duplicate").alias("matched_urls"),
+        F.count_if(F.col("outcome").isin("candidate", "no price", "no location", "no photo")).alias("fetched"),
+        *[F.count_if(F.col("outcome") == o).alias(o.replace(" ", "_")) for o in LISTING_OUTCOMES])
+    order = Window.partitionBy("source", "outcome").orderBy("page_id")
+    misses = (judged.filter(F.col("outcome").isin("no price", "no location", "no photo")).select("source", "outcome", "page_id", "url")
+              .withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= samples))
+    some = misses.groupBy("source").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.struct("page_id", "url")))), lambda x: x["url"]).alias(
+            o.replace(" ", "_") + "_samples") for o in ("no price", "no location", "no photo")])
+    empty = F.array().cast("array<string>")
+    names = [f"{o}_samples" for o in ("no_price", "no_location", "no_photo")]
+    return (totals.join(counted, "source", "left").join(some, "source", "left")
+            .fillna(0).withColumns({n: F.coalesce(n, empty) for n in names}))
+
+
 def relink(props: DataFrame, sources: DataFrame, pages: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
     """Listing URLs for rows without one: listing sites point to themselves, articles to what they link."""
     kind = sources.select(F.col("key").alias("source"), F.col("kind").alias("source_kind"))
@@ -291,6 +391,7 @@ def relink(props: DataFrame, sources: DataFrame, pages: DataFrame, cfg: SignalCo
 
 # --- robots verdicts --------------------------------------------------------
 
+# Paths that a survey asks about.
 PROBE_PATHS = ["/search", "/listing", "/property", "/properties", "/homes"]
 
 

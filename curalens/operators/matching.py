@@ -75,29 +75,33 @@ def words(text: Column) -> Column:
 
 
 def identity_terms(props: DataFrame) -> DataFrame:
-    """What names this listing and no other: a street number and distinctive words."""
-    number = F.get(F.filter(words(F.col("street_address")), lambda w: w.rlike(r"^\d{3,}$")), F.lit(0))
-    every = F.array_union(F.array_union(words(F.col("display_name")), words(F.col("title"))), words(F.col("street_address")))
-    kept = F.filter(every, lambda w: ~w.rlike(r"^\d+$") & (F.length(w) >= 3))
-    return props.withColumns({"street_number": number,
+    """What names this listing and no other: a street number and distinctive words of three characters or more, each text read once."""
+    said = F.lower(F.concat_ws(" ", "display_name", "title", "street_address"))
+    kept = F.array_distinct(F.regexp_extract_all(said, F.lit(r"(?<![a-z0-9])(?=[a-z0-9]{3})[0-9]*[a-z][a-z0-9]*"), F.lit(0)))
+    number = F.regexp_extract(F.lower(F.col("street_address")), r"(?<![a-z0-9])([0-9]{3,})(?![a-z0-9])", 1)
+    return props.withColumns({"street_number": F.nullif(number, F.lit("")),
                               "terms": F.array_except(kept, F.array(*[F.lit(w) for w in GENERIC_WORDS]))})
 
 
 def page_match(props: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits that really name their listing, with their points.
 
-    A hit already knows its listing, so this is one equality join and two
-    arrays to compare; no word table is built.
+    A hit already knows its listing, so this is one equality join. A listing brings its terms with their points,
+    a hit its words in one text with a space around each; points are one pass over the terms.
     """
-    own = identity_terms(props).select(F.col("id").alias("property_id"), "street_number", "terms")
-    # Words are cut before the join, once per hit; above it only the two arrays are compared.
-    cut = hits.withColumn("_found", F.array_union(words(F.col("url")), words(F.col("title"))))
-    shared = F.array_intersect("terms", "_found")
-    points = F.aggregate(shared, F.lit(0), lambda acc, w: acc + F.when(F.length(w) >= LONG_WORD, 2).otherwise(1))
-    number = F.when(F.coalesce(F.array_contains("_found", F.coalesce("street_number", F.lit("-"))), F.lit(False)), 2)
+    def spaced(word: Column) -> Column:
+        return F.concat(F.lit(" "), word, F.lit(" "))
+
+    own = identity_terms(props)
+    number = F.filter(F.array(F.struct(spaced(F.col("street_number")).alias("term"), F.lit(2).alias("points"))), lambda t: t["term"].isNotNull())
+    named = F.transform("terms", lambda w: F.struct(spaced(w).alias("term"), F.when(F.length(w) >= LONG_WORD, 2).otherwise(1).alias("points")))
+    own = settle(own.select(F.col("id").alias("property_id"), F.concat(number, named).alias("_terms")), ["_terms"])
+    # Words are cut before the join, once per hit.
+    cut = settle(hits.withColumn("_said", spaced(F.regexp_replace(F.lower(F.concat_ws(" ", "url", "title")), "[^a-z0-9]+", " "))), ["_said"])
+    points = F.aggregate("_terms", F.lit(0), lambda acc, t: acc + F.when(F.contains(F.col("_said"), t["term"]), t["points"]).otherwise(0))
     # Points are settled: the filter above must not have them computed a second time.
-    return (settle(cut.join(own, "property_id").withColumn("points", points + number.otherwise(0)), ["points"])
-            .filter(F.col("points") >= MATCH_MIN).drop("_found", "street_number", "terms"))
+    return (settle(cut.join(own, "property_id").withColumn("points", points), ["points"])
+            .filter(F.col("points") >= MATCH_MIN).drop("_said", "_terms"))
 
 
 def usable_pages(hits: DataFrame, known: DataFrame, blocked: DataFrame, *, per_domain: int = 2,

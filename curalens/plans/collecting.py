@@ -12,7 +12,9 @@ from curalens.operators.signals import detect_signals, is_candidate
 from curalens.plans.registry import query
 from curalens.plans.texts import _DETECT, _normal
 from curalens.session import work_dir
+from curalens.schemas import struct
 from curalens.sources import tables
+from curalens.sources.local import config_frame
 
 CUTOFF = "2024-01-10 00:00:00"
 NOW = "2024-02-01 00:00:00"
@@ -115,6 +117,21 @@ f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position, url) A
   (SELECT 1 FROM fe WHERE fe.source = o.source AND fe.url = o.url) AND url NOT IN (SELECT source_url FROM known_entry_urls))
 SELECT source, url, position, CAST(rn AS INT) AS rn FROM f""")(
     lambda v: op.index_backfill(_index(v), _feed(v), v.known_entry_urls).select("source", "url", "position", "rn"))
+_BUDGETS = """
+bg AS (SELECT s.key AS source, CASE WHEN s.ordinal % 3 <> 2 THEN 5 + s.ordinal END AS own, coalesce(u.n, 0) AS used FROM sources s
+  LEFT JOIN (SELECT source, count(*) // 40 AS n FROM entries GROUP BY 1) u ON u.source = s.key)"""
+query("backfill_budget", f"""WITH {_INDEX.strip()}, {_BUDGETS.strip()},
+o AS (SELECT source, url, min(position) AS position FROM ix GROUP BY 1, 2),
+b AS (SELECT o.*, position % 3 <> 0 AS inserts, least(bg.own, greatest(30 - coalesce(bg.used, 0), 0)) AS budget FROM o LEFT JOIN bg ON bg.source = o.source),
+r AS (SELECT *, row_number() OVER w AS rn, count(*) FILTER (inserts) OVER (PARTITION BY source ORDER BY position, url ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING) AS before FROM b WINDOW w AS (PARTITION BY source ORDER BY position, url))
+SELECT source, url, CAST(rn AS BIGINT) AS rn, CASE WHEN before >= budget THEN 'over budget' WHEN inserts THEN 'inserted' ELSE 'passed over' END AS outcome
+FROM r""")(
+    lambda v: op.take_backfill(
+        _index(v).groupBy("source", "url").agg(F.min("position").alias("position")).withColumn("inserts", F.col("position") % 3 != 0),
+        v.sources.selectExpr("key AS source", "CASE WHEN ordinal % 3 <> 2 THEN 5 + ordinal END AS max_backfill").join(
+            v.entries.groupBy("source").agg(F.expr("count(*) div 40").alias("used")), "source", "left"), 30)
+    .select("source", "url", "rn", "outcome"))
 query("feed_plus_index", f"""WITH {_INDEX.strip()},
 b AS (SELECT *, false AS from_index FROM fe UNION ALL (SELECT *, true FROM ix))
 SELECT source, url, arg_min(from_index, {{'f': from_index, 'p': position}}) AS from_index,
@@ -263,6 +280,59 @@ FROM n""")(
         "page_id", "source", "outcome", "price", "location_city"))
 
 
+def _offers(v):
+    """Listing pages of three kinds of sites: US addresses, Taiwanese addresses with prices in 萬, and no addresses."""
+    taiwan = ("replace(html, '</article>', concat(IF(page_id % 3 <> 2, concat('<p>總價 ', 1000 + page_id, ' 萬</p>'), ''), "
+              "IF(page_id % 4 <> 1, concat('<p>地址：', element_at(array('台北市', '臺中市', '高雄市'), CAST(page_id % 3 + 1 AS INT)), '中山區南京東路', "
+              "page_id, '號</p>'), ''), '</article>'))")
+    return v.listing_pages.withColumn("html", F.expr(f"IF(page_id % 5 = 2, {taiwan}, html)"))
+
+
+def _settings(v):
+    """Settings of the listing sources (configuration, one row per source)."""
+    dollars, wan = [r"USD[\d,]{5,}", r"\$[\d,]{5,}"], [r"[\d,]+\s?萬"]
+    rows = [("src0", "address", True, "United States", dollars, 40), ("src2", "tw_address", True, "Taiwan", wan, 1000),
+            ("src4", "none", False, "Japan", dollars, 60)]
+    return config_frame(v.spark, rows, struct("key string, location_from string, require_location boolean, country string, price_patterns array<string>, "
+                                              "max_details int"))
+
+
+def _intake(v):
+    return op.listing_intake(_offers(v), v.sources, _utm(v), _settings(v), most_details=1000)
+
+
+_INTAKE = f"""
+f AS (SELECT source, {_normal('url')} AS u, min(page_id) AS page_id FROM listing_pages WHERE source IN ('src0', 'src2', 'src4') GROUP BY 1, 2),
+k AS (SELECT DISTINCT {_normal('url')} AS u FROM pages WHERE url LIKE '%utm_source%'),
+n AS (SELECT p.page_id, p.source, {_normal('p.url')} AS url, CASE WHEN p.page_id <> f.page_id THEN 'duplicate' WHEN k.u IS NOT NULL THEN 'known' END AS fate
+  FROM listing_pages p JOIN f ON f.source = p.source AND f.u = {_normal('p.url')} LEFT JOIN k ON k.u = f.u),
+m AS (SELECT *, CASE WHEN fate IS NOT NULL THEN fate WHEN row_number() OVER (PARTITION BY source, fate IS NULL ORDER BY page_id) > CASE source
+  WHEN 'src0' THEN 40 WHEN 'src2' THEN 1000 ELSE 60 END THEN 'over limit' END AS early FROM n),
+x AS (SELECT *, CASE WHEN early IS NOT NULL THEN NULL WHEN source = 'src2' THEN CASE WHEN page_id % 3 <> 2 THEN (1000 + page_id) || ' 萬' END
+    WHEN page_id % 4 <> 3 THEN '$' || format('{{:,}}', 250000 + page_id * 1000) END AS price,
+  CASE WHEN early IS NOT NULL OR source = 'src4' THEN NULL WHEN source = 'src2' THEN CASE WHEN page_id % 4 <> 1 THEN ['台北市', '台中市', '高雄市'][page_id % 3 + 1] END
+    ELSE 'City' || chr(CAST(97 + page_id % 26 AS INT)) END AS city FROM m),
+jd AS (SELECT page_id, source, url, CASE WHEN early IS NOT NULL THEN early WHEN price IS NULL THEN 'no price' WHEN city IS NULL AND source <> 'src4' THEN 'no location'
+  WHEN page_id % 7 = 6 THEN 'no photo' ELSE 'candidate' END AS outcome, price, city AS location_city, CASE WHEN early IS NULL THEN CASE source WHEN 'src0'
+  THEN 'United States' WHEN 'src2' THEN 'Taiwan' ELSE 'Japan' END END AS location_country,
+  CASE WHEN early IS NULL THEN 'Source ' || substr(source, 4) || ' の物件ページ' END AS for_sale_evidence FROM x)"""
+query("listing_intake", f"""WITH {_INTAKE.strip()}
+SELECT page_id, source, outcome, price, location_city, location_country, for_sale_evidence FROM jd""")(
+    lambda v: _intake(v).select("page_id", "source", "outcome", "price", "location_city", "location_country", "for_sale_evidence"))
+query("listing_stats", f"""WITH {_INTAKE.strip()},
+t AS (SELECT source, count(*) AS seen_urls FROM listing_pages WHERE source IN ('src0', 'src2', 'src4') GROUP BY 1),
+s AS (SELECT source, array_to_string(list(url ORDER BY page_id)[1:10], ' ') AS no_price_samples FROM jd WHERE outcome = 'no price' GROUP BY 1)
+SELECT t.source, t.seen_urls, count(*) FILTER (outcome <> 'duplicate') AS matched_urls,
+  count(*) FILTER (outcome IN ('candidate', 'no price', 'no location', 'no photo')) AS fetched, count(*) FILTER (outcome = 'candidate') AS candidate,
+  count(*) FILTER (outcome = 'known') AS known, count(*) FILTER (outcome = 'over limit') AS over_limit, count(*) FILTER (outcome = 'no price') AS no_price,
+  count(*) FILTER (outcome = 'no location') AS no_location, count(*) FILTER (outcome = 'no photo') AS no_photo,
+  coalesce(any_value(s.no_price_samples), '') AS no_price_samples
+FROM t JOIN jd ON jd.source = t.source LEFT JOIN s ON s.source = t.source GROUP BY 1, 2""")(
+    lambda v: op.listing_stats(v.listing_pages.filter("source IN ('src0', 'src2', 'src4')"), _intake(v)).select(
+        "source", "seen_urls", "matched_urls", "fetched", "candidate", "known", "over_limit", "no_price", "no_location", "no_photo",
+        F.array_join("no_price_samples", " ").alias("no_price_samples")))
+
+
 def _utm(v):
     from curalens.functions.urls import normalize_url
     return v.table("pages").filter("url LIKE '%utm_source%'").select(normalize_url(F.col("url")).alias("source_url"))

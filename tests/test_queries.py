@@ -11,7 +11,7 @@ from curalens.plans.registry import all_queries, all_sql
 
 BASE = "/root/testdata/sf0.001"
 PLANS, SQL = all_queries(), all_sql()
-PYTHON_ALLOWED = {"extract_text", "image_urls", "listing_candidates"}
+PYTHON_ALLOWED = {"extract_text", "image_urls", "listing_candidates", "listing_intake", "listing_stats"}
 
 
 @pytest.fixture(scope="module")
