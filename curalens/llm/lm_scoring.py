@@ -22,6 +22,8 @@ SYMBOLS = CLASSES * MEMBERS
 #: Words with a symbol of their own fill the first classes; others share symbols by their letters.
 OWN = 7 * MEMBERS
 CONTEXTS = 5
+#: Bytes of text that a task has in arrays at a time; the rest of a task waits.
+TEXT_BYTES = 1 << 20
 #: Rows of the two hashed weight tables.
 CLASS_ROWS, MEMBER_ROWS = 1 << 15, 1 << 16
 _M1, _M2, _M3 = np.uint64(0x9E6C63D0676A9A99), np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -53,7 +55,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
 
 class Stream:
-    """The tokens of a block of texts, the end of each text among them, with their contexts as table rows."""
+    """The tokens of a block of texts, the end of each text among them; a batch at a time gets its contexts as table rows."""
 
     def __init__(self, texts: pa.Array, own: pa.Array):
         ends, codes, words = lowered(texts)
@@ -61,35 +63,55 @@ class Stream:
         texts_n = len(ends) - 1
         both = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
         row = np.repeat(np.arange(texts_n), np.diff(ends))
-        n = len(codes) + texts_n
-        flat = np.full(n, len(words), np.int64)
+        flat = np.full(len(codes) + texts_n, len(words), np.int32)
         flat[np.arange(len(codes)) + row] = codes
         self.ends = ends + np.arange(texts_n + 1)
-        self.symbol = symbols_of(both, own)[flat]
-        hashes = word_hashes(both)[flat]
-        place = np.arange(n) - np.repeat(self.ends[:-1], np.diff(self.ends))
-
-        def before(values: np.ndarray, k: int, none) -> np.ndarray:
-            moved = np.concatenate([np.full(min(k, n), none, values.dtype), values[:max(0, n - k)]])
+        self.symbol = symbols_of(both, own).astype(np.int16)[flat]
+        self.word_hashes = word_hashes(both)
+        self.hashes = self.word_hashes[flat]
+        self.place = (np.arange(len(flat)) - np.repeat(self.ends[:-1], np.diff(self.ends))).astype(np.int32)
+
+    def _keys(self, a: int, b: int) -> list[np.ndarray]:
+        """Hashed contexts of tokens a to b: what stands one to three tokens before in the same text."""
+        place = self.place[a:b]
+
+        def before(values: np.ndarray, k: int, none: int) -> np.ndarray:
+            moved = np.full(len(place), none, np.uint64)
+            moved[max(0, k - a):] = values[max(0, a - k):max(0, a - k + len(place))]
             moved[place < k] = none
             return moved
 
-        sym = self.symbol.astype(np.uint64)
-        h1, h2 = before(hashes, 1, np.uint64(1)), before(hashes, 2, np.uint64(2))
-        none = np.uint64(SYMBOLS)
-        keys = [before(sym, 1, none) * _M3 + np.uint64(1), h1 * _M1 + np.uint64(2), before(sym, 2, none) * _M2 + np.uint64(3),
-                before(sym, 3, none) * _M1 + np.uint64(4), (h1 ^ (h2 * _M2)) * _M3 + np.uint64(5)]
-        self.keys = [(k ^ (k >> np.uint64(29))) * _M1 for k in keys]
+        h1, h2 = before(self.hashes, 1, 1), before(self.hashes, 2, 1)
+        keys = [before(self.symbol, 1, SYMBOLS) * _M3 + np.uint64(1), h1 * _M1 + np.uint64(2), before(self.symbol, 2, SYMBOLS) * _M2 + np.uint64(3),
+                before(self.symbol, 3, SYMBOLS) * _M1 + np.uint64(4), (h1 ^ (h2 * _M2)) * _M3 + np.uint64(5)]
+        return [(k ^ (k >> np.uint64(29))) * _M1 for k in keys]
 
     def rows(self, a: int, b: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Symbols, class rows and member rows of tokens a to b. A member row is hashed with the class of its token."""
-        symbol = self.symbol[a:b]
+        symbol, keys = self.symbol[a:b].astype(np.int64), self._keys(a, b)
         own_class = (symbol // MEMBERS).astype(np.uint64) * _M2
-        of_class = [(k[a:b] >> np.uint64(64 - 15)).astype(np.int32) for k in self.keys]
-        of_member = [(((k[a:b] ^ own_class) * _M3) >> np.uint64(64 - 16)).astype(np.int32) for k in self.keys]
+        of_class = [(k >> np.uint64(64 - 15)).astype(np.int32) for k in keys]
+        of_member = [(((k ^ own_class) * _M3) >> np.uint64(64 - 16)).astype(np.int32) for k in keys]
         return symbol, of_class, of_member
 
 
+class Known:
+    """Tokens that go to every task, in the order of their hashes, with the logarithm of their counts and one."""
+
+    def __init__(self, tokens: pa.Array, counts: np.ndarray):
+        hashes = word_hashes(tokens)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.tokens, self.logs = hashes[order], tokens.take(pa.array(order)), np.log10(counts[order] + 1.0)
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 if it isn't here. A hash alone is no match: the words are compared."""
+        if not len(self.hashes) or not len(words):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = np.asarray(pc.equal(self.tokens.take(pa.array(at)), words.cast(pa.string())).cast(pa.int8()))
+        return np.where(same == 1, at, -1)
+
+
 #: Sums rows as a product, which is faster than a sum over short rows.
 _ONES = np.ones((CLASSES, 1), np.float32)
 
@@ -195,7 +217,7 @@ def _updated(spark, docs: DataFrame, model: MaxEnt, own: pa.Array, rate: float)
         local = MaxEnt()
         local.tables, local.squares = [t.copy() for t in base.tables], [s.copy() for s in base.squares]
         seen = [np.zeros(CLASS_ROWS, np.int64), np.zeros(MEMBER_ROWS, np.int64)]
-        for block in blocks(batches):
+        for block in blocks(batches, TEXT_BYTES):
             local.learn(Stream(one_array(block.column("text")), words), seen, rate)
         for k in range(2):
             used = np.flatnonzero(seen[k])
@@ -263,19 +285,19 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     for high in rounds:
         model = _updated(spark, training.where((part >= low) & (part < high)), model, own, rate)
         low = high
-    shared = spark.sparkContext.broadcast((model, own, known, room))
+    shared = spark.sparkContext.broadcast((model, own, Known(one_array(known.column("token")), known.column("c").to_numpy()), room))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maxent, words, common, log_room = shared.value
-        tokens, log_c = one_array(common.column("token")), np.log10(common.column("c").to_numpy() + 1.0)
-        end_log = log_c[e] if (e := pc.index_in(pa.scalar(END), value_set=tokens).as_py()) is not None else None
+        log_c, end = common.logs, int(common.find(pa.array([END]), word_hashes(pa.array([END])))[0])
+        end_log = log_c[end] if end >= 0 else None
         key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for block in blocks(batches):
+        for block in blocks(batches, TEXT_BYTES):
             stream = Stream(one_array(block.column("text")), words)
             n_texts = block.num_rows
             each = maxent.log10_symbols(stream) - log_room[stream.symbol]
             sums = np.add.reduceat(each, stream.ends[:-1])
-            at = np.asarray(pc.fill_null(pc.index_in(stream.words, value_set=tokens), -1), dtype=np.int64)
+            at = common.find(stream.words, stream.word_hashes[:-1])
             place = at[stream.codes] if len(stream.codes) else stream.codes
             row = np.repeat(np.arange(n_texts), np.diff(stream.word_ends))
             is_common = place >= 0
@@ -300,7 +322,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     scored = landed(rows.mapInArrow(score, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, of_counts double, "
                                            "of_symbols double, rare array<struct<token:string,times:long>>"), "scored")
     infrequent = scored.select("key", F.explode("rare").alias("x")).select("key", "x.token", "x.times")
-    met = infrequent.join(counts.where(F.col("c") * frequent < total), "token")
+    met = infrequent.join(counts, "token")
     more = landed(met.groupBy("key").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("l")), "infrequent")
     of_counts = F.col("of_counts") + F.coalesce("l", F.lit(0.0))
     return (scored.drop("rare").join(more, "key", "left")
