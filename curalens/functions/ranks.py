@@ -7,30 +7,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from curalens.sources.landing import land
 
 
-def global_row_number(df: DataFrame, value: str, ident: str, out: str = "rn", blocks: int = 1024) -> DataFrame:
-    """Exact row number by ``value`` descending, then ``ident`` ascending.
-
-    ``value`` has few distinct numbers (a score with one decimal); ``ident`` is
-    a unique integer. Rows are counted per (value, block of idents) with
-    map-side combine, the small table of counts is accumulated, and each row
-    is numbered inside its own block. A single value that holds a third of all
-    rows is spread over ``blocks`` window groups. NULL values come last.
+def global_row_number(df: DataFrame, value: str, ident: str, out: str = "rn") -> DataFrame:
+    """Exact row number by ``value`` descending, then ``ident`` ascending. NULL values come last.
+
+    Rows are dealt by sampled ranges of both columns, so blocks are even however the ids cluster, and a single
+    value that holds a third of all rows is spread over many.
     """
-    span = df.agg(F.min(ident).alias("lo"), F.max(ident).alias("hi"))
-    low = span.select("lo").scalar()
-    width = span.select(F.expr(f"greatest((hi - lo) div {blocks} + 1, 1)")).scalar()
-    tagged = df.withColumn("_block", F.floor((F.col(ident) - low) / width))
-    counts = tagged.groupBy(value, "_block").agg(F.count("*").alias("_n"))
-    # One row per (value, block): bounded by distinct values x blocks.
-    order = Window.orderBy(F.col(value).desc_nulls_last(), F.col("_block")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(value).alias("_v"), F.col("_block").alias("_b"),
-                            F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(value, "_block").orderBy(ident)
-    numbered = tagged.withColumn("_in", F.row_number().over(inside))
-    return (numbered.join(offsets, F.col(value).eqNullSafe(F.col("_v")) & (F.col("_block") == F.col("_b")))
-            .withColumn(out, F.col("_before") + F.col("_in"))
-            .drop("_block", "_in", "_v", "_b", "_before"))
+    return sorted_place(df, [F.col(value).desc_nulls_last(), F.col(ident)], out)
 
 
 def sorted_place(rows: DataFrame, order: list, out: str = "place") -> DataFrame:

@@ -11,10 +11,6 @@ NUMBER = r"(?U)\d[\d,]*(?:\.\d+)?"
 YEAR = r"(?U)\b(1[0-9]{3}|20[0-9]{2})(?=s?\b)"
 
 
-def blank_to_null(col: Column) -> Column:
-    return F.when(F.trim(col) != "", col)
-
-
 def price_parts(text: Column) -> Column:
     """``struct(value, currency)`` of the first number in a price text.
 

@@ -13,7 +13,7 @@ from curalens.functions.urls import authority, normalize_url, path_of, url_allow
 from curalens.operators.extract import extract_pages, image_urls
 from curalens.operators.matching import source_by_domain
 from curalens.operators.merging import first_per_key
-from curalens.operators.signals import detect_signals, is_candidate, pick_listing_url, with_contexts
+from curalens.operators.signals import detect_signals, is_candidate, listing_links, pick_listing_url, with_contexts
 
 EXCERPT_CHARS = 800
 
@@ -75,17 +75,23 @@ def kept_entries(entries: DataFrame, sources: DataFrame, known: DataFrame, cutof
     return passed.join(known.select(F.col("source_url").alias("url")), "url", "left_anti")
 
 
-def build_candidates(kept: DataFrame, links: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
-    """Candidate rows: enough signals or a source that lists only things on sale; one per URL."""
-    found = with_contexts(detect_signals(kept.join(links, "id"), cfg), "text").filter(is_candidate(cfg))
+def build_candidates(kept: DataFrame, links: DataFrame | None, cfg: SignalConfig = SignalConfig()) -> DataFrame:
+    """Candidate rows: enough signals or a source that lists only things on sale; one per URL.
+
+    ``links`` may be none if the rows bring their own column ``links``, as extracted pages do. The winner of each URL is chosen over
+    narrow rows; texts come back for the winners only. Ids are unique.
+    """
+    rows = kept if links is None else kept.join(links, "id")
+    found = with_contexts(detect_signals(rows, cfg), "text").filter(is_candidate(cfg))
     # Fixed value: wording of the evidence for sources that list only things on sale.
     prefix = F.concat("source_name", F.lit(" は販売中の物件のみを掲載"))
     evidence = F.when(F.col("assume_for_sale"), F.concat_ws(" / ", prefix, F.nullif("evidence", F.lit("")))).otherwise(
         F.col("evidence"))
     rows = found.select("id", "source", "source_rank", F.col("url").alias("source_url"), "title", "position",
-                        F.col("text").alias("content_text"), evidence.alias("for_sale_evidence"),
-                        F.col("score").alias("signal_score"), pick_listing_url(F.col("listing_links")).alias("listing_url"))
-    return first_per_key(rows, ["source_url"], ["position", "id"])
+                        evidence.alias("for_sale_evidence"), F.col("score").alias("signal_score"),
+                        pick_listing_url(F.col("listing_links")).alias("listing_url"), *[c for c in ("thumbnail",) if c in kept.columns])
+    won = first_per_key(rows, ["source_url"], ["position", "id"])
+    return won.join(kept.select("id", F.col("text").alias("content_text")), "id")
 
 
 def collect_stats(outcomes: DataFrame, names: list[str]) -> DataFrame:
@@ -381,8 +387,8 @@ def relink(props: DataFrame, sources: DataFrame, pages: DataFrame, cfg: SignalCo
     kind = sources.select(F.col("key").alias("source"), F.col("kind").alias("source_kind"))
     empty = props.filter(F.coalesce(F.col("listing_url"), F.lit("")) == "").select("id", "source", "source_url").join(
         kind, "source", "left")
-    picked = detect_signals(pages, cfg).select(F.col("url").alias("source_url"),
-                                               pick_listing_url(F.col("listing_links")).alias("_picked"))
+    # Links decide alone: no text is read.
+    picked = settle(pages.select(F.col("url").alias("source_url"), pick_listing_url(listing_links(F.col("links"), cfg)).alias("_picked")), ["_picked"])
     got = empty.join(picked, "source_url", "left")
     own = F.coalesce(F.col("source_kind") == "listing", F.lit(False))
     return got.select("id", F.when(own, F.col("source_url")).otherwise(F.col("_picked")).alias("listing_url"),

@@ -238,8 +238,8 @@ def resolved_links(hrefs: Column, base: Column) -> Column:
     return F.array_distinct(F.transform(hrefs, lambda h: absolute_url(h, base)))
 
 
-def image_urls(refs: Column, base: Column, limit: int = 30, skip_lead: Column | None = None) -> Column:
-    """Photo URLs in page order, one per photo. ``limit`` is how many a listing may offer."""
+def image_urls(refs: Column, base: Column, limit: int | None = None, skip_lead: Column | None = None) -> Column:
+    """Photo URLs in page order, one per photo. ``limit`` is how many a listing may offer; without it all are kept."""
     urls = F.transform(refs, lambda r: F.when(r["kind"] == "srcset", srcset_largest(r["ref"], base))
                        .otherwise(absolute_url(r["ref"], base)))
     photos = F.transform(F.filter(urls, lambda u: u.isNotNull() & is_photo(u)),
@@ -247,10 +247,11 @@ def image_urls(refs: Column, base: Column, limit: int = 30, skip_lead: Column |
     keys = F.transform(photos, lambda u: photo_identity(u))
     kept = F.filter(F.arrays_zip(photos.alias("url"), keys.alias("key")),
                     lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    first = F.slice(F.transform(kept, lambda p: p["url"]), 1, limit)
+    every = F.transform(kept, lambda p: p["url"])
+    first = every if limit is None else F.slice(every, 1, limit)
     if skip_lead is None:
         return first
-    return F.when(skip_lead & (F.size(first) > 1), F.slice(first, 2, limit)).otherwise(first)
+    return F.when(skip_lead & (F.size(first) > 1), F.slice(first, F.lit(2), F.size(first))).otherwise(first)
 
 
 # --- native columns over raw HTML -------------------------------------------

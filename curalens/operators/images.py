@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from curalens.config import ImageConfig
-from curalens.functions.ranks import sorted_place
+from curalens.functions.ranks import grouped_place, sorted_place
 from curalens.operators.lists import under_quota
 from curalens.operators.matching import page_match, usable_pages
 
@@ -20,16 +20,13 @@ def image_accept(meta: DataFrame, cfg: ImageConfig = ImageConfig()) -> DataFrame
 
 
 def image_positions(current: DataFrame, fresh: DataFrame, cap: int = 10) -> DataFrame:
-    """Give new images the next positions of their listing, up to the cap.
-
-    ``cap`` bounds the rank, so at most ``cap`` rows per listing leave a task.
-    """
+    """Give new images the next positions of their listing, up to the cap; the others stay without one, with a reason."""
     have = current.groupBy("property_id").agg(F.max("position").alias("_max"), F.count("*").alias("_n"))
-    arrival = Window.partitionBy("property_id").orderBy("arrival", "source_url")
-    ranked = fresh.withColumn("_rn", F.row_number().over(arrival)).filter(F.col("_rn") <= cap)
+    ranked = grouped_place(fresh, ["property_id"], ["arrival", "source_url"], "_rn")
+    fits = F.col("_rn") <= cap - F.coalesce("_n", F.lit(0))
     return (ranked.join(have, "property_id", "left")
-            .filter(F.col("_rn") <= cap - F.coalesce("_n", F.lit(0)))
-            .withColumn("position", F.coalesce("_max", F.lit(0)) + F.col("_rn")).drop("_max", "_n", "_rn"))
+            .withColumns({"position": F.when(fits, (F.coalesce("_max", F.lit(0)) + F.col("_rn")).cast("int")),
+                          "reason": F.when(~fits, "over limit")}).drop("_max", "_n", "_rn"))
 
 
 def image_order(posts: DataFrame, images: DataFrame, cap: int = 10) -> DataFrame:

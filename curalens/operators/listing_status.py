@@ -28,7 +28,6 @@ PHRASES = [
 ]
 MLS = r"(?iU)MLS\s*(?:®|\(r\))?\s*(?:#|no\.?|number|id)?\s*[:#]?\s*([A-Z]{0,3}[0-9]{5,12}[A-Z]?)"
 GONE = [404, 410]
-EVIDENCE_CHARS = 80
 
 
 def _found(html: Column, pattern: str) -> Column:
@@ -43,7 +42,7 @@ def listing_status(html: Column, http_status: Column) -> Column:
     """``struct(value, evidence)``: structured data, labelled status, phrases, in that order."""
     def answer(value: Column, label: str, pattern: str) -> Column:
         return F.when(value.isNotNull(), F.struct(value.alias("value"), F.concat(
-            F.lit(label), F.substring(_found(html, pattern), 1, EVIDENCE_CHARS)).alias("evidence")))
+            F.lit(label), _found(html, pattern)).alias("evidence")))
 
     gone = F.when(http_status.isin(GONE), F.struct(F.lit("off_market").alias("value"), F.concat(
         F.lit("gone: "), http_status).alias("evidence")))

@@ -53,7 +53,9 @@ def ranked_listings(props: DataFrame, deliveries: DataFrame, rates: DataFrame |
         rows = rows.filter(F.col("series") == series)
     rows = fx_to_jpy(join_delivery(rows, deliveries), rates)
     if placed:
-        return sorted_place(rows, sort_keys(sort, "price_jpy"))
+        # Only the id and what is sorted by are sorted; the columns a query wants are joined afterwards.
+        needed = [c for c in ("id", "score", "collected_at", "price_jpy") if c in rows.columns]
+        return rows.join(sorted_place(rows.select(*needed), sort_keys(sort, "price_jpy")).select("id", "place"), "id")
     rows = rows.orderBy(*sort_keys(sort, "price_jpy"))
     if offset:
         rows = rows.offset(offset)

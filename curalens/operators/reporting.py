@@ -8,6 +8,7 @@ from curalens.config import (LIFT_HINT, LIFT_TREND, MIN_GROUP, MIN_PAIR, MIN_TOT
 from curalens.functions.clock import local_day, local_week
 from curalens.functions.ranks import histogram_median
 from curalens.operators.lists import image_counts
+from curalens.sources.landing import land
 
 FLAGS = ["style_identified", "one_of_a_kind", "provenance_visible"]
 US_NAMES = ["USA", "United States"]
@@ -91,18 +92,17 @@ def genre_trend(posts: DataFrame, props: DataFrame, zone: str) -> DataFrame:
         F.sum("n").alias("posts"), (F.sum("reach") / F.sum("n")).alias("reach_avg"))
 
 
-def trend_histogram(posts: DataFrame, props: DataFrame, images: DataFrame, zone: str) -> DataFrame:
-    """Reach sums of feed posts by report week, axis and value of the axis.
-
-    This is the only pass over posts that the splits need: medians, the best
-    genre and both sides of every split follow from it.
+def cube_rows(posts: DataFrame, props: DataFrame, images: DataFrame, zone: str) -> DataFrame:
+    """(week, axis, label, num, n, reach): sums of feed posts by week and value of each axis, and under the axis ``week``
+    all published posts of the week. One pass over posts; medians, the best genre, both sides of every split
+    and the report weeks follow from it.
     """
     facts = props.select(
         F.col("id").alias("property_id"), F.coalesce(F.nullif("genre", F.lit("")), F.lit("unknown")).alias("genre"),
-        *FLAGS, "location_country", "architect", "year_built_value", "score")
+        *FLAGS, "location_country", "architect", "year_built_value", "score", F.lit(True).alias("_known"))
     counts = image_counts(images).select("property_id", "image_count")
-    rows = (published(posts, zone).filter((F.col("kind") == "feed") & F.col("reach").isNotNull())
-            .select("week", "property_id", "reach").join(facts, "property_id").join(counts, "property_id", "left"))
+    rows = (published(posts, zone).select("week", "property_id", "reach", (F.col("kind") == "feed").alias("_feed"))
+            .join(facts, "property_id", "left").join(counts, "property_id", "left"))
 
     def entry(axis: str, label: Column | None = None, num: Column | None = None) -> Column:
         return F.struct(F.lit(axis).alias("axis"), (F.lit(None) if label is None else label).cast("string").alias("label"),
@@ -112,14 +112,29 @@ def trend_histogram(posts: DataFrame, props: DataFrame, images: DataFrame, zone:
         return F.when(F.coalesce(cond, F.lit(False)), "yes").otherwise("no")
 
     entries = F.array(
-        entry("genre", F.col("genre")), entry("photos", yes(F.col("image_count") >= 8)),
+        entry("week"), entry("genre", F.col("genre")), entry("photos", yes(F.col("image_count") >= 8)),
         *[entry(f, yes(F.col(f))) for f in FLAGS],
         entry("united_states", yes(F.col("location_country") == "United States")),
         entry("built_before", num=F.nullif("year_built_value", F.lit(0))),
         entry("architect_known", yes(F.trim("architect") != "")), entry("score_at_least", num=F.col("score")))
-    per_week = (rows.select("week", "reach", F.explode(entries).alias("e")).select("week", "reach", "e.*")
-                .groupBy("week", "axis", "label", "num").agg(F.count("*").alias("n"), F.sum("reach").alias("reach")))
-    return (_trailing(per_week, report_weeks(posts, zone)).groupBy("report_week", "axis", "label", "num")
+    measured = F.coalesce(F.col("_feed") & F.col("_known") & F.col("reach").isNotNull(), F.lit(False))
+    kept = F.when(measured, entries).otherwise(F.array(entry("week")))
+    return (rows.select("week", "reach", F.explode(kept).alias("e")).select("week", "reach", "e.*")
+            .groupBy("week", "axis", "label", "num").agg(F.count("*").alias("n"), F.sum("reach").alias("reach")))
+
+
+def report_cube(posts: DataFrame, props: DataFrame, images: DataFrame, zone: str) -> DataFrame:
+    """The rows of ``cube_rows``, landed: all reports of the weeks read them, the posts are read once."""
+    return land(cube_rows(posts, props, images, zone), "report-cube")
+
+
+def cube_weeks(cube: DataFrame) -> DataFrame:
+    return cube.filter(F.col("axis") == "week").select("week").distinct()
+
+
+def trend_histogram(cube: DataFrame) -> DataFrame:
+    """Reach sums by report week, axis and value of the axis, over the eight weeks that end with it."""
+    return (_trailing(cube.filter(F.col("axis") != "week"), cube_weeks(cube)).groupBy("report_week", "axis", "label", "num")
             .agg(F.sum("n").alias("n"), F.sum("reach").alias("reach")))
 
 

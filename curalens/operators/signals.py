@@ -20,6 +20,11 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def listing_links(links: Column, cfg: SignalConfig = SignalConfig()) -> Column:
+    """Links to listing sites, each once, in order."""
+    return F.array_distinct(F.filter(links, lambda u: on_any_domain(authority(u), cfg.listing_domains)))
+
+
 def detect_signals(rows: DataFrame, cfg: SignalConfig = SignalConfig(), text: str = "text",
                    links: str = "links") -> DataFrame:
     """Add keywords, prices, listing links and the score. Native expressions only.
@@ -54,8 +59,7 @@ def detect_signals(rows: DataFrame, cfg: SignalConfig = SignalConfig(), text: st
         return F.array_distinct(F.transform(kept, lambda s: s["found"]))
 
     out = out.withColumn("prices", found(True)).withColumn("ignored_prices", found(False))
-    out = out.withColumn("listing_links", F.array_distinct(F.filter(
-        links, lambda u: on_any_domain(authority(u), cfg.listing_domains))))
+    out = out.withColumn("listing_links", listing_links(F.col(links), cfg))
 
     def point(column: str, points: int) -> Column:
         return F.when(F.size(column) > 0, points).otherwise(0)

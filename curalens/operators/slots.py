@@ -7,6 +7,8 @@ come out of a top-k, so no ranking sees the whole table.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curalens.config import PostConfig
@@ -74,26 +76,41 @@ def occupied_by(posts: DataFrame, states: list[str] = SLOT_HOLDING) -> DataFrame
 
 def plan_posts(anchor: DataFrame, posts: DataFrame, props: DataFrame, cfg: PostConfig,
                sources: list[str] | None = None) -> DataFrame:
-    """New feed posts for free slots, their stories, and the weekly reel unless it stands already."""
+    """New planned posts: feed posts for free slots, their stories, and the weekly reel unless it stands already.
+
+    Ids go on from the highest one: each feed post, its story with the post as parent, and the reel last. The rows are no more
+    than twice the slots and one. Posts hold slots up to the last slot; without a free slot nothing is planned.
+    """
     grid = slot_grid(anchor, cfg)
-    days = grid.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    held = occupied_by(posts).filter(local_day(F.col("scheduled_at"), cfg.zone).between(
-        days.select("a").scalar(), days.select("b").scalar()))
-    pairs = zip_slots(open_slots(grid, held, cfg), postable(props, posts, _size(cfg), sources), cfg).filter(
-        ~F.col("short_of_stock"))
-    feed = pairs.select("property_id", F.lit("feed").alias("kind"), F.col("slot_at").alias("scheduled_at"))
-    story = feed.withColumns({"kind": F.lit("story"), "scheduled_at": F.col("scheduled_at") + F.expr(
-        f"INTERVAL {cfg.story_delay_minutes} MINUTES")})
-    have_story = posts.filter((F.col("kind") == "story") & F.col("property_id").isNotNull()).select("property_id")
+    ends = grid.agg(F.min("day").alias("a"), F.max("slot_at").alias("b"))
+    held = occupied_by(posts).filter((local_day(F.col("scheduled_at"), cfg.zone) >= ends.select("a").scalar())
+                                     & (F.col("scheduled_at") <= ends.select("b").scalar() + F.expr("INTERVAL 1 MINUTE")))
+    free = open_slots(grid, held, cfg)
+    pairs = zip_slots(free, postable(props, posts, _size(cfg), sources), cfg).filter(~F.col("short_of_stock"))
+    told = posts.filter((F.col("kind") == "story") & F.col("property_id").isNotNull()).select("property_id", F.lit(True).alias("_told")).distinct()
+    delay = F.expr(f"INTERVAL {cfg.story_delay_minutes} MINUTES")
+    both = F.array(F.struct(F.lit("feed").alias("kind"), F.col("slot_at").alias("scheduled_at")),
+                   F.struct(F.lit("story").alias("kind"), (F.col("slot_at") + delay).alias("scheduled_at")))
+    paired = (pairs.join(told, "property_id", "left").select("slot_no", "property_id", "_told", F.inline(both))
+              .filter((F.col("kind") == "feed") | F.col("_told").isNull()).drop("_told"))
     stands = posts.filter((F.col("kind") == "reel") & F.col("state").isin(SLOT_HOLDING)).select(
         F.col("scheduled_at").alias("reel_at"))
-    reel = next_reel(anchor, cfg).join(stands, "reel_at", "left_anti").select(
-        F.lit(None).cast("long").alias("property_id"), F.lit("reel").alias("kind"), F.col("reel_at").alias("scheduled_at"))
-    return feed.unionByName(story.join(have_story, "property_id", "left_anti")).unionByName(reel)
+    reel = next_reel(anchor, cfg).join(stands, "reel_at", "left_anti").filter(free.agg(F.count("*").alias("n")).select("n").scalar() > 0).select(
+        F.lit(2 ** 31 - 1).alias("slot_no"), F.lit(None).cast("long").alias("property_id"), F.lit("reel").alias("kind"),
+        F.col("reel_at").alias("scheduled_at"))
+    last = posts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).select("n").scalar()
+    numbered = paired.unionByName(reel).withColumn("id", last + F.row_number().over(Window.orderBy("slot_no", "kind")))
+    feed_id = F.max(F.when(F.col("kind") == "feed", F.col("id"))).over(Window.partitionBy("slot_no"))
+    return numbered.withColumn("parent_post_id", F.when(F.col("kind") == "story", feed_id)).select(
+        F.col("id").cast("long").alias("id"), "property_id", "kind", F.lit("planned").alias("state"), "scheduled_at",
+        F.col("parent_post_id").cast("long").alias("parent_post_id"))
 
 
 def compact(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFrame:
-    """Move planned feed posts to the earliest free slots in order; skipped ones go behind them."""
+    """Move planned feed posts to the earliest free slots in order; skipped ones go behind them.
+
+    Planned posts beyond the last free slot stay where they are, without a slot and with a reason.
+    """
     grid = slot_grid(anchor, cfg)
     now = anchor.select("now").scalar()
     last = grid.agg(F.max("slot_at").alias("x")).select("x").scalar()
@@ -101,8 +118,10 @@ def compact(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFrame:
                           & (F.col("scheduled_at") <= last + F.expr("INTERVAL 1 MINUTE")))
     free = open_slots(grid, coming.filter(F.col("state").isin("published", "publishing")), cfg)
     n = _size(cfg)
-    planned = first_ranked(coming.filter(F.col("state") == "planned"), ["scheduled_at", "id"], n, "slot_no")
-    moved = planned.join(free, "slot_no").select("id", "scheduled_at", "slot_at")
+    waiting = coming.filter(F.col("state") == "planned")
+    planned = first_ranked(waiting, ["scheduled_at", "id"], n, "slot_no")
+    placed = planned.join(free, "slot_no").select("id", "slot_at")
+    moved = waiting.select("id", "scheduled_at").join(placed, "id", "left")
     # Behind the planned ones: as many tail slots as remain, the last one for everybody after that.
     used = planned.agg(F.count("*").alias("n")).select("n").scalar()
     tail = free.filter(F.col("slot_no") > used).withColumn("place", F.row_number().over(Window.orderBy("slot_no")))
@@ -111,7 +130,8 @@ def compact(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFrame:
     head = first_ranked(skipped, ["scheduled_at", "id"], n).select("id", "place")
     parked = (skipped.join(head, "id", "left").join(tail.select("place", "slot_at"), "place", "left")
               .select("id", "scheduled_at", F.coalesce("slot_at", end, last).alias("slot_at")))
-    return moved.unionByName(parked).filter(F.col("scheduled_at") != F.col("slot_at"))
+    return moved.unionByName(parked).filter(F.col("slot_at").isNull() | (F.col("scheduled_at") != F.col("slot_at"))).withColumn(
+        "reason", F.when(F.col("slot_at").isNull(), "no slot"))
 
 
 def reschedule(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFrame:
@@ -142,20 +162,29 @@ def reschedule(anchor: DataFrame, posts: DataFrame, cfg: PostConfig) -> DataFram
         others.select("id", "kind", "scheduled_at", "slot_at")).withColumn("reason", F.when(F.col("slot_at").isNull(), "no slot"))
 
 
-def requeue(anchor: DataFrame, posts: DataFrame, ids: DataFrame, cfg: PostConfig) -> DataFrame:
-    """Published feed posts back to planned, the n-th in the n-th free slot.
+def requeue(anchor: DataFrame, posts: DataFrame, ids: DataFrame, cfg: PostConfig, horizon_days: int = 31) -> DataFrame:
+    """Published posts of any kind back to planned, the n-th of a kind in the n-th slot that its kind leaves free.
 
-    A post beyond the last free slot stays published and carries a reason.
+    Slots of ``horizon_days`` days count. ``ids`` may have a boolean ``now``: such a post is due at once and takes no slot.
+    What pointed to the old post (media, container, permalink, times, error) is cleared. A post beyond the last
+    free slot stays published and carries a reason.
     """
-    grid = slot_grid(anchor, cfg)
-    taken = posts.filter((F.col("kind") == "feed") & F.col("state").isin("planned", "publishing")).select(
-        F.col("scheduled_at").alias("slot_at"))
-    free = grid.join(taken, "slot_at", "left_anti").select(
-        "slot_at", F.row_number().over(Window.orderBy("slot_at")).alias("place"))
-    back = posts.filter((F.col("kind") == "feed") & (F.col("state") == "published")).join(ids, "id", "left_semi")
-    placed = first_ranked(back, ["id"], _size(cfg)).join(free, "place").select("id", "slot_at")
-    rows, moved = back.join(placed, "id", "left"), F.col("slot_at").isNotNull()
-    return rows.select(
-        "id", F.when(moved, "planned").otherwise(F.col("state")).alias("state"), F.coalesce("slot_at", "scheduled_at").alias("scheduled_at"),
-        F.when(moved, 0).otherwise(F.col("attempts")).alias("attempts"), F.when(~moved, F.col("media_id")).alias("media_id"),
-        F.when(~moved, F.col("published_at")).alias("published_at"), F.when(~moved, "no slot").alias("reason"))
+    wide = replace(cfg, plan_days=horizon_days)
+    kinds = F.array(*[F.lit(k) for k in ("feed", "reel", "story")])
+    taken = posts.filter(F.col("state").isin("planned", "publishing")).select("kind", F.col("scheduled_at").alias("slot_at"))
+    of_kind = Window.partitionBy("kind").orderBy("slot_at")                      # a horizon of slots
+    free = (slot_grid(anchor, wide).select(F.explode(kinds).alias("kind"), "slot_at").join(taken, ["kind", "slot_at"], "left_anti")
+            .withColumn("place", F.row_number().over(of_kind)))
+    at_once = F.col("now") if "now" in ids.columns else F.lit(False)
+    asked = ids.select("id", F.coalesce(at_once, F.lit(False)).alias("_now")).groupBy("id").agg(F.bool_or("_now").alias("_now"))
+    back = posts.filter(F.col("state") == "published").join(asked, "id")
+    by_id = Window.partitionBy("kind").orderBy("id")
+    placed = (back.filter(~F.col("_now")).select("id", "kind").withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= _size(wide))
+              .join(free, ["kind", "place"]).select("id", F.col("slot_at").alias("_slot")))
+    rows = back.join(placed, "id", "left").withColumn("_slot", F.when(F.col("_now"), anchor.select("now").scalar()).otherwise(F.col("_slot")))
+    moved = F.col("_slot").isNotNull()
+    cleared = [c for c in ("media_id", "container_id", "permalink", "error", "published_at") if c in posts.columns]
+    return rows.withColumns({
+        "state": F.when(moved, "planned").otherwise(F.col("state")), "scheduled_at": F.coalesce("_slot", "scheduled_at"),
+        "attempts": F.when(moved, 0).otherwise(F.col("attempts")), **{c: F.when(~moved, F.col(c)) for c in cleared},
+        "reason": F.when(~moved, "no slot")}).drop("_slot", "_now")

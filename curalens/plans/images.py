@@ -112,10 +112,10 @@ query("image_positions", """
 WITH c AS (SELECT property_id, max(position) AS m, count(*) AS n FROM images WHERE origin_url IS NULL GROUP BY 1),
 f AS (SELECT property_id, source_url, row_number() OVER (PARTITION BY property_id ORDER BY fetched_at, source_url) AS rn
   FROM images WHERE origin_url IS NOT NULL)
-SELECT f.property_id, f.source_url, CAST(coalesce(c.m, 0) + f.rn AS INT) AS position FROM f
-LEFT JOIN c ON c.property_id = f.property_id WHERE f.rn <= 5 - coalesce(c.n, 0)""")(
+SELECT f.property_id, f.source_url, CASE WHEN f.rn <= 5 - coalesce(c.n, 0) THEN CAST(coalesce(c.m, 0) + f.rn AS INT) END AS position,
+  CASE WHEN f.rn > 5 - coalesce(c.n, 0) THEN 'over limit' END AS reason FROM f LEFT JOIN c ON c.property_id = f.property_id""")(
     lambda v: op.image_positions(op.undo_fill(v.images), v.images.filter("origin_url IS NOT NULL").selectExpr(
-        "property_id", "source_url", "fetched_at AS arrival"), 5).select("property_id", "source_url", "position"))
+        "property_id", "source_url", "fetched_at AS arrival"), 5).select("property_id", "source_url", "position", "reason"))
 query("image_order", """
 WITH h AS (SELECT DISTINCT property_id, position FROM images),
 x AS (SELECT p.id, p.property_id, h.position, coalesce(nullif(coalesce(list_position(list_transform(string_split(p.image_order,

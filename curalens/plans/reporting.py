@@ -57,8 +57,17 @@ def _round(df, *names, to=4):
     return df.withColumns({n: F.round(n, to) for n in names})
 
 
+def _cube(v):
+    return op.report_cube(v.posts, v.properties, v.images, ZONE)
+
+
+def _insights(v):
+    cube = _cube(v)
+    return op.insights_top(op.trend_histogram(cube), op.cube_weeks(cube))
+
+
 def _hist(v):
-    return op.trend_histogram(v.posts, v.properties, v.images, ZONE)
+    return op.trend_histogram(_cube(v))
 
 
 query("weekly_totals", f"""WITH {_TOTALS.strip()}
@@ -109,7 +118,7 @@ ld AS (SELECT wk.week AS report_week, CASE WHEN coalesce(sz.rows, 0) < 6 THEN 'n
   FROM wk LEFT JOIN sz ON sz.report_week = wk.week)
 SELECT report_week, CAST(place AS INT) AS place, axis AS finding, strength, round(lift, 6) AS lift FROM tp
 UNION ALL SELECT report_week, 0, finding, 'info', NULL FROM ld WHERE finding IS NOT NULL""")(
-    lambda v: _round(op.insights_top(_hist(v), op.report_weeks(v.posts, ZONE)), "lift", to=6))
+    lambda v: _round(_insights(v), "lift", to=6))
 query("split_stock", f"""WITH {_TREND.strip()}
 SELECT report_week, top_genre, (SELECT count(*) FROM properties p WHERE p.status = 'pending' AND p.score IS NOT NULL
   AND p.genre = tg.top_genre) AS stock FROM tg""")(lambda v: op.split_stock(_hist(v), v.properties))

@@ -62,7 +62,7 @@ SELECT page_id, origin || '/photos/' || page_id || '-800x600.jpg' AS image, 1 AS
 UNION ALL SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/p/' || page_id || '-l.jpg', 2 FROM pages
   WHERE page_id % 7 <> 6""")(
     lambda v: extract.extract_pages(v.listing_pages, ["page_id", "url"]).select(
-        "page_id", F.posexplode(extract.image_urls(F.col("image_refs"), F.col("url"))).alias("at", "image"))
+        "page_id", F.posexplode(extract.image_urls(F.col("image_refs"), F.col("url"), 30)).alias("at", "image"))
     .select("page_id", "image", (F.col("at") + 1).alias("place")))
 query("url_patterns", r"""
 WITH p AS (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'),

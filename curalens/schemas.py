@@ -43,39 +43,9 @@ SUPPLIED = {
 }
 
 # Domain tables of the curation workflow.
-PROPERTIES = struct(
-    "id long, source string, source_rank string, source_url string, listing_url string, title string, "
-    "display_name string, caption_body string, content_text string, price string, price_value double, "
-    "price_currency string, location_city string, location_region string, location_country string, "
-    "street_address string, is_for_sale boolean, genre string, architect string, year_built string, "
-    "year_built_value int, style_name string, usage_type string, structure string, building_area string, "
-    "site_area string, score double, score_detail string, style_identified boolean, one_of_a_kind boolean, "
-    "provenance_visible boolean, status string, reject_reason string, signal_score int, series string, "
-    "delivery_attempts int, delivery_error string, delivery_attempted_at timestamp, listing_status string, "
-    "listing_status_at timestamp, listing_status_note string, mls_number string, image_page_url string, "
-    "collected_at timestamp, scored_at timestamp, reviewed_at timestamp")
-FEEDBACK = struct("id long, property_id long, reason string, reason_tag string, created_at timestamp")
-RULE_CANDIDATES = struct("reason_tag string, hit_count long, proposal string, state string, "
-                         "created_at timestamp, decided_at timestamp")
-DELIVERIES = struct("property_id long, folder_name string, image_count int, delivered_at timestamp")
-IMAGES = struct("property_id long, source_url string, origin_url string, width int, height int, mime string, "
-                "stddev double, position int, fetched_at timestamp")
-IMAGE_SKIPS = struct("property_id long, source_url string, reason string, created_at timestamp")
-POSTS = struct("id long, property_id long, kind string, state string, scheduled_at timestamp, "
-               "published_at timestamp, parent_post_id long, media_id string, reach long, "
-               "reach_checked_at timestamp, attempts int, error string, caption string, "
-               "caption_edited_at timestamp, image_order string, note string")
-REACH_READINGS = struct("media_id string, read_at timestamp, reach long")
-MEDIA_CHECKS = struct("media_id string, present boolean")
-WEEKLY_NOTES = struct("week_start date, body string, source string, created_at timestamp")
-FX_RATES = struct("currency string, jpy_per double, fetched_at timestamp")
-PAGES = struct("url string, html string, status int, fetched_at timestamp")
-FEED_ENTRIES = struct("source string, link string, title string, summary string, content string, "
-                      "published_at timestamp, position long")
 SOURCES = struct("key string, name string, kind string, rank string, mode string, enabled boolean, "
                  "assume_for_sale boolean, url_include array<string>, url_exclude array<string>, "
                  "base_url string, ordinal int")
-SITE_ROBOTS = struct("domain string, url string, fetched boolean, missing boolean, robots_txt string")
 
 # Stored score detail.
 SCORE_DETAIL = T.StructType([

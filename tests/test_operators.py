@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curalens import config
 from curalens.functions.ranks import global_row_number, histogram_median
 from curalens.operators import collecting, images, lists, matching, merging, reporting, reviewing, slots
-from curalens.operators.merging import POST_STATES, _step
+from curalens.operators.post_fold import POST_STATES, step
 
 T0 = datetime(2024, 1, 1)
 
@@ -55,11 +55,12 @@ def test_price_sort_puts_unknown_last(spark):
     assert [r.id for r in lists.ranked_listings(props, none, None, sort="price_asc").collect()][0] == 3
 
 
-def test_global_row_number(spark):
+@pytest.mark.parametrize("far", [0, 10 ** 15])
+def test_global_row_number(spark, far):
     rng = random.Random(1)
-    rows = [(i, rng.choice([None, 1.0, 2.0, 2.0, 2.0])) for i in rng.sample(range(10000), 3000)]
+    rows = [(i, rng.choice([None, 1.0, 2.0, 2.0, 2.0])) for i in rng.sample(range(10000), 3000)] + [(far + 20_000, 2.0)]      # clustered ids
     df = spark.createDataFrame(rows, "id long, score double")
-    got = {r.id: r.rn for r in global_row_number(df, "score", "id", blocks=37).collect()}
+    got = {r.id: r.rn for r in global_row_number(df, "score", "id").collect()}
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {ident: i + 1 for i, (ident, _) in enumerate(want)}
 
@@ -79,10 +80,11 @@ def test_post_events_fold_over_buckets(spark):
     want = {}
     for post, _, _, action in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         state, tries = want.get(post, ("planned", 0))
-        want[post] = _step(action, state, tries, 3)
+        code, tries = step(action, POST_STATES.index(state), tries, 3)
+        want[post] = (POST_STATES[code], tries)
     df = spark.createDataFrame(rows, "post_id int, at timestamp, seq int, action string")
-    for width in (60, 1000, 10 ** 6):
-        got = {r.post_id: (r.state, r.attempts) for r in merging.apply_post_events(df, bucket_seconds=width).collect()}
+    for rows_of_a_piece in (1, 7, 1000):
+        got = {r.post_id: (r.state, r.attempts) for r in merging.apply_post_events(df, piece_rows=rows_of_a_piece).collect()}
         assert got == want
     assert set(POST_STATES) >= {s for s, _ in want.values()}
 
@@ -166,8 +168,9 @@ def test_too_few_posts_say_nothing(spark):
                                   "id long, genre string, style_identified boolean, one_of_a_kind boolean, provenance_visible "
                                   "boolean, location_country string, architect string, year_built_value int, score double")
     none = spark.createDataFrame([], "property_id long, source_url string, origin_url string, position int")
-    hist = reporting.trend_histogram(df, props, none, "Asia/Tokyo")
-    got = reporting.insights_top(hist, reporting.report_weeks(df, "Asia/Tokyo")).collect()
+    cube = reporting.report_cube(df, props, none, "Asia/Tokyo")
+    hist = reporting.trend_histogram(cube)
+    got = reporting.insights_top(hist, reporting.cube_weeks(cube)).collect()
     assert [r.finding for r in got] == ["nothing yet"]
 
 
