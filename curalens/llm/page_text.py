@@ -26,7 +26,9 @@ RAW = frozenset("script style noscript template svg iframe object canvas".split(
 PARTING = frozenset("br hr img input mspace mtr mlabeledtr mtd".split())
 #: An open element of the left kind ends where one of the right kind begins beside it.
 ENDED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: A ">" inside a quoted value doesn't end a tag; a quote that never closes is no quote.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: A value without quotes takes a slash at its end.
 OPEN_VALUE = re.compile(r"""=\s*[^\s"'>][^\s"'>]*$""")
@@ -34,6 +36,8 @@ NAMES = re.compile(r"[A-Za-z]+")
 NEAR, FAR = 6, 4                      # ancestors of a block that count: the nearest and the outermost
 PATHS, WORDS, NUMBERS = 512, 1024, 6  # hashed path parts, hashed words, numeric inputs
 P_DIM, W_DIM, HIDDEN = 16, 8, 16
+SPAN = 4096                           # blocks of a page whose gate inputs exist at a time
+LEARNED = 512                         # blocks in a training sequence; a longer page gives several
 
 
 @dataclass
@@ -58,7 +62,7 @@ def parse_blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(held).split())
-        if text:
+        if text and not any(map(open_count.get, RAW)):
             names = [s[1] for s in stack]
             out.append(Block(text, tuple(names if len(names) <= NEAR + FAR else names[:FAR] + names[-NEAR:]), linked))
         held.clear()
@@ -87,8 +91,11 @@ def parse_blocks(page: str) -> list[Block]:
             break
         say(page[at:mark])
         if page.startswith("<!--", mark):
-            end = page.find("-->", mark + 4)
-            at = size if end < 0 else end + 3
+            if page.startswith((">", "->"), mark + 4):        # an empty comment
+                at = page.index(">", mark) + 1
+            else:
+                end = COMMENT_END.search(page, mark + 4)
+                at = end.end() if end else size
             continue
         if page[mark + 1:mark + 2] in ("!", "?"):
             end = page.find(">", mark)
@@ -100,10 +107,6 @@ def parse_blocks(page: str) -> list[Block]:
             at = mark + 1
             continue
         closing, tag, attributes, at = found[1], found[2].lower(), found[3], found.end()
-        for _ in range(8):             # a ">" inside quotes doesn't end the tag
-            if attributes.count('"') % 2 == 0 or (end := page.find(">", at)) < 0:
-                break
-            attributes, at = page[found.start(3):end], end + 1
         if tag in RAW:
             if not closing:
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at) if tag in ("script", "style") else None
@@ -139,7 +142,7 @@ def parse_blocks(page: str) -> list[Block]:
         stack.append((tag, tuple(parts)))
         open_count[tag] = open_count.get(tag, 0) + 1
     flush()
-    return [b for b in out if not any(p[0] in RAW for p in b.path)]
+    return out
 
 
 def _bucket(text: str, n: int) -> int:
@@ -204,8 +207,8 @@ class BlockLabeller:
         w = self.weights
         return np.concatenate([_sum_rows(w["path"][f.path_ids], f.path_rows, f.n), _sum_rows(w["word"][f.word_ids], f.word_rows, f.n) / f.word_n[:, None], f.numbers], axis=1)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (page, block, HIDDEN); with ``keep``, what the way back needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
+        """States (page, block, HIDDEN) and what the way back needs."""
         w, (pages, steps, _) = self.weights, x.shape
         h = c = np.zeros((pages, HIDDEN))
         states, tape = np.zeros((pages, steps, HIDDEN)), []
@@ -218,8 +221,7 @@ class BlockLabeller:
             new_c = m * (f * c + i * g) + (1 - m) * c
             tc = np.tanh(new_c)
             new_h = m * (o * tc) + (1 - m) * h
-            if keep:
-                tape.append((t, i, f, o, g, c, h, tc, m))
+            tape.append((t, i, f, o, g, c, h, tc, m))
             h, c = new_h, new_c
             states[:, t] = h
         return states, tape
@@ -230,18 +232,39 @@ class BlockLabeller:
         mask = (np.arange(steps) < f.lengths[rows][:, None]).astype(float)
         return x[np.minimum(at, len(x) - 1)] * mask[:, :, None], mask, at
 
-    def probabilities(self, f: Features, batch: int = 256) -> np.ndarray:
-        """Of every block, with pages of like lengths run together."""
+    def _states(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """States (page, block, HIDDEN), a span of blocks at a time with the state carried from span to span."""
+        w, (pages, steps, _) = self.weights, x.shape
+        h = c = np.zeros((pages, HIDDEN))
+        out = np.empty((pages, steps, HIDDEN))
+        spans = range(0, steps, SPAN)
+        for a in spans if way == "f" else reversed(spans):
+            ahead = x[:, a:a + SPAN] @ w[f"x{way}"] + w[f"c{way}"]
+            for t in range(ahead.shape[1]) if way == "f" else range(ahead.shape[1] - 1, -1, -1):
+                z = ahead[:, t] + h @ w[f"h{way}"]
+                gates = _sigmoid(z[:, :3 * HIDDEN])
+                m = mask[:, a + t, None]
+                c = m * (gates[:, HIDDEN:2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN:])) + (1 - m) * c
+                h = m * (gates[:, 2 * HIDDEN:] * np.tanh(c)) + (1 - m) * h
+                out[:, a + t] = h
+        return out
+
+    def probabilities(self, f: Features, cells: int = 1 << 14) -> np.ndarray:
+        """Of every block. Pages of like lengths run together, as many as fill at most ``cells`` blocks with
+        their padding; a longer page runs alone."""
         out = np.zeros(f.n)
         if not f.n:
             return out
         x = self.inputs(f)
         order = np.argsort(f.lengths, kind="stable")
         order = order[f.lengths[order] > 0]
-        for first in range(0, len(order), batch):
-            rows = order[first:first + batch]
+        first = 0
+        while first < len(order):
+            fits = f.lengths[order[first:first + cells]] * np.arange(1, min(cells, len(order) - first) + 1) <= cells
+            rows = order[first:first + max(1, int(fits.sum()))]          # both factors rise, so those that fit come first
+            first += len(rows)
             padded, mask, at = self._padded(f, rows, x)
-            states = np.concatenate([self._run(padded, mask, "f", False)[0], self._run(padded, mask, "b", False)[0], padded], axis=2)
+            states = np.concatenate([self._states(padded, mask, "f"), self._states(padded, mask, "b"), padded], axis=2)
             score = _sigmoid(states @ self.weights["out"] + self.weights["bias"])[:, :, 0]
             out[at[mask > 0]] = score[mask > 0]
         return out
@@ -249,7 +272,7 @@ class BlockLabeller:
     def _gradients(self, f: Features, labels: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
         w, x = self.weights, self.inputs(f)
         padded, mask, at = self._padded(f, rows, x)
-        runs = {way: self._run(padded, mask, way, True) for way in ("f", "b")}
+        runs = {way: self._run(padded, mask, way) for way in ("f", "b")}
         states = np.concatenate([runs["f"][0], runs["b"][0], padded], axis=2)
         error = (_sigmoid(states @ w["out"] + w["bias"])[:, :, 0] - labels[np.minimum(at, f.n - 1)]) * mask / mask.sum()
         grads = {k: np.zeros_like(v) for k, v in w.items()}
@@ -349,7 +372,7 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = 300, epochs: i
     least = hashed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
     rows = hashed.where(F.col("hash") <= least).groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash").collect() if least is not None else []
     rng = random.Random(11)
-    parsed = [parse_blocks(v) for r in rows for v in variants(r.html, rng)]
+    parsed = [page[a:a + LEARNED] for r in rows for v in variants(r.html, rng) for page in [parse_blocks(v)] for a in range(0, len(page), LEARNED)]
     model = BlockLabeller()
     model.fit(parsed, [[is_main(b) for b in p] for p in parsed], epochs)
     return model
@@ -369,7 +392,8 @@ def page_text(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
     """Main text of every whole page: blocks the labeller takes for the article, in page order.
 
     Null or empty html gives an empty text. Rows repeat as in the input, whatever their ids; an
-    empty table gives no rows; other columns are ignored. Long pages are read whole and labelled in one sequence.
+    empty table gives no rows; other columns are ignored. Long pages are read whole and labelled in one sequence;
+    only for training are they cut.
     """
     spark = prepare(pages.sparkSession)
     model = spark.sparkContext.broadcast(train(pages, html_col, **training))

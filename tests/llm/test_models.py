@@ -61,6 +61,44 @@ def test_the_model_learns_and_sums_to_one():
     assert symbols_of(own, own).tolist() == [0, 1, 2] and symbols_of(pa.array(["", "x", "日本"]), own).min() >= OWN
 
 
+def test_scores_equal_a_plain_sum_over_the_trained_tables(spark, monkeypatch):
+    """Each text again, token by token, from the tables that the last round gave."""
+    from curalens.llm import lm_scoring as lm
+    kept = []
+    update = lm._updated
+    monkeypatch.setattr(lm, "_updated", lambda *a: kept.append((update(*a), a[3])) or kept[-1][0])
+    texts = TEXTS + [f"word{i % 7} other{i % 11} one and {'more ' * (i % 4)}" for i in range(60)]
+    rows = {r.doc_id: r for r in score_texts(frame(spark, texts)).collect()}
+    model, own = kept[-1]
+    words = [[*(w.decode() for w in (t or "").encode().lower().split()), END] for t in texts]
+    training = Counter(w for i, ws in enumerate(words) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    symbol = {w: int(symbols_of(pa.array([w]), own)[0]) for ws in words for w in ws}
+    hashed = {w: int(lm.word_hashes(pa.array([w]))[0]) for w in symbol}
+    n, v = Counter(), Counter()
+    for w, c in training.items():
+        n[symbol[w]] += c
+        v[symbol[w]] += 1
+    bits = (1 << 64) - 1
+    m1, m2, m3 = int(lm._M1), int(lm._M2), int(lm._M3)
+
+    def log_softmax(rows_, picked):
+        scores = np.clip(np.sum(rows_, axis=0, dtype=np.float64), -60, 60)
+        return scores[picked] - math.log(np.exp(scores).sum())
+
+    for i, ws in enumerate(words[:40]):
+        total = 0.0
+        for at, w in enumerate(ws):
+            s1, s2, s3 = [symbol[ws[at - k]] if at >= k else lm.SYMBOLS for k in (1, 2, 3)]
+            h1, h2 = [hashed[ws[at - k]] if at >= k else 1 for k in (1, 2)]
+            keys = [s1 * m3 + 1, h1 * m1 + 2, s2 * m2 + 3, s3 * m1 + 4, (h1 ^ (h2 * m2 & bits)) * m3 + 5]
+            keys = [((k & bits) ^ ((k & bits) >> 29)) * m1 & bits for k in keys]
+            cls, member = divmod(symbol[w], lm.MEMBERS)
+            total += log_softmax([model.tables[0][k >> 49] for k in keys], cls) / math.log(10)
+            total += log_softmax([model.tables[1][((k ^ (cls * m2 & bits)) * m3 & bits) >> 48] for k in keys], member) / math.log(10)
+            total += math.log10((training[w] + 1) / (n[symbol[w]] + v[symbol[w]] + 1))
+        assert rows[i].score == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     got = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]
@@ -184,6 +222,33 @@ def test_labeller_gradients():
         assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-3, abs=1e-8)
 
 
+def test_tags_comments_and_hidden_parts():
+    def texts(page):
+        return [b.text for b in parse_blocks(page)]
+    assert texts("<article><p>one</p><!--><p>two</p><!---><p>three</p><!-- a --!><p>four</p><!-- x > y --><p>five</p></article>") == ["one", "two", "three", "four", "five"]
+    assert texts("<p>a <a title='x > y'>b</a> c</p>") == ["a b c"]
+    assert texts('<p title="' + "x > " * 12 + '">in</p><p>out</p>') == ["in", "out"]
+    assert texts("<p don't>it's</p><p class=a=b>x</p>") == ["it's", "x"]
+    assert texts('<p title="never closed>kept</p><p>more</p>') == ["kept", "more"]
+    deep = "<div>" * 6 + "<template>" + "<div>" * 8 + "HIDDEN" + "</div>" * 8 + "</template>" + "</div>" * 6
+    assert texts(f"<article><p>a</p>{deep}<p>b</p></article>") == ["a", "b"]
+    assert texts("<div><svg><g>x</g></div><p>after</p>") == ["after"]
+
+
+def test_one_long_page_among_short_ones_takes_little_memory(spark):
+    import resource
+    train_pages = spark.createDataFrame([(f"<nav>menu {i}</nav><article><p>Some text {i}.</p><p>More.</p></article>",) for i in range(40)], "html string")
+    model = train(train_pages, epochs=2)
+    long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(50_000)) + "</article>"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = main_texts(model, [long] + ["<article><p>a b.</p></article>"] * 100)
+    assert len(got) == 101 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    # A page alone and beside others, and in spans of any length, gets the same labels.
+    parsed = [parse_blocks(p) for p in ("<p>x</p>", long[:5000], "<nav>m</nav><p>y</p>")]
+    together, alone = model.probabilities(Features(parsed)), np.concatenate([model.probabilities(Features([p]), cells=1) for p in parsed])
+    assert np.allclose(together, alone)
+
+
 def test_page_text_of_other_frames(spark):
     model = train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     page = ("<html><head><title>T</title></head><body><header><a>Home</a></header><div class='cookie-notice'>We use cookies.</div><div class='post'><h1>Head line</h1>"
