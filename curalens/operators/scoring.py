@@ -16,7 +16,7 @@ def clean_assessment(assessed: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> D
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("style_identified", "one_of_a_kind", "provenance_visible",
                                                        "is_for_sale") if c in assessed.columns}
     texts = {c: F.coalesce(c, F.lit("")) for c in ("city", "country", "price", "year_built", "summary", "story_reason",
-                                                    "display_name", "architect") if c in assessed.columns}
+                                                    "display_name", "architect", "provenance_note") if c in assessed.columns}
     story = F.greatest(F.least(F.coalesce("story_score", F.lit(0)), F.lit(100)), F.lit(0))
     return assessed.withColumns({"story_score": story, "genre": genre} | flags | texts)
 
@@ -93,9 +93,10 @@ def score_listings(props: DataFrame, assessed: DataFrame, sources: DataFrame,
                    cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
     """Axes, gate, total and the detail to store, for every assessed listing."""
     rows = score_axes(assess_listings(props, assessed, sources, cfg), cfg).withColumn("gate", gate_text(cfg))
-    flags = F.struct("provenance_visible", "style_identified", "one_of_a_kind")
+    flags = F.struct("provenance_visible", "style_identified", "one_of_a_kind", F.col("is_for_sale").alias("llm_is_for_sale"))
+    note = F.col("provenance_note") if "provenance_note" in rows.columns else F.lit("")
     return (rows.withColumn("score", total_of(F.col("axes"), F.col("gate")))
-            .withColumn("score_detail", F.to_json(F.struct("gate", "axes", flags.alias("flags")))))
+            .withColumn("score_detail", F.to_json(F.struct("gate", "axes", flags.alias("flags"), note.alias("provenance_note")))))
 
 
 def rescore(props: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curalens.config import SignalConfig
-from curalens.functions.spans import match_spans, no_spans, squeeze, window_text
+from curalens.functions.spans import bound, match_spans, no_spans, squeeze, window_text
 from curalens.functions.stages import settle
 from curalens.functions.urls import authority, on_any_domain, path_of
 
 SNIPPET = 60
+PIECE = 1024                          # characters
 CONTEXT = 70
 # Paths that are no listing, and paths that are reading matter.
 NOT_A_LISTING = (r"(?i)/(?:agents?|team|about|contact|offices?|careers?|blog|search|privacy|terms|login|signup)(?:/|$)")
@@ -40,19 +41,24 @@ def detect_signals(rows: DataFrame, cfg: SignalConfig = SignalConfig(), text: st
     spans = F.concat(*[F.when(F.col(text).rlike(f"(?iU){p}"), match_spans(F.col(text), f"(?iU){p}")).otherwise(no_spans())
                        for p in cfg.price_patterns])
 
-    def near(span: Column) -> Column:
+    def near(span: Column, pieces: Column) -> Column:
         if cfg.window <= 0:
             return F.lit(True)
 
         def hit(keyword: Column) -> Column:
             begin = F.greatest(span["start"] - cfg.window - F.length(keyword), F.lit(0))
             end = span["stop"] + cfg.window + F.length(keyword)
-            return F.contains(F.substring("_low", begin + 1, end - begin), F.lower(keyword))
+            first = F.floor(begin / PIECE).cast("int")
+            around = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+            return F.contains(F.substring(around, begin - first * PIECE + 1, end - begin), F.lower(keyword))
 
         return F.exists("keywords", hit)
 
-    out = out.withColumn("_spans", F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["stop"].alias("stop"), F.trim(s["found"]).alias("found"), near(s).alias("near"))))
+    # The text is cut into pieces once, so that a price looks at the few around it and not at the text from its beginning.
+    pieces = F.regexp_extract_all("_low", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    marked = bound(spans, lambda every: F.when(F.size(every) > 0, bound(pieces, lambda cut: F.transform(every, lambda s: F.struct(
+        s["start"].alias("start"), s["stop"].alias("stop"), F.trim(s["found"]).alias("found"), near(s, cut).alias("near"))))))
+    out = out.withColumn("_spans", F.coalesce(marked, F.array().cast("array<struct<start:int,stop:int,found:string,near:boolean>>")))
 
     def found(is_near: bool) -> Column:
         kept = F.filter("_spans", lambda s: (s["found"] != "") & (s["near"] if is_near else ~s["near"]))

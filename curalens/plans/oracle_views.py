@@ -250,6 +250,7 @@ SELECT o_orderkey AS property_id, CAST((o_orderkey * 13) % 131 - 15 AS INT) AS s
   CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE ['Spain', 'Japan', 'Taiwan'][o_custkey % 3 + 1] END AS country,
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '$' || o_orderkey END AS price,
   'summary ' || repeat('x', CAST(o_orderkey % 100 AS INT)) AS summary,
-  CASE WHEN o_orderkey % 9 = 0 THEN 'Villa ' || o_custkey ELSE '' END AS display_name, '' AS architect
+  CASE WHEN o_orderkey % 9 = 0 THEN 'Villa ' || o_custkey ELSE '' END AS display_name, '' AS architect,
+  CASE o_orderkey % 8 WHEN 0 THEN 'deed of ' || o_custkey WHEN 1 THEN NULL ELSE '' END AS provenance_note
 FROM orders""",
 }

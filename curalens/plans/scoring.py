@@ -10,7 +10,7 @@ from curalens.plans.registry import query
 _RAW = """
 c AS (SELECT a.property_id AS id, greatest(least(a.story_score, 100), 0) AS story,
     CASE WHEN a.genre IN ('architect', 'adaptive_reuse', 'hidden_gem', 'penthouse', 'loft') THEN a.genre ELSE 'unknown' END
-      AS genre, a.style_identified, a.one_of_a_kind, a.is_for_sale, a.built, a.story_reason, a.provenance_visible,
+      AS genre, a.style_identified, a.one_of_a_kind, a.is_for_sale, a.built, a.story_reason, a.provenance_visible, coalesce(a.provenance_note, '') AS provenance_note,
     a.summary, p.source, p.source_rank, p.is_for_sale AS by_signal, s.kind IS NOT NULL AS site,
     lower(coalesce(nullif(a.city, ''), p.location_city, '')) AS city,
     lower(coalesce(nullif(a.country, ''), p.location_country, '')) AS country,
@@ -65,7 +65,8 @@ SELECT id, '{{"gate":"' || gate || '","axes":[{{"key":"story","raw":' || r_story
   || '"}},{{"key":"price","raw":' || r_price || ',"weight":0.05,"reason":"' || CASE WHEN price = '' THEN 'no price'
      ELSE substr(price, 1, 20) END
   || '"}}],"flags":{{"provenance_visible":' || provenance_visible || ',"style_identified":' || style_identified
-  || ',"one_of_a_kind":' || one_of_a_kind || '}}}}' AS score_detail FROM t""")(
+  || ',"one_of_a_kind":' || one_of_a_kind || ',"llm_is_for_sale":' || is_for_sale || '}},"provenance_note":"' || provenance_note || '"}}'
+  AS score_detail FROM t""")(
     lambda v: _scored(v).select("id", "score_detail"))
 query("score_run_stats", f"""WITH {_RAW.strip()}
 SELECT count(*) AS scored, count(*) FILTER (score < 30) AS below, count(*) FILTER (score >= 80) AS highlighted,

@@ -389,6 +389,6 @@ class Views:
             "AS country", "IF(o_orderkey % 5 = 0, '', concat('$', o_orderkey)) AS price",
             "concat('summary ', repeat('x', CAST(o_orderkey % 100 AS INT))) AS summary",
             "IF(o_orderkey % 9 = 0, concat('Villa ', o_custkey), '') AS display_name",
-            "'' AS architect")
+            "'' AS architect", "CASE o_orderkey % 8 WHEN 0 THEN concat('deed of ', o_custkey) WHEN 1 THEN NULL ELSE '' END AS provenance_note")
 
 

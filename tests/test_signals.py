@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from curalens.config import SignalConfig
 from curalens.operators import signals
@@ -69,3 +72,15 @@ def test_against_brute_force(spark):
                 if m.group(0).strip() not in side:
                     side.append(m.group(0).strip())
         assert (got[i].prices, got[i].ignored_prices) == (near, far), text
+
+
+def test_a_hundred_thousand_prices_in_one_text(spark):
+    n = 100_000
+    body = F.concat(F.lit("This home is for sale, é. "), F.repeat(F.lit("cost $1,234 or é "), n), F.lit("the end $9,999"))
+    start = time.monotonic()
+    got = signals.detect_signals(spark.range(1).select(body.alias("text"), F.array().cast("array<string>").alias("links"))).select(
+        F.size("_spans").alias("n"), F.element_at("_spans", -1).alias("last"), "prices", "ignored_prices").first()
+    text_length = len("This home is for sale, é. ") + 17 * n + len("the end $9,999")
+    assert got.n >= n + 1 and (got.last.stop, got.last.found) == (text_length, "$9,999")
+    assert got.prices == ["$1,234"] and set(got.ignored_prices) == {"$1,234", "$9,999"}
+    assert time.monotonic() - start < 120
