@@ -51,19 +51,38 @@ def differencing(sizes: list[int], ways: int) -> np.ndarray:
     return out
 
 
+def _packed(items: DataFrame, level: int, packet: int, groups_per_part: int) -> tuple[DataFrame, DataFrame]:
+    """One level of differencing: items below ``packet`` bytes, dealt over parts, joined into packets of about that size.
+
+    Gives what each item is in from here on (item, parent) and the items of the next level.
+    """
+    light = items.where(F.col("bytes") < packet)
+    parts = max(1, -(-light.count() // groups_per_part))
+
+    def join_small(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bytes", "item"], ascending=[False, True])
+        ways = max(1, -(-int(rows["bytes"].sum()) // packet))
+        names = [f"{level}:{rows['part'].iloc[0]}:{way}" for way in range(ways)]
+        return rows.assign(parent=[names[w] for w in differencing(rows["bytes"].tolist(), ways)])[["item", "parent", "bytes"]]
+
+    joined = landed(light.withColumn("part", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(parts))).groupBy("part")
+                    .applyInPandas(join_small, "item string, parent string, bytes long"), "packets")
+    packets = joined.groupBy(F.col("parent").alias("item")).agg(F.sum("bytes").alias("bytes"))
+    return joined.select("item", "parent"), landed(packets.unionByName(items.where(F.col("bytes") >= packet)), "items")
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, text_col: str = "text", id_col: str = "doc_id",
-                    packets_per_shard: int = 200, groups_per_part: int = 2000, most_parts: int = 4096,
-                    blocks: int = 256) -> DataFrame:
+                    packets_per_shard: int = 200, groups_per_part: int = 2000, rows_per_block: int = 50_000) -> DataFrame:
     """Deal documents into shards of near-equal bytes; equal texts stay together.
 
     1. Bytes are summed per text digest, with map-side combine, so a text of many copies is one group.
     2. Groups below ``total / (shards * packets_per_shard)`` bytes are dealt by digest over parts of about
-       ``groups_per_part`` groups (at most ``most_parts`` parts), and differencing joins those of a part
-       into packets of about that size.
-    3. Differencing deals packets and larger groups to the shards. There are at most
-       ``shards * packets_per_shard + most_parts`` of them, whatever the input, so one task holds them.
-    4. Slots number the documents of a shard from 0, by counts of (shard, block of ids) and the row
-       number inside a block.
+       ``groups_per_part`` groups, and differencing joins those of a part into packets of about that size. Parts
+       that hold less than a packet leave small ones; these are joined again, level by level, until no more than
+       twice ``shards * packets_per_shard`` packets and larger groups are left, whatever the input.
+    3. Differencing deals those to the shards in one task.
+    4. Slots number the documents of a shard from 0, by counts of (shard, block) and the row
+       number inside a block of about ``rows_per_block`` rows.
 
     A group larger than a fair share has a shard to itself, as it can't be divided. Null text counts
     as empty (size ``overhead``). Rows with null or repeated ids are documents of their own. Equal
@@ -73,33 +92,25 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, text_
     text = text_of(text_col)
     keyed = landed(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
                                F.crc32(text.cast("binary")).alias("text_crc32"),
-                               F.unhex(F.sha2(text.cast("binary"), 256)).alias("group")), "sized")
-    groups = landed(keyed.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    total, n_groups = groups.agg(F.sum("bytes"), F.count("*")).first()
+                               F.sha2(text.cast("binary"), 256).alias("item"), F.monotonically_increasing_id().alias("_row_id")), "sized")
+    items = landed(keyed.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
+    total, n_rows = items.agg(F.sum("bytes"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     packet = max(1, -(-(total or 0) // (shards * packets_per_shard)))
-    parts = min(most_parts, max(1, -(-n_groups // groups_per_part)))
-
-    def join_small(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bytes", "group"], ascending=[False, True])
-        ways = max(1, -(-int(rows["bytes"].sum()) // packet))
-        return rows.assign(packet=differencing(rows["bytes"].tolist(), ways))[["group", "part", "packet", "bytes"]]
+    blocks = max(1, -(-n_rows // (shards * rows_per_block)))
+    items, levels = items.select("item", "bytes"), []
+    while not levels or items.count() > 2 * shards * packets_per_shard:
+        inside, items = _packed(items, len(levels), packet, groups_per_part)
+        levels.append(inside)
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bytes", "part", "packet"], ascending=[False, True, True])
-        return rows.assign(shard=differencing(rows["bytes"].tolist(), shards))[["part", "packet", "shard"]]
-
-    tagged = groups.withColumn("part", F.pmod(F.xxhash64("group"), F.lit(parts)))
-    light = (tagged.where(F.col("bytes") < packet).groupBy("part")
-             .applyInPandas(join_small, "group binary, part long, packet long, bytes long"))
-    # A large group is a packet of its own; its digest's first half names it beside the parts.
-    heavy = tagged.where(F.col("bytes") >= packet).select(
-        "group", F.lit(-1).cast("long").alias("part"), F.conv(F.substring(F.hex("group"), 1, 15), 16, 10).cast("long").alias("packet"), "bytes")
-    packed = landed(light.unionByName(heavy), "packets")
-    dealt = (packed.groupBy("part", "packet").agg(F.sum("bytes").alias("bytes")).groupBy(F.lit(0).alias("all"))
-             .applyInPandas(deal, "part long, packet long, shard int"))
-    of_group = landed(packed.join(landed(dealt, "dealt"), ["part", "packet"]).select("group", "shard"), "group_shards")
-    placed = landed(keyed.join(of_group, "group")
-                    .select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).alias("_block")), "placed")
+        rows = rows.sort_values(["bytes", "item"], ascending=[False, True])
+        return rows.assign(shard=differencing(rows["bytes"].tolist(), shards))[["item", "shard"]]
+
+    of_item = landed(items.groupBy(F.lit(0).alias("all")).applyInPandas(deal, "item string, shard int"), "dealt")
+    for inside in reversed(levels):          # from packets back to what they are made of; larger groups stand as they are
+        of_item = of_item.unionByName(inside.join(of_item.withColumnRenamed("item", "parent"), "parent").select("item", "shard"))
+    placed = landed(keyed.join(landed(of_item, "group_shards"), "item")
+                    .select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("_row_id"), F.lit(blocks)).alias("_block")), "placed")
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (placed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
               .select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))

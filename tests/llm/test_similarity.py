@@ -173,6 +173,19 @@ def test_vectors_equal_brute_force(spark):
     assert near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_shards_over_levels_and_equal_rows(spark):
+    rng = random.Random(6)
+    texts = ["x" * rng.randrange(1, 60) + str(i) for i in range(3000)] + ["same"] * 500
+    rows = shard_documents(frame(spark, texts, [*range(3000), *[None] * 500]), shards=4, packets_per_shard=50, groups_per_part=5, rows_per_block=40).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 3500 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1
+    assert max(sizes.values()) <= 1.002 * sum(sizes.values()) / 4
+
+
 def test_differencing_by_hand():
     assert Counter(differencing([8, 7, 6, 5, 4], 2).tolist()) in (Counter({0: 3, 1: 2}), Counter({1: 3, 0: 2}))
     parts = differencing([8, 7, 6, 5, 4], 2)
@@ -190,7 +203,7 @@ def test_differencing_is_a_balanced_partition(sizes, ways):
     assert sums.max() - sums.min() <= max(sizes)
 
 
-@pytest.mark.parametrize("options", [{}, {"groups_per_part": 5, "packets_per_shard": 3, "blocks": 2}])
+@pytest.mark.parametrize("options", [{}, {"groups_per_part": 5, "packets_per_shard": 3, "rows_per_block": 20}])
 def test_shards(spark, options):
     rng = random.Random(1)
     texts = [None, "", "é"] + ["t" * rng.randrange(1, 400) + str(i % 50) for i in range(200)] + ["hot copy"] * 100

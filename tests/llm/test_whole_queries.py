@@ -58,7 +58,7 @@ def test_op2(spark, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     copies = Counter(texts.values())
     largest = max(n * (len(t.encode()) + 16) for t, n in copies.items())
-    assert max(sizes.values()) <= max(largest, 1.25 * sum(sizes.values()) / 40)
+    assert max(sizes.values()) <= max(largest, 1.001 * sum(sizes.values()) / 40)
 
 
 def test_op5(spark):
