@@ -87,11 +87,11 @@ class RetryTimers(StatefulProcessor):
     """An item comes out again a while after each failure, until it has failed too often.
 
     A failure before the item came out restarts the wait. The state of an item is its failures and when it
-    is due; once it is given up nothing more happens to it.
+    is due, in microseconds; its timer is set to the millisecond after. Once it is given up nothing more happens to it.
     """
 
     def __init__(self, wait_seconds: int, limit: int):
-        self.wait, self.limit = wait_seconds * 1000, limit
+        self.wait, self.limit = wait_seconds * 1_000_000, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -101,13 +101,17 @@ class RetryTimers(StatefulProcessor):
         if found:
             attempts, outcomes, times = zip(*found)
             yield pd.DataFrame({"item_id": [key[0]] * len(found), "attempt": pd.array(attempts, "int32"), "outcome": outcomes,
-                                "at": pd.to_datetime(times, unit="ms", utc=True)})
+                                "at": pd.to_datetime(times, unit="us", utc=True)})
+
+    @staticmethod
+    def _timer(due: int) -> int:
+        return -(-due // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failures, due = self.state.get() if self.state.exists() else (0, None)
         asked, found = due, []
         times = pd.concat([r["at"] for r in rows])
-        for at in sorted(t.value // 1_000_000 for t in times):
+        for at in sorted(t.value // 1000 for t in times):
             if failures >= self.limit:
                 break
             if due is not None and at >= due:        # it was out before it failed again
@@ -117,15 +121,15 @@ class RetryTimers(StatefulProcessor):
                 found.append((failures, "given up", at))
                 due = None
         if asked is not None and asked != due:
-            self.handle.deleteTimer(asked)
+            self.handle.deleteTimer(self._timer(asked))
         if due is not None and asked != due:
-            self.handle.registerTimer(due)
+            self.handle.registerTimer(self._timer(due))
         self.state.update((failures, due))
         yield from self._rows(key, found)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         failures, due = self.state.get()
-        if due == expiredTimerInfo.getExpiryTimeInMs():
+        if due is not None and self._timer(due) == expiredTimerInfo.getExpiryTimeInMs():
             self.state.update((failures, None))
             yield from self._rows(key, [(failures, "retry", due)])
 
