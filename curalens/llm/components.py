@@ -66,7 +66,9 @@ def connected(edges: DataFrame) -> DataFrame:
     again, until all edges are stars. A node has at most one smaller neighbour a task, so no neighbourhood is gathered; the
     join on the middle of a star may be split, as its other side has one row.
     """
-    pairs = landed(edges.where("a <> b").select(F.col("a").alias("hi"), F.col("b").alias("lo")).mapInArrow(_contracted, PAIRS), "edges")
+    # Edges often come out of Python tasks; they land first, so that no task runs two Python workers at a time.
+    raw = landed(edges.where("a <> b").select(F.col("a").alias("hi"), F.col("b").alias("lo")), "edges")
+    pairs = landed(raw.mapInArrow(_contracted, PAIRS), "forests")
     while True:
         # One pass: a node that points at two nodes, or points and is pointed at, isn't done.
         ends = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select("lo", F.lit(None).cast("long")))

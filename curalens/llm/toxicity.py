@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,7 +97,7 @@ class ToxicityModel:
         kept = sorted((e for e in vectors if e[2]), key=lambda e: (max(e[2], key=lambda t: (e[2][t], -t)), e[0]))
         self.ids, self.labels = [e[0] for e in kept], [e[1] for e in kept]
         self.index = BlockMaxIndex([e[2] for e in kept], len(vocabulary))
-        self.memo = Memo(100_000)
+        self.memo = Memo(50_000)
 
     def _unit(self, counts: dict[int, int]) -> dict[int, float]:
         raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
@@ -111,7 +112,7 @@ class ToxicityModel:
         """
         if not counts:
             return self.blank, None, 0.0
-        key = tuple(sorted(counts.items()))
+        key = array("I", [x for pair in sorted(counts.items()) for x in pair]).tobytes()     # small, as many are kept
         known = self.memo.get(key)
         if known is None:
             near = self.index.search(self._unit(counts), self.k)
@@ -149,11 +150,11 @@ class Vocabulary:
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-          examples: int = 8192, least_z: float = 4.0, least_docs: int = 3, k: int = 9, folds: int = 5) -> ToxicityModel:
+          examples: int = 8192, least_z: float = 4.0, least_docs: int = 3, k: int = 9, folds: int = 5, hashes: int = 4) -> ToxicityModel:
     """Learn from at most ``examples`` labelled documents whose fold isn't 0.
 
-    Labelled ids are taken in the order of a hash. Of texts with equal words, and of texts that share the
-    least hash of their long words as near copies do, one counts. Terms are words, beginnings of words, and either occurring
+    Labelled ids are taken in the order of a hash. Of texts of one label with equal words, and of those that share all of
+    ``hashes`` independent least hashes of their long words as near copies do, one counts. Terms are words, beginnings of words, and either occurring
     repeatedly. The vocabulary holds every term of at least ``least_docs`` documents whose number of label-1
     documents lies ``least_z`` deviations off the expected one. Deviations are signed roots of the likelihood ratio,
     which also hold for a few documents, so a wording of a small language or source enters as soon as it is no
@@ -183,9 +184,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     counted = rows.select("_id", "_label", "text").mapInArrow(bags, "_id long, _label int, bag map<string,int>")
     words = F.filter(F.map_keys("bag"), lambda w: ~w.endswith("*"))
     long = F.filter(words, lambda w: F.length(w) >= 6)
-    key = F.when(F.size(long) >= 8, F.array_min(F.transform(long, lambda w: F.xxhash64(w)))).otherwise(F.xxhash64(F.array_sort(words)))
+
+    def least_hash(seed: int) -> Column:
+        return F.array_min(F.transform(long, lambda w: F.xxhash64(w, F.lit(seed))))
+
+    least = [least_hash(seed) for seed in range(hashes)]
+    key = F.when(F.size(long) >= 8, F.sha2(F.concat_ws(":", *[x.cast("string") for x in least]), 256)).otherwise(
+        F.sha2(F.array_join(F.array_sort(words), " "), 256))
     keyed = landed(counted.withColumn("key", key), "bags")
-    first = keyed.groupBy("key").agg(F.min_by(F.struct("_id", "_label", "bag"), F.struct("_id", F.xxhash64(F.array_sort(words)))).alias("x"))
+    first = keyed.groupBy("_label", "key").agg(F.min_by(F.struct("_id", "_label", "bag"), F.struct("_id", F.xxhash64(F.array_sort(words)))).alias("x"))
     bagged = landed(first.select("x._id", "x._label", "x.bag"), "examples")
     n, toxic = bagged.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
     rate = min(max(toxic / max(n, 1), 1e-6), 1 - 1e-6)
