@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curalens.functions.ranks import sorted_place
@@ -295,9 +297,16 @@ def reconcile_media(posts: DataFrame, checks: DataFrame) -> DataFrame:
         "media_state", F.when(F.col("present"), "present").when(~F.col("present"), "gone").otherwise("unknown"))
 
 
+def newest_reach(readings: DataFrame) -> Column:
+    """Reach of the newest reading. Of readings at one instant the first to arrive counts, the one of the least ``seq``;
+    without such a column the one of the greatest reach."""
+    tie = -F.col("seq") if "seq" in readings.columns else F.coalesce("reach", F.lit(-1))
+    # Instant and tie in one number: a struct would have every task sort its readings.
+    return F.max_by("reach", F.unix_micros("read_at").cast("decimal(38,0)") * F.lit(Decimal(10 ** 19)) + tie).alias("reach")
+
+
 def latest_readings(readings: DataFrame) -> DataFrame:
-    return readings.groupBy("media_id").agg(F.max_by("reach", "read_at").alias("reach"),
-                                            F.max("read_at").alias("read_at"))
+    return readings.groupBy("media_id").agg(newest_reach(readings), F.max("read_at").alias("read_at"))
 
 
 def reach_by_media(posts: DataFrame, readings: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ class Views:
     def reach_readings(self) -> DataFrame:
         """Five readings per post: an event is a reading of the first id of its block of five."""
         return self.table("events").selectExpr("concat('m', event_id - event_id % 5) AS media_id", "ts AS read_at",
-                                               "CAST(floor(value * 10) AS BIGINT) AS reach")
+                                               "CAST(floor(value * 10) AS BIGINT) AS reach", "event_id AS seq")
 
     @cached_property
     def media_checks(self) -> DataFrame:

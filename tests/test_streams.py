@@ -6,7 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from curalens.operators.lists import latest_readings
+from curalens.plans.registry import all_queries
 from curalens.schemas import SUPPLIED
+from curalens.sources.standins import Views
 from curalens.streaming import jobs
 from curalens.streaming.levels import LeveledTable, admit, admitted, current_rows, seen_before, upsert, write_keys
 
@@ -152,3 +155,22 @@ def test_stale_rows_are_routed(spark, tmp_path):
     jobs.land_appends(jobs.route_stale(jobs.read_events(own, path).selectExpr(
         "event_id AS id", "ts AS arrived_at", "ts - make_interval(0, 0, 0, 0, 0, 0, value * 60) AS scheduled_at")), folder, ["route"])
     assert own.read.parquet(f"{folder}/rows").count() == spark.read.parquet(path).count()
+
+
+def tied_events(spark, tmp_path):
+    """Three readings of five at the last instant: as in the SQL, where ``arg_max`` keeps the first of equals, the third counts."""
+    events = spark.read.schema(SUPPLIED["events"]).parquet("/root/testdata/sf0.001/events.parquet").selectExpr(
+        "event_id", "timestamp_seconds(1704067200 + event_id div 5 * 60 + least(event_id % 5, 2)) AS ts", "user_id", "event_type",
+        "CAST(event_id AS DOUBLE) AS value", "props")
+    events.orderBy("event_id").coalesce(1).write.parquet(str(tmp_path / "tied" / "events.parquet"))
+    firsts = events.filter("event_id % 5 = 0").select("event_id").collect()
+    return str(tmp_path / "tied"), {f"m{r.event_id}": (r.event_id + 2) * 10 for r in firsts}
+
+
+def test_readings_at_one_instant_keep_the_first(spark, tmp_path):
+    base, want = tied_events(spark, tmp_path)
+    for sign in (1, -1):
+        readings = Views(spark, base).reach_readings.repartition(3).orderBy(F.col("seq") * sign)
+        assert {r.media_id: r.reach for r in latest_readings(readings).collect()} == want
+    reached = all_queries()["reach_by_media"](spark, base).filter("reach_checked_at IS NOT NULL").select("id", "reach").collect()
+    assert reached and all(want[f"m{r.id}"] == r.reach for r in reached)
