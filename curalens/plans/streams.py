@@ -45,8 +45,8 @@ query("stream_latest_reach", """
 SELECT media_id, arg_max(reach, read_at) AS reach, max(read_at) AS read_at, count(*) AS readings FROM reach_readings
 GROUP BY 1""")(
     lambda v: _updated(v, "latest-reach", lambda e: jobs.latest_reach(e.selectExpr(
-        "concat('m', event_id - event_id % 5) AS media_id", "ts AS read_at", "CAST(floor(value * 10) AS BIGINT) AS reach")),
-        ["media_id"]))
+        "concat('m', event_id - event_id % 5) AS media_id", "ts AS read_at", "CAST(floor(value * 10) AS BIGINT) AS reach",
+        "event_id AS seq")), ["media_id"]))
 query("stream_weekly", """
 SELECT date_trunc('week', published_at + INTERVAL 9 HOUR) - INTERVAL 9 HOUR AS week_from, count(*) AS posts,
   count(reach) AS measured, CAST(sum(reach) AS BIGINT) AS reach_total FROM posts WHERE state = 'published' GROUP BY 1""")(

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from curalens.operators.lists import newest_reach
 from curalens.schemas import SUPPLIED
 from curalens.streaming.levels import LeveledTable, admit, upsert
 
@@ -44,9 +45,9 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
 # --- builders ---------------------------------------------------------------
 
 def latest_reach(readings: DataFrame) -> DataFrame:
-    """Newest reading per media item."""
-    return readings.groupBy("media_id").agg(F.max_by("reach", "read_at").alias("reach"),
-                                            F.max("read_at").alias("read_at"), F.count("*").alias("readings"))
+    """Newest reading per media item; of readings at one instant the first to arrive."""
+    return readings.groupBy("media_id").agg(newest_reach(readings), F.max("read_at").alias("read_at"),
+                                            F.count("*").alias("readings"))
 
 
 def weekly(posts: DataFrame) -> DataFrame:

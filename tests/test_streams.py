@@ -174,3 +174,8 @@ def test_readings_at_one_instant_keep_the_first(spark, tmp_path):
         assert {r.media_id: r.reach for r in latest_readings(readings).collect()} == want
     reached = all_queries()["reach_by_media"](spark, base).filter("reach_checked_at IS NOT NULL").select("id", "reach").collect()
     assert reached and all(want[f"m{r.id}"] == r.reach for r in reached)
+
+
+def test_stream_of_readings_at_one_instant_keeps_the_first(spark, tmp_path):
+    base, want = tied_events(spark, tmp_path)
+    assert {r.media_id: r.reach for r in all_queries()["stream_latest_reach"](spark, base).collect()} == want
