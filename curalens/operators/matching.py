@@ -108,14 +108,20 @@ def usable_pages(hits: DataFrame, known: DataFrame, blocked: DataFrame, *, per_d
                  per_property: int = 6) -> DataFrame:
     """Pages to open, in order: new, not blocked, a few per site, a few per listing.
 
-    The per-site limit applies before the per-listing limit. Both rank filters
-    cut inside each task before rows move.
+    The per-site limit applies before the per-listing limit. Hits and known pages move once, by listing; what
+    follows stays in that order. ``blocked`` is a setting, so it comes as one array: few hosts hold most
+    pages, and rows dealt by host would meet in a few tasks.
     """
-    clean = hits.filter(F.ltrim("url").startswith("http")).withColumn("url", no_fragment(F.col("url")))
-    first = clean.groupBy("property_id", "url").agg(F.min("position").alias("position"))
-    seen = known.filter(F.col("url").isNotNull()).select("property_id", no_fragment(F.col("url")).alias("url"))
-    fresh = first.join(seen, ["property_id", "url"], "left_anti").withColumn("host", host_of(F.col("url")))
-    allowed = fresh.join(listed_hosts(fresh, blocked, ["url"]), "host", "left_anti")
+    clean = hits.filter(F.ltrim("url").startswith("http")).select(
+        "property_id", no_fragment(F.col("url")).alias("url"), "position", F.lit(False).alias("_seen"))
+    seen = known.filter(F.col("url").isNotNull() & F.col("property_id").isNotNull()).select(
+        "property_id", no_fragment(F.col("url")).alias("url"), F.lit(None).cast(hits.schema["position"].dataType).alias("position"),
+        F.lit(True).alias("_seen"))
+    first = (clean.unionByName(seen).repartition("property_id").groupBy("property_id", "url")
+             .agg(F.min("position").alias("position"), F.bool_or("_seen").alias("_seen")).filter(~F.col("_seen")).drop("_seen"))
+    closed = blocked.agg(F.collect_set("domain").alias("x")).select("x").scalar()
+    allowed = settle(first.withColumn("host", host_of(F.col("url"))), ["host"]).filter(
+        ~F.arrays_overlap(host_suffixes(F.col("host")), closed))
     by_site = Window.partitionBy("property_id", "host").orderBy("position", "url")
     by_listing = Window.partitionBy("property_id").orderBy("position", "url")
     return (allowed.withColumn("_s", F.row_number().over(by_site)).filter(F.col("_s") <= per_domain).drop("_s")

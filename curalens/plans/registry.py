@@ -58,6 +58,9 @@ def _plain_instants(df: DataFrame) -> DataFrame:
 def _bind(plan: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tune(spark)
+        # Shuffled rows of these tables take some 20 times their bytes once they are sorted or hashed: a task reads
+        # a quarter of the usual 64 MB.
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
         return _plain_instants(plan(Views(spark, sf_dir)))
     return run
 

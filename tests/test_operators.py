@@ -236,3 +236,18 @@ def test_copy_refuses_a_filled_target(spark, tmp_path):
         tables.copy_tables({"t": df}, str(tmp_path / "c"))
     with pytest.raises(ValueError, match="differ"):
         tables.check_copy(tables.compare_counts({"t": df}, {"t": spark.range(4)}))
+
+
+def test_usable_pages_deal_rows_by_listing_once(spark):
+    """Most pages have one of a few hosts: rows dealt by host meet in a few tasks, however many there are."""
+    hits = spark.range(4000).selectExpr("id % 1000 AS property_id", "concat('https://', IF(id % 2 = 0, 'a.open.com/', 'x.shut.com/'), id, '#f') AS url",
+                                        "id AS position")
+    known = spark.range(100).selectExpr("id AS property_id", "concat('https://a.open.com/', id) AS url")
+    blocked = spark.createDataFrame([("shut.com",), (None,)], "domain string")
+    pages = matching.usable_pages(hits, known, blocked)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(host" not in plan and plan.count("Exchange hashpartitioning(property_id") == 1
+    rows = pages.collect()
+    assert {r.host for r in rows} == {"a.open.com"} and {r.property_id % 2 for r in rows} == {0} and len(rows) == 1000
+    known_urls = {r.url for r in known.collect()}
+    assert not known_urls & {r.url for r in rows}
