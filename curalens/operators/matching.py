@@ -96,11 +96,12 @@ def page_match(props: DataFrame, hits: DataFrame) -> DataFrame:
     number = F.filter(F.array(F.struct(spaced(F.col("street_number")).alias("term"), F.lit(2).alias("points"))), lambda t: t["term"].isNotNull())
     named = F.transform("terms", lambda w: F.struct(spaced(w).alias("term"), F.when(F.length(w) >= LONG_WORD, 2).otherwise(1).alias("points")))
     own = settle(own.select(F.col("id").alias("property_id"), F.concat(number, named).alias("_terms")), ["_terms"])
-    # Words are cut before the join, once per hit.
-    cut = settle(hits.withColumn("_said", spaced(F.regexp_replace(F.lower(F.concat_ws(" ", "url", "title")), "[^a-z0-9]+", " "))), ["_said"])
+    # Words are cut after the join, once per hit that has a listing, so they don't move beside the texts they come from.
+    said = spaced(F.regexp_replace(F.lower(F.concat_ws(" ", "url", "title")), "[^a-z0-9]+", " "))
+    cut = settle(hits.join(own, "property_id").withColumn("_said", said), ["_said"])
     points = F.aggregate("_terms", F.lit(0), lambda acc, t: acc + F.when(F.contains(F.col("_said"), t["term"]), t["points"]).otherwise(0))
     # Points are settled: the filter above must not have them computed a second time.
-    return (settle(cut.join(own, "property_id").withColumn("points", points), ["points"])
+    return (settle(cut.withColumn("points", points), ["points"])
             .filter(F.col("points") >= MATCH_MIN).drop("_said", "_terms"))
 
 

@@ -251,3 +251,12 @@ def test_usable_pages_deal_rows_by_listing_once(spark):
     assert {r.host for r in rows} == {"a.open.com"} and {r.property_id % 2 for r in rows} == {0} and len(rows) == 1000
     known_urls = {r.url for r in known.collect()}
     assert not known_urls & {r.url for r in rows}
+
+
+def test_page_match_moves_no_derived_text(spark):
+    props = spark.createDataFrame([(1, "Casa Verdemar", None, None)], "id long, display_name string, title string, street_address string")
+    hits = spark.createDataFrame([(1, "https://a.com/casa-verdemar", None, 1)], "property_id long, url string, title string, position long")
+    found = matching.page_match(props, hits)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_said" not in plan[plan.index("Join"):]                # words are cut above the join
+    assert [r.points for r in found.collect()] == [3]
