@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from curalens.llm.common import blocks, landed, one_array, prepare, text_of
+from curalens.llm.common import BLOCK_BYTES, blocks, landed, one_array, prepare, text_of
 from curalens.llm.components import connected
 from curalens.llm.words import split_words
 
@@ -141,8 +142,9 @@ def _leaves(classes: DataFrame, trees: int, limit: int, deepest: int, cut: int)
         if not has_large or depth == deepest:
             break
         picks = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(k)), F.lit(COORDS)) + 1 for k in range(min(depth, 2))]
-        rows = rows.join(classes.select("name", "signs"), "name").select("name", F.explode(F.array(*[F.xxhash64(
-            F.col("node"), F.lit(depth), pick, F.substring(F.hex("signs"), (pick * 2 - 1).cast("int"), F.lit(2))) for pick in picks])).alias("node"))
+        # Landed, as they are both counted and joined with their counts.
+        rows = landed(rows.join(classes.select("name", "signs"), "name").select("name", F.explode(F.array(*[F.xxhash64(
+            F.col("node"), F.lit(depth), pick, F.substring(F.hex("signs"), (pick * 2 - 1).cast("int"), F.lit(2))) for pick in picks])).alias("node")), "branches")
     done = done.join(classes.select("name", "signs").hint("merge"), "name").select("leaf", "name", "signs")
     if not has_large:
         return done
@@ -205,13 +207,42 @@ def _maybe_links(leaves: DataFrame, cut: int) -> DataFrame:
             .mapInArrow(compare, "a long, b long"))
 
 
+def _packed(text: bytes, words: np.ndarray) -> tuple[bytes | None, bytes | None]:
+    """A deflated text or its set as bytes, whichever is shorter: no more than 8 bytes a shingle."""
+    packed = zlib.compress(text, 1)
+    return (packed, None) if len(packed) < words.nbytes else (None, words.tobytes())
+
+
+def _unpacked(members: list[dict], width: int) -> list[np.ndarray]:
+    """The sets of members, from their texts where they came as such, some megabytes of text at a time."""
+    sets = [None if m["words"] is None else np.frombuffer(m["words"], np.uint64) for m in members]
+    texts, at, size = [], [], 0
+
+    def cut() -> None:
+        for i, words in zip(at, shingle_sets(pa.array(texts, pa.binary()).view(pa.string()), width)):
+            sets[i] = words
+        texts.clear(), at.clear()
+
+    for i, m in enumerate(members):
+        if sets[i] is None:
+            texts.append(zlib.decompress(m["packed"]))
+            at.append(i)
+            size += len(texts[-1])
+            if size >= BLOCK_BYTES:
+                cut()
+                size = 0
+    if texts:
+        cut()
+    return sets
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _links(blocks_of: DataFrame, percent: int, cut: int) -> DataFrame:
-    """Exact links in blocks of (block, name, signs, words, asks): a spanning forest of each block.
+def _links(blocks_of: DataFrame, width: int, percent: int, cut: int) -> DataFrame:
+    """Exact links in blocks of (block, name, signs, packed, words, asks): a spanning forest of each block.
 
     Only pairs with a member that asks are compared, likely ones first; a pair that is connected
     already needs no comparison.
@@ -221,7 +252,7 @@ def _links(blocks_of: DataFrame, percent: int, cut: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 members = list({m["name"]: m for m in batch.column("members")[row].as_py()}.values())
-                sets = [np.frombuffer(m["words"], np.uint64) for m in members]
+                sets = _unpacked(members, width)
                 signs = np.frombuffer(b"".join(m["signs"] for m in members), np.uint8).reshape(len(sets), COORDS)
                 size, asks = np.array([len(s) for s in sets]), np.array([m["asks"] for m in members])
                 found = []
@@ -238,7 +269,7 @@ def _links(blocks_of: DataFrame, percent: int, cut: int) -> DataFrame:
                         b.append(members[j]["name"])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return (blocks_of.groupBy("block").agg(F.collect_list(F.struct("name", "signs", "words", "asks")).alias("members"))
+    return (blocks_of.groupBy("block").agg(F.collect_list(F.struct("name", "signs", "packed", "words", "asks")).alias("members"))
             .mapInArrow(confirm, "a long, b long"))
 
 
@@ -252,7 +283,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
        miss about one in four million. Large nodes branch on, along one coordinate, then along two.
     3. Nodes are compared exhaustively on signatures (a cut 4.5 deviations below the threshold),
        which leaves clusters of what may be linked. Only their texts are read again.
-    4. Links are confirmed on full sets. A cluster is compared in one block, or in chunks of at most about
+    4. Links are confirmed on full sets, made again where they are compared: what moves is the deflated text, or
+       the set where that is shorter. A cluster is compared in one block, or in chunks of at most about
        ``chunk`` documents and ``most_shingles`` shingles that share two leaders;
        then everything outside the largest group of a chunked cluster is compared with all of it, in blocks.
 
@@ -266,45 +298,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     # One document of each class is read again: it is found by its id, or by its text if it has none.
     texts = texts.withColumn("of", F.coalesce("doc_id", F.xxhash64("text")))
     cut = least_match(percent / 100)
+    # A filter of fixed size, made of the ids of the clusters, drops most other texts before they are dealt
+    # by id, and likewise the signatures that large nodes don't ask for. Spark builds it at run time; where
+    # it is full, more rows move and the join stays as it is.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
     signed = landed(_signatures(texts, width, trees), "signatures")
     classes = landed(signed.where("name is not null").groupBy("name").agg(
         F.min("of").alias("of"), F.min("n_shingles").alias("n_shingles"), F.min("signs").alias("signs"), F.min("roots").alias("roots")), "classes")
     clusters = connected(_maybe_links(_leaves(classes, trees, limit, deepest, cut), cut)).withColumnsRenamed({"id": "name", "root": "cluster"})
     clusters = landed(clusters.join(classes.select("name", "of", "n_shingles", "signs"), "name"), "clusters")
     # Blocks are cut by documents and by shingles, so long texts make more of them.
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n_shingles") / most_shingles)).cast("int").alias("chunks"))
-    members = landed(clusters.drop("n_shingles").join(sizes, "cluster"), "members")
+    # The heads of a cluster, which all its blocks get, are marked here, where no texts are carried yet.
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n_shingles") / most_shingles)).cast("int").alias("chunks"),
+                                            F.min("name").alias("x"), F.max("name").alias("y"))
+    members = landed(clusters.join(sizes, "cluster").select("name", "of", "signs", "cluster", "chunks", F.expr("name in (x, y)").alias("head")), "members")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()         # rows that share an id give a class once
         for block in blocks(batches):
             sets = shingle_sets(one_array(block.column("text")), width)
-            same = []
-            for found, name in zip(_named(sets), block.column("name").to_pylist()):
+            texts_of = one_array(block.column("text")).cast(pa.binary())
+            same, packed, words = [], [], []
+            for i, (found, name) in enumerate(zip(_named(sets), block.column("name").to_pylist())):
                 same.append(found == name and name not in seen)
-                seen.add(name) if same[-1] else None
-            same = pa.array(same, pa.bool_())
-            out = block.drop_columns(["text"]).append_column("words", pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield from out.filter(same).to_batches()
-
-    # A filter of fixed size, made of the ids of the clusters, drops most other texts before they are dealt
-    # by id. Spark builds it at run time; where it is full, more texts move and the join stays as it is.
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
-    wanted = (texts.select("of", "text")
-              .join(members.where("chunks > 0").hint("merge"), "of"))
-    sets = landed(wanted.select("name", "cluster", "chunks", "signs", "text")
-                  .mapInArrow(words_of, "name long, cluster long, chunks int, signs binary, words binary"), "sets")
-    first = sets.select("name", "signs", "words", F.lit(True).alias("asks"),
-                         F.xxhash64("cluster", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")).alias("block"))
+                if same[-1]:
+                    seen.add(name)
+                    text, whole = _packed(texts_of[i].as_py(), sets[i])
+                    packed.append(text)
+                    words.append(whole)
+            out = block.drop_columns(["text"]).filter(pa.array(same, pa.bool_()))
+            out = out.append_column("packed", pa.array(packed, pa.binary())).append_column("words", pa.array(words, pa.binary()))
+            yield from out.to_batches()
+
+    wanted = texts.select("of", "text").join(members.where("chunks > 0"), "of")
+    sets = landed(wanted.select("name", "cluster", "chunks", "head", "signs", "text")
+                  .mapInArrow(words_of, "name long, cluster long, chunks int, head boolean, signs binary, packed binary, words binary"), "sets")
+    carried = ["name", "signs", "packed", "words"]
+    first = sets.select(*carried, F.lit(True).alias("asks"), F.xxhash64("cluster", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")).alias("block"))
     large = sets.where("chunks > 1")
     has_large = bool(large.limit(1).count())
     if has_large:
-        named = large.groupBy("cluster").agg(F.min("name").alias("x"), F.max("name").alias("y"), F.max("chunks").alias("chunks"))
-        heads = named.select(F.explode(F.array("x", "y")).alias("name"), "chunks").join(sets.drop("chunks"), "name")
-        first = first.union(heads.select("name", "cluster", "signs", "words", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
-                            .select("name", "signs", "words", F.lit(True), F.xxhash64("cluster", "part")))
-    links = landed(_links(first, percent, cut), "links")
+        heads = large.where("head").select(*carried, "cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
+        first = first.union(heads.select(*carried, F.lit(True), F.xxhash64("cluster", "part")))
+    links = landed(_links(first, width, percent, cut), "links")
     groups = landed(connected(links), "groups")
     if has_large:
         rooted = landed(large.select("name", "cluster", "chunks").join(groups.withColumnRenamed("id", "name"), "name", "left")
@@ -324,9 +361,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
                             F.explode(F.sequence(F.lit(0), F.col("minor") - 1)).alias("j"))
         # A row that asks and is asked in one block counts as asking: it comes last and takes the place.
         grid = asking.union(asked).groupBy("name", "cluster", "i", "j").agg(F.max("asks").alias("asks"))
-        second = grid.join(sets.select("name", "signs", "words"), "name").select(
-            "name", "signs", "words", "asks", F.xxhash64("cluster", "i", "j").alias("block"))
-        groups = landed(connected(links.union(_links(second, percent, cut))), "groups")
+        # Of the sets only those of such clusters move.
+        asked_for = large.join(main.select("cluster"), "cluster", "left_semi").select(carried)
+        second = grid.join(asked_for, "name").select(*carried, "asks", F.xxhash64("cluster", "i", "j").alias("block"))
+        groups = landed(connected(links.union(_links(second, width, percent, cut))), "groups")
     placed = (signed.select("doc_id", "n_shingles", "name").join(groups.withColumnRenamed("id", "name"), "name", "left")
               .select("doc_id", "n_shingles", F.coalesce("root", "name").alias("group")))
     placed = landed(placed, "placed")

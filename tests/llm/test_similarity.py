@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from curalens.llm.common import landed
 from curalens.llm.components import connected
 from curalens.llm.minhash_dedup import keep_one_of_each, near_duplicates, shingle_sets
 from curalens.llm.sharding import differencing, shard_documents
@@ -88,6 +89,31 @@ def test_long_texts_and_many_far_documents_are_cut_into_blocks(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_texts_move_twice_at_most(spark):
+    rng = random.Random(9)
+    shared = [f"shared{rng.randrange(4000)}" for _ in range(700)]
+    texts = []
+    for size in (50, 4):               # one cluster in chunks, with two groups
+        base = shared + [f"w{rng.randrange(4000)}" for _ in range(130)]
+        for _ in range(size):
+            texts.append(" ".join(base[:-1] + [f"x{rng.randrange(10_000)}"]))
+    for _ in range(60):                # and many pairs
+        texts += family(rng, 2, 2, 800)
+    want, _ = brute_components(texts, 5, 80)
+    docs = landed(frame(spark, texts), "docs")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = store.executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    began = moved()
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, chunk=7).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert moved() - began < 0.8 * sum(map(len, texts))
+
+
 def test_chains_and_stars(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(3000)]
